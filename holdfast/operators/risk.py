@@ -127,21 +127,21 @@ def rank_deciles(users: DataFrame) -> DataFrame:
     The decile only grows with the score, so the lowest score of each decile is
     enough to place every user: one ten-element array, no join back.
     """
-    base = users.select("user_id", "churn", raw_score(users).alias("risk_score"))
+    base = users.select("user_id", "churn", raw_score(users).alias("raw"))
     rows = F.col("_rows")
     rank = F.col("n_upto") - F.col("n") + 1
     starts = (
-        score_totals(base, "risk_score", "churn")
+        score_totals(base, "raw", "churn")
         .withColumn("_rows", users.agg(count_rows()).scalar())
         .groupBy(int_div(rank * 10 + rows - 1, rows).cast("int").alias("decile"))
         .agg(F.min("score").alias("start"))
         .agg(F.sort_array(F.collect_list(F.struct("start", "decile"))))
         .scalar()
     )
-    reached = F.filter("_starts", lambda s: s["start"] <= F.col("risk_score"))
+    reached = F.filter("_starts", lambda s: s["start"] <= F.col("raw"))
     return base.withColumn("_starts", starts).select(
         "user_id",
-        round_dp(F.col("risk_score"), 4).alias("risk_score"),
+        round_dp(F.col("raw"), 4).alias("risk_score"),
         F.element_at(reached, -1).getField("decile").alias("risk_decile"),
     )
 
