@@ -73,51 +73,63 @@ def top_rated(ratings: DataFrame, content: DataFrame, at_least: int = 15, limit:
     )
 
 
-def most_watched(watch: DataFrame, content: DataFrame, limit: int = 10) -> DataFrame:
-    return (
-        title_views(watch, content)
-        .select("content_id", "title", "genre", "views")
-        .orderBy(F.desc("views"), "content_id")
-        .limit(limit)
+def monthly_totals(watch: DataFrame) -> DataFrame:
+    """Per month (NULL for undated sessions): the parts of every count and average.
+
+    One row per month, so anything derived from it costs one scan of the facts.
+    """
+    return watch.groupBy(month_of(F.col("watch_date")).alias("month")).agg(
+        count_rows().alias("sessions"),
+        F.sum("completion_rate").alias("completion_sum"),
+        F.count("completion_rate").alias("completion_n"),
+        F.sum("session_duration").alias("duration_sum"),
+        F.count("session_duration").alias("duration_n"),
     )
 
 
-def views_by_release_year(watch: DataFrame, content: DataFrame) -> DataFrame:
+def growth_of(totals: DataFrame) -> DataFrame:
+    """Sessions and average completion of each month."""
+    completion = round_dp(ratio(F.col("completion_sum"), F.col("completion_n")), 1)
     return (
-        title_views(watch, content)
-        .where(F.col("release_year").isNotNull())
-        .groupBy("release_year")
-        .agg(F.sum("views").alias("views"))
-        .orderBy("release_year")
+        totals.where(F.col("month").isNotNull())
+        .select("month", "sessions", completion.alias("completion"))
+        .orderBy("month")
     )
 
 
+def monthly_growth(watch: DataFrame) -> DataFrame:
+    return growth_of(monthly_totals(watch))
+
+
 def monthly_sessions(watch: DataFrame) -> DataFrame:
-    return (
-        watch.where(F.col("watch_date").isNotNull())
-        .groupBy(month_of(F.col("watch_date")).alias("month"))
-        .agg(count_rows().alias("sessions"))
-        .orderBy("month")
-    )
+    return monthly_growth(watch).select("month", "sessions")
 
 
 def monthly_completion(watch: DataFrame) -> DataFrame:
+    return monthly_growth(watch).select("month", "completion")
+
+
+def views_by_year_of(titles: DataFrame) -> DataFrame:
     return (
-        watch.where(F.col("watch_date").isNotNull())
-        .groupBy(month_of(F.col("watch_date")).alias("month"))
-        .agg(round_dp(F.avg("completion_rate"), 1).alias("completion"))
-        .orderBy("month")
+        titles.where(F.col("release_year").isNotNull())
+        .groupBy("release_year")
+        .agg(F.sum("views").alias("views"))
+        .orderBy("release_year")
     )
 
 
-def monthly_growth(watch: DataFrame) -> DataFrame:
-    """Sessions and completion side by side, in one pass over the facts."""
+def views_by_release_year(watch: DataFrame, content: DataFrame) -> DataFrame:
+    return views_by_year_of(title_views(watch, content))
+
+
+def most_watched_of(titles: DataFrame, limit: int = 10) -> DataFrame:
     return (
-        watch.where(F.col("watch_date").isNotNull())
-        .groupBy(month_of(F.col("watch_date")).alias("month"))
-        .agg(
-            count_rows().alias("sessions"),
-            round_dp(F.avg("completion_rate"), 1).alias("completion"),
-        )
-        .orderBy("month")
+        titles.where(F.col("title").isNotNull() & F.col("genre").isNotNull())
+        .select("content_id", "title", "genre", "views")
+        .orderBy(F.desc("views"), "content_id")
+        .limit(limit)
     )
+
+
+def most_watched(watch: DataFrame, content: DataFrame) -> DataFrame:
+    return most_watched_of(title_views(watch, content))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
@@ -70,11 +71,12 @@ def shuffle_key(user_id: Column) -> Column:
     return F.pmod(F.pmod(user_id, F.lit(prime)) * 48_271, F.lit(prime))
 
 
-def split(users: DataFrame, test_share: float = 0.25) -> DataFrame:
-    """Stratified split: in each churn class exactly the rounded test share is held out.
+def with_split(df: DataFrame, users: DataFrame, test_share: float = 0.25) -> DataFrame:
+    """Add ``is_train``: in each churn class exactly the rounded test share is held out.
 
-    One global order by (churn, shuffled id) gives every user a place within the
-    class, with no window over a whole class.
+    One global order of (churn, shuffled id) finds the first training user of each
+    class; those two keys then decide every row, so ``df`` (with user_id and churn)
+    is neither joined nor shuffled.
     """
     keyed = users.select("user_id", "churn", shuffle_key(F.col("user_id")).alias("shuffled"))
     placed = row_index(keyed, ["churn", "shuffled", "user_id"])
@@ -83,10 +85,23 @@ def split(users: DataFrame, test_share: float = 0.25) -> DataFrame:
     churned = F.col("churn") == 1
     place = F.when(churned, F.col("row_index") - F.col("_s.zeros")).otherwise(F.col("row_index"))
     size = F.when(churned, F.col("_s.ones")).otherwise(F.col("_s.zeros"))
-    held_out = F.floor(size * F.lit(test_share) + 0.5)
-    return placed.withColumn("_s", sizes).select(
-        "user_id", "churn", (place >= held_out).alias("is_train")
+    first_train = F.floor(size * F.lit(test_share) + 0.5)
+    starts = (
+        placed.withColumn("_s", sizes)
+        .where(place == first_train)
+        .select(F.map_from_entries(F.collect_list(F.struct("churn", F.struct("shuffled", "user_id")))))
+        .scalar()
     )
+    own_key = F.struct(shuffle_key(F.col("user_id")).alias("shuffled"), "user_id")
+    return (
+        df.withColumn("_starts", starts)
+        .withColumn("is_train", F.coalesce(own_key >= F.col("_starts")[F.col("churn")], F.lit(False)))
+        .drop("_starts")
+    )
+
+
+def split(users: DataFrame) -> DataFrame:
+    return with_split(users.select("user_id", "churn"), users)
 
 
 def moments(train: DataFrame, names: Sequence[str]) -> Column:
@@ -119,9 +134,8 @@ def standardised(df: DataFrame, train: DataFrame, names: Sequence[str]) -> DataF
 
 def zscores(users: DataFrame) -> DataFrame:
     """Numeric features of all users, standardised by the training part."""
-    values = users.select("user_id", *[F.col(c).cast("double").alias(c) for c in NUMERIC])
-    train_ids = split(users).where("is_train").select("user_id")
-    train = values.join(train_ids, "user_id", "left_semi")
+    values = users.select("user_id", "churn", *[F.col(c).cast("double").alias(c) for c in NUMERIC])
+    train = with_split(values, users).where("is_train")
     scaled = standardised(values, train, NUMERIC)
     return scaled.select("user_id", *[round_dp(F.col(c), 6).alias(f"z_{c}") for c in NUMERIC])
 
@@ -137,13 +151,14 @@ class ChurnModel:
         rows = list(zip(self.names, (float(c) for c in self.fitted.coefficients)))
         return self.features.sparkSession.createDataFrame(rows, "feature string, coefficient double")
 
-    def scored(self) -> DataFrame:
-        """user_id, churn, is_train and the probability of churn."""
-        vectors = _vectors(self.features, self.names)
+    @cached_property
+    def scores(self) -> DataFrame:
+        """user_id, churn, is_train and the probability of churn, computed once."""
         probability = vector_to_array("probability")[1]
-        return self.fitted.transform(vectors).select(
+        scored = self.fitted.transform(_vectors(self.features, self.names)).select(
             "user_id", "churn", "is_train", probability.alias("probability")
         )
+        return publish(scored, "scores")
 
 
 def _vectors(features: DataFrame, names: list[str]) -> DataFrame:
@@ -151,28 +166,32 @@ def _vectors(features: DataFrame, names: list[str]) -> DataFrame:
     return assembled.select("user_id", "churn", "is_train", "features")
 
 
-def _fit(features: DataFrame, names: list[str]) -> ChurnModel:
-    train = features.where("is_train")
-    rows = train.count()
-    # A penalty of |w|^2 / 2 against the summed loss is 1 / rows against the mean loss.
+def _fit(raw: DataFrame, names: list[str]) -> ChurnModel:
+    """Standardise by the training rows, publish the features and fit.
+
+    A penalty of |w|^2 / 2 against the summed loss is 1 / rows against the mean loss.
+    """
+    train = raw.where("is_train")
+    features = publish(standardised(raw, train, names), "features")
     learner = LogisticRegression(
-        labelCol="churn", maxIter=1000, regParam=1.0 / rows, elasticNetParam=0.0, standardization=False
+        labelCol="churn",
+        maxIter=1000,
+        regParam=1.0 / train.count(),
+        elasticNetParam=0.0,
+        standardization=False,
     )
-    return ChurnModel(names, learner.fit(_vectors(train, names)), features)
+    return ChurnModel(names, learner.fit(_vectors(features.where("is_train"), names)), features)
 
 
 def fit(users: DataFrame) -> ChurnModel:
     """Fit on 75 % of the users, stratified by churn."""
-    raw = feature_frame(users).join(split(users).select("user_id", "is_train"), "user_id")
-    raw = publish(raw, "features")
-    names = feature_names(raw)
-    scaled = publish(standardised(raw, raw.where("is_train"), names), "scaled")
-    return _fit(scaled, names)
+    features = feature_frame(users)
+    return _fit(with_split(features, users), feature_names(features))
 
 
 def evaluation(model: ChurnModel) -> DataFrame:
     """AUC, accuracy, precision and recall on the held-out users."""
-    test = model.scored().where(~F.col("is_train"))
+    test = model.scores.where(~F.col("is_train"))
     quality = risk.confusion(test, "probability", 0.5)
     auc = risk.auc(test, "probability").select(round_dp(F.col("auc"), 3)).scalar()
     return quality.withColumn("auc", auc)
@@ -200,7 +219,7 @@ def drivers(model: ChurnModel, limit: int = 10) -> DataFrame:
 
 
 def model_deciles(model: ChurnModel) -> DataFrame:
-    return risk.with_quantile_decile(model.scored(), "probability", "churn")
+    return risk.with_quantile_decile(model.scores, "probability", "churn")
 
 
 def scored_deciles(model: ChurnModel) -> DataFrame:
@@ -236,7 +255,6 @@ def guarded_deciles(users: DataFrame, more_than: int = 200) -> DataFrame:
     facts = users.agg(count_rows().alias("n"), F.countDistinct("churn").alias("classes")).first()
     if facts.n <= more_than or facts.classes != 2:
         return users.sparkSession.createDataFrame([(None, None, None, None, TOO_LITTLE)], DECILE_SCHEMA)
-    raw = publish(feature_frame(users).withColumn("is_train", F.lit(True)), "features")
-    names = feature_names(raw)
-    model = _fit(publish(standardised(raw, raw, names), "scaled"), names)
+    features = feature_frame(users)
+    model = _fit(features.withColumn("is_train", F.lit(True)), feature_names(features))
     return scored_deciles(model).withColumn("message", F.lit(None).cast("string"))

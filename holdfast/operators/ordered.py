@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.functions.numbers import count_rows, int_div, round_dp
+from holdfast.functions.numbers import count_rows, int_div
 from holdfast.sources.workspace import publish
 
 _RANGE = "_range"
@@ -96,11 +96,7 @@ def quantile_edges(totals: DataFrame, rows: DataFrame, parts: int) -> Column:
         )
     )
     edges = [
-        round_dp(
-            F.col(f"low{i}")
-            + (F.col(f"high{i}") - F.col(f"low{i}")) * ((s % parts) / F.lit(float(parts))),
-            8,
-        )
+        F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * ((s % parts) / F.lit(float(parts)))
         for i, s in enumerate(scaled)
     ]
     return picked.select(F.sort_array(F.array_distinct(F.array(*edges)))).scalar()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.bands import quantile_bucket
@@ -25,22 +25,22 @@ PROFILE_COLUMNS = (
 )
 
 
-def raw_score(users: DataFrame) -> Column:
-    """Idle days against the maximum, minus watch hours against the maximum.
+def with_raw_score(users: DataFrame, name: str = "raw_score") -> DataFrame:
+    """Add idle days against the maximum, minus watch hours against the maximum.
 
-    Both maxima are one scalar subquery; NULL when a maximum is 0.
+    Both maxima are one scalar subquery; the score is NULL when a maximum is 0.
     """
     top = users.agg(
-        F.struct(
-            F.max("days_since_login").alias("days"), F.max("watch_time_hours").alias("watched")
-        )
+        F.struct(F.max("days_since_login").alias("days"), F.max("watch_time_hours").alias("watched"))
     ).scalar()
-    idle = ratio(F.col("days_since_login"), top.getField("days"))
-    return idle - ratio(F.col("watch_time_hours"), top.getField("watched"))
+    idle = ratio(F.col("days_since_login"), F.col("_top.days"))
+    watched = ratio(F.col("watch_time_hours"), F.col("_top.watched"))
+    return users.withColumn("_top", top).withColumn(name, idle - watched).drop("_top")
 
 
 def scored(users: DataFrame) -> DataFrame:
-    return users.select(*PROFILE_COLUMNS, round_dp(raw_score(users), 4).alias("risk_proxy"))
+    proxy = round_dp(F.col("raw_score"), 4).alias("risk_proxy")
+    return with_raw_score(users.select(*PROFILE_COLUMNS)).select(*PROFILE_COLUMNS, proxy)
 
 
 def clamp_limit(requested: int | None) -> int:
@@ -65,7 +65,7 @@ def status_badges(users: DataFrame, limit: int = 15) -> DataFrame:
 def ntile_deciles(users: DataFrame) -> DataFrame:
     """Ten equal-count groups by unrounded score; ties are split by user_id."""
     ranked = row_index(
-        users.select(raw_score(users).alias("score"), "user_id", "churn"), ["score", "user_id"]
+        with_raw_score(users).select("raw_score", "user_id", "churn"), ["raw_score", "user_id"]
     )
     decile = ntile_of(F.col("row_index"), F.col("_rows"), 10)
     return (
@@ -127,21 +127,21 @@ def rank_deciles(users: DataFrame) -> DataFrame:
     The decile only grows with the score, so the lowest score of each decile is
     enough to place every user: one ten-element array, no join back.
     """
-    base = users.select("user_id", "churn", raw_score(users).alias("raw"))
+    base = with_raw_score(users).select("user_id", "churn", "raw_score")
     rows = F.col("_rows")
     rank = F.col("n_upto") - F.col("n") + 1
     starts = (
-        score_totals(base, "raw", "churn")
+        score_totals(base, "raw_score", "churn")
         .withColumn("_rows", users.agg(count_rows()).scalar())
         .groupBy(int_div(rank * 10 + rows - 1, rows).cast("int").alias("decile"))
         .agg(F.min("score").alias("start"))
         .agg(F.sort_array(F.collect_list(F.struct("start", "decile"))))
         .scalar()
     )
-    reached = F.filter("_starts", lambda s: s["start"] <= F.col("raw"))
+    reached = F.filter("_starts", lambda s: s["start"] <= F.col("raw_score"))
     return base.withColumn("_starts", starts).select(
         "user_id",
-        round_dp(F.col("raw"), 4).alias("risk_score"),
+        round_dp(F.col("raw_score"), 4).alias("risk_score"),
         F.element_at(reached, -1).getField("decile").alias("risk_decile"),
     )
 

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.numbers import count_rows, round_dp
+from holdfast.operators.joins import join_dimension
 from holdfast.sources import tables
+from holdfast.sources.workspace import publish
 
 # Fill for users without sessions, and the weights of the churn score.
 DEFAULT_COMPLETION = 30.0
@@ -77,8 +79,13 @@ _Z_SOURCES = {
 
 
 def _with_zscores(users: DataFrame, watch: DataFrame) -> DataFrame:
-    """Distance from the mean in sample standard deviations, as one scalar of moments."""
-    base = _with_recency(users, watch)
+    """Distance from the mean in sample standard deviations, as one scalar of moments.
+
+    The joined columns are published first: the moments and the scores both read
+    them, and the sessions are scanned once.
+    """
+    joined = _with_recency(users, watch).select("user_id", "subscription_type", *_Z_SOURCES.values())
+    base = publish(joined, "user-totals")
     moments = base.agg(
         F.struct(
             *[F.avg(c).alias(f"mean_{z}") for z, c in _Z_SOURCES.items()],
@@ -125,8 +132,7 @@ def churn_score(
 def favourite_genre(users: DataFrame, watch: DataFrame, content: DataFrame) -> DataFrame:
     """Most watched genre per user; without sessions, the first genre by name."""
     counts = (
-        watch.select("user_id", "content_id")
-        .join(content.select("content_id", "genre"), "content_id")
+        join_dimension(watch.select("user_id", "content_id"), content.select("content_id", "genre"), "content_id")
         .groupBy("user_id", "genre")
         .agg(count_rows().alias("n"))
     )
@@ -141,6 +147,6 @@ def favourite_genre(users: DataFrame, watch: DataFrame, content: DataFrame) -> D
 def session_minutes(watch: DataFrame, content: DataFrame, key: tuple[str, ...]) -> DataFrame:
     titles = content.select("content_id", "duration_min")
     minutes = tables.session_minutes(F.col("duration_min"), F.col("completion_rate"))
-    return watch.join(titles, "content_id").select(
+    return join_dimension(watch, titles, "content_id").select(
         *key, "user_id", "content_id", minutes.alias("session_minutes")
     )

@@ -6,18 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions import bands
-from holdfast.functions.numbers import count_rows, percent, plain_number, round_dp
+from holdfast.functions.numbers import count_rows, percent, plain_number, ratio, round_dp
 from holdfast.operators import content, model, risk, segments
 from holdfast.operators.model import ChurnModel
 from holdfast.sources.tables import Tables
+from holdfast.sources.workspace import publish
 
 
-def headline(t: Tables) -> DataFrame:
-    """The eleven headline figures in one row, one scan per table."""
-    watched = t.watch_history.agg(
+def headline(t: Tables, months: DataFrame | None = None) -> DataFrame:
+    """The eleven headline figures in one row, one scan per table.
+
+    ``months`` takes monthly totals that are already at hand.
+    """
+    months = content.monthly_totals(t.watch_history) if months is None else months
+    completion = ratio(F.sum("completion_sum"), F.sum("completion_n"))
+    watched = months.agg(
         F.struct(
-            count_rows().alias("total_sessions"),
-            round_dp(F.avg("completion_rate"), 1).alias("avg_completion_rate"),
+            F.coalesce(F.sum("sessions"), F.lit(0)).alias("total_sessions"),
+            round_dp(completion, 1).alias("avg_completion_rate"),
         )
     ).scalar()
     rated = t.ratings.agg(
@@ -41,8 +47,13 @@ def headline(t: Tables) -> DataFrame:
     )
 
 
+def average_session_of(months: DataFrame) -> DataFrame:
+    minutes = ratio(F.sum("duration_sum"), F.sum("duration_n"))
+    return months.agg(round_dp(minutes, 1).alias("avg_session_duration"))
+
+
 def average_session(watch: DataFrame) -> DataFrame:
-    return watch.agg(round_dp(F.avg("session_duration"), 1).alias("avg_session_duration"))
+    return average_session_of(content.monthly_totals(watch))
 
 
 def _packed_map(rows: DataFrame, key: str, value: str, order: Column) -> Column:
@@ -112,23 +123,28 @@ def segment_maps(users: DataFrame) -> DataFrame:
 
 
 def document(t: Tables, churn_model: ChurnModel) -> DataFrame:
-    """All 39 metrics as one row of scalars, maps and arrays of structs."""
-    by_title = content.title_views(t.watch_history, t.content, "left")
+    """All 39 metrics as one row of scalars, maps and arrays of structs.
+
+    Views per title and totals per month are published, so the many metrics on
+    sessions scan the facts twice in all.
+    """
+    by_title = publish(content.title_views(t.watch_history, t.content, "left"), "title-views")
+    months = publish(content.monthly_totals(t.watch_history), "months")
+    growth = content.growth_of(months)
     genre = by_title.where(F.col("genre").isNotNull()).groupBy("genre").agg(
         F.sum("views").alias("views"), content.mean_completion(1).alias("completion")
     )
-    growth = content.monthly_growth(t.watch_history)
     deciled = model.model_deciles(churn_model)
     deciles = risk.decile_summary(deciled, "probability")
     quality = model.evaluation(churn_model).select(F.struct("*")).scalar()
     caught = risk.capture(deciled).select(F.struct("*")).scalar()
     maps = segment_maps(t.users).select(F.struct("*")).scalar()
     wide = (
-        headline(t)
+        headline(t, months)
         .withColumn("_maps", maps)
         .withColumn("_quality", quality)
         .withColumn("_caught", caught)
-        .withColumn("avg_session_duration", average_session(t.watch_history).scalar())
+        .withColumn("avg_session_duration", average_session_of(months).scalar())
         .withColumn(
             "recency_curve", _packed_rows(segments.recency_curve(t.users), F.col("x"), "x", "churn_rate", "n")
         )
@@ -153,12 +169,12 @@ def document(t: Tables, churn_model: ChurnModel) -> DataFrame:
         )
         .withColumn(
             "most_watched_content",
-            _packed_rows(content.most_watched(t.watch_history, t.content), -F.col("views"), "title", "genre", "views"),
+            _packed_rows(content.most_watched_of(by_title), -F.col("views"), "title", "genre", "views"),
         )
         .withColumn(
             "views_by_release_year",
             _packed_map(
-                content.views_by_release_year(t.watch_history, t.content),
+                content.views_by_year_of(by_title),
                 "release_year",
                 "views",
                 F.col("release_year"),

