@@ -11,6 +11,11 @@ def round_dp(value: Column, places: int) -> Column:
     return F.round(value.cast("decimal(28,8)"), places).cast("double")
 
 
+def round_small(value: Column, places: int) -> Column:
+    """As ``round_dp`` for per-row values below 10^10: Spark keeps 18 digits in a long."""
+    return F.round(value.cast("decimal(18,8)"), places).cast("double")
+
+
 def percent(part: Column, places: int) -> Column:
     return round_dp(part * F.lit(100.0), places)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions import bands
 from holdfast.functions.numbers import count_rows, percent, ratio, round_dp
+from holdfast.operators.joins import join_dimension
 from holdfast.operators.segments import churn_by
 from holdfast.sources.tables import Tables
 
@@ -91,8 +92,8 @@ def filtered(t: Tables, plans: Sequence[str]) -> Tables:
     return Tables(
         users=users,
         content=t.content,
-        watch_history=t.watch_history.join(ids, "user_id", "left_semi"),
-        ratings=t.ratings.join(ids, "user_id", "left_semi"),
+        watch_history=join_dimension(t.watch_history, ids, "user_id", "left_semi"),
+        ratings=join_dimension(t.ratings, ids, "user_id", "left_semi"),
         watch_key=t.watch_key,
         rating_key=t.rating_key,
     )

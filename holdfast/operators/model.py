@@ -245,8 +245,9 @@ def reasons(model: ChurnModel, limit: int = 3) -> DataFrame:
     )
 
 
-DECILE_SCHEMA = "decile int, n long, churn_rate double, avg_score double, message string"
+# Fixed value: the message shown instead of a model.
 TOO_LITTLE = "Not enough data in the current filter selection to train the risk model."
+DECILE_SCHEMA = "decile int, n long, churn_rate double, avg_score double, message string"
 
 
 def guarded_deciles(users: DataFrame, more_than: int = 200) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.bands import quantile_bucket
-from holdfast.functions.numbers import count_rows, int_div, percent, ratio, round_dp
+from holdfast.functions.numbers import count_rows, int_div, percent, ratio, round_small
 from holdfast.operators.ordered import ntile_of, quantile_edges, row_index, score_totals
 
 PROFILE_COLUMNS = (
@@ -39,7 +39,7 @@ def with_raw_score(users: DataFrame, name: str = "raw_score") -> DataFrame:
 
 
 def scored(users: DataFrame) -> DataFrame:
-    proxy = round_dp(F.col("raw_score"), 4).alias("risk_proxy")
+    proxy = round_small(F.col("raw_score"), 4).alias("risk_proxy")
     return with_raw_score(users.select(*PROFILE_COLUMNS)).select(*PROFILE_COLUMNS, proxy)
 
 
@@ -141,7 +141,7 @@ def rank_deciles(users: DataFrame) -> DataFrame:
     reached = F.filter("_starts", lambda s: s["start"] <= F.col("raw_score"))
     return base.withColumn("_starts", starts).select(
         "user_id",
-        round_dp(F.col("raw_score"), 4).alias("risk_score"),
+        round_small(F.col("raw_score"), 4).alias("risk_score"),
         F.element_at(reached, -1).getField("decile").alias("risk_decile"),
     )
 

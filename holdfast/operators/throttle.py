@@ -21,6 +21,7 @@ from holdfast.sources.workspace import fresh_path, publish
 DAY_US = 86_400_000_000
 # Rows of one key that one task may scan; keys above it are split over time.
 SCAN_ROWS = 5_000_000
+SLICE_WRITERS = 32
 _STARTS_SCHEMA = "user_id long, slice long, opened long"
 
 
@@ -41,31 +42,50 @@ def request_log(events: DataFrame) -> DataFrame:
     return events.select("event_id", key.alias("user_id"), _epoch_micros(events).alias("at"))
 
 
+def window_walk(window_us: int, quota: int):
+    """Returns ``walk(at, opened, seen)`` over one key's ascending request times.
+
+    It steps from window to window, not from row to row, and gives each row's opening
+    time and verdict together with the window left open. Defined inside the call so
+    that it travels to the workers whole.
+    """
+
+    def walk(at: np.ndarray, opened: int | None, seen: int):
+        opened_at = np.empty(len(at), dtype=np.int64)
+        accepted = np.zeros(len(at), dtype=bool)
+        row = 0
+        while row < len(at):
+            if opened is None or at[row] > opened + window_us:
+                opened, seen = int(at[row]), 0
+            end = row + int(np.searchsorted(at[row:], opened + window_us, side="right"))
+            opened_at[row:end] = opened
+            accepted[row : min(end, row + max(0, quota - seen))] = True
+            seen += end - row
+            row = end
+        return opened_at, accepted, opened, seen
+
+    return walk
+
+
 def _scan(window_us: int, quota: int):
     """Judges key- and time-sorted batches, carrying only the open window between them.
 
     Memory therefore does not depend on how many rows a key has.
     """
+    walk = window_walk(window_us, quota)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, opened, seen = None, 0, 0
+        key, opened, seen = None, None, 0
         for batch in batches:
             keys, at = batch["user_id"].to_numpy(), batch["at"].to_numpy()
             opened_at = np.empty(len(at), dtype=np.int64)
             accepted = np.zeros(len(at), dtype=bool)
             edges = np.append(np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)), len(at))
-            for row, last in zip(edges[:-1], edges[1:]):
-                if keys[row] != key:
-                    key, opened, seen = keys[row], at[row], 0
-                while row < last:
-                    if at[row] > opened + window_us:
-                        opened, seen = at[row], 0
-                    end = row + np.searchsorted(at[row:last], opened + window_us, side="right")
-                    opened_at[row:end] = opened
-                    accepted[row : row + max(0, quota - seen)] = True
-                    accepted[end:] = False
-                    seen += end - row
-                    row = end
+            for first, last in zip(edges[:-1], edges[1:]):
+                if keys[first] != key:
+                    key, opened, seen = keys[first], None, 0
+                run = slice(first, last)
+                opened_at[run], accepted[run], opened, seen = walk(at[run], opened, seen)
             yield batch.assign(opened=opened_at, accepted=accepted)
 
     return judge
@@ -89,9 +109,10 @@ def _mark_split(log: DataFrame, window_us: int) -> DataFrame:
     table (one row per large key and slice).
     """
     spark = log.sparkSession
-    sliced = publish(
-        log.withColumn("slice", int_div(F.col("at"), window_us)), "throttle-log", ("slice",)
-    )
+    # Several writers per slice: a slice may hold a large part of the log.
+    writer = F.pmod(F.col("event_id"), F.lit(SLICE_WRITERS))
+    by_slice = log.withColumn("slice", int_div(F.col("at"), window_us)).repartition("slice", writer)
+    sliced = publish(by_slice, "throttle-log", ("slice",))
     starts_path = fresh_path(spark, "throttle-starts")
     spark.createDataFrame([], _STARTS_SCHEMA).write.parquet(starts_path)
     slices = [row.slice for row in sliced.select("slice").distinct().orderBy("slice").toLocalIterator()]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,22 @@ CSV_FILES = {
     "watch_history": "watch_history.csv",
     "ratings": "ratings.csv",
 }
-USER_HEADERS = {name: name.title().replace("_Id", "_ID") for name in schemas.USERS.names}
+USER_HEADERS = {
+    "user_id": "User_ID",
+    "name": "Name",
+    "age": "Age",
+    "country": "Country",
+    "subscription_type": "Subscription_Type",
+    "signup_date": "Signup_Date",
+    "tenure_days": "Tenure_Days",
+    "watch_time_hours": "Watch_Time_Hours",
+    "favorite_genre": "Favorite_Genre",
+    "last_login": "Last_Login",
+    "days_since_login": "Days_Since_Login",
+    "support_tickets": "Support_Tickets",
+    "num_devices": "Num_Devices",
+    "churn": "Churn",
+}
 
 
 def read_csv(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -78,7 +94,7 @@ def read_tables(
         try:
             return read_jdbc_tables(spark, url, partitions, key_ranges or {}, **options)
         except Exception as problem:  # any connection or driver failure falls back
-            print(f"database load failed ({problem}); reading the CSV files")
+            warnings.warn(f"database load failed ({problem}); reading the CSV files")
     return read_csv_tables(spark, folder)
 
 

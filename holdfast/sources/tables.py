@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.functions.numbers import round_dp
+from holdfast.functions.numbers import round_dp, round_small
 from holdfast.sources import schemas
 from holdfast.sources.workspace import publish
 
@@ -51,11 +51,12 @@ _WATCH_COLUMNS = (
 
 def session_minutes(duration_min, completion_rate):
     """Minutes watched: the title's length times the share completed, one decimal."""
-    return round_dp(duration_min * completion_rate / F.lit(100.0), 1)
+    return round_small(duration_min * completion_rate / F.lit(100.0), 1)
 
 
-def _content(part: DataFrame) -> DataFrame:
+def _content(part: DataFrame, *keep: str) -> DataFrame:
     return part.select(
+        *keep,
         F.format_string("C%06d", "p_partkey").alias("content_id"),
         F.col("p_name").alias("title"),
         F.col("p_type").alias("genre"),
@@ -71,9 +72,7 @@ def _sessions(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFr
     while they are under the session's threshold, and AQE splits hot keys.
     """
     buyers = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id"))
-    titles = part.select(
-        F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("genre"), F.col("p_size").alias("size")
-    )
+    titles = _content(part.withColumn("l_partkey", F.col("p_partkey")), "l_partkey")
     completion = F.lit(2.0) * F.col("l_quantity")
     return (
         lineitem.join(buyers, "l_orderkey")
@@ -82,9 +81,9 @@ def _sessions(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFr
             F.col("l_orderkey").alias("order_key"),
             F.col("l_linenumber").alias("line_no"),
             "user_id",
-            F.format_string("C%06d", "l_partkey").alias("content_id"),
+            "content_id",
             F.col("l_shipdate").cast("date").alias("watch_date"),
-            session_minutes(F.lit(45) + F.col("size") * 3, completion).alias("session_duration"),
+            session_minutes(F.col("duration_min"), completion).alias("session_duration"),
             completion.alias("completion_rate"),
             "genre",
             F.col("l_returnflag").alias("return_flag"),

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from holdfast.operators.throttle import DAY_US, request_log
+from holdfast.operators.throttle import DAY_US, request_log, window_walk
 from holdfast.sources.workspace import fresh_path
 
 HOUR_US = 3_600_000_000
@@ -21,37 +21,33 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 def quota_processor(window_us: int, quota: int, keep_ms: int | None) -> StatefulProcessor:
     """The state machine, defined inside the call so that it travels to the workers whole."""
 
+    walk = window_walk(window_us, quota)
+
     class QuotaProcessor(StatefulProcessor):
-        """Keeps (opened, count) per key; the state of a key that goes quiet expires.
+        """Keeps (opened, seen) per key; the state of a key that goes quiet expires.
 
         No request is dropped: one older than the open window counts in that window and
         is flagged late.
         """
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.window = handle.getValueState("window", "opened long, count long", keep_ms)
+            self.window = handle.getValueState("window", "opened long, seen long", keep_ms)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            opened, count = self.window.get() if self.window.exists() else (None, 0)
+            before = self.window.get() if self.window.exists() else (None, 0)
             # One key's rows of one micro-batch, whose size the source's trigger limit sets.
-            batch = pd.concat(list(rows)).sort_values(["at", "event_id"])
-            accepted, retry, late = [], [], []
-            for at in batch["at"].tolist():
-                if opened is None or at > opened + window_us:
-                    opened, count = at, 0
-                passed = count < quota
-                count += passed
-                accepted.append(passed)
-                late.append(at < opened)
-                retry.append(None if passed else -((at - opened - window_us) // 1_000_000))
-            self.window.update((opened, count))
+            batch = pd.concat([r[["event_id", "at"]] for r in rows]).sort_values(["at", "event_id"])
+            at = batch["at"].to_numpy()
+            opened_at, accepted, opened, seen = walk(at, *before)
+            self.window.update((opened, seen))
+            wait = -((at - opened_at - window_us) // 1_000_000)
             yield pd.DataFrame(
                 {
                     "event_id": batch["event_id"].to_numpy(),
                     "user_id": key[0],
                     "accepted": accepted,
-                    "retry_after": pd.array(retry, dtype="Int32"),
-                    "late": late,
+                    "retry_after": pd.Series(wait, dtype="Int32").mask(accepted),
+                    "late": at < opened_at,
                 }
             )
 
@@ -84,7 +80,7 @@ def throttle_stream(
 
 
 def open_log(
-    spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_trigger: int = 64
+    spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_trigger: int = 8
 ) -> DataFrame:
     """Files of a folder as a streaming log; the trigger limit bounds a micro-batch."""
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
