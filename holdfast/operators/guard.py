@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from holdfast.sources.tables import Tables
 
-# Rejected words in reporting order, readable tables, caps, messages.
+# White space, rejected words in reporting order, readable tables, caps, messages.
+WHITE_SPACE = " \t\n\v\f\r\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(
+    chr(code) for code in range(0x2000, 0x200B)
+)
 FORBIDDEN = (
     "INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "REPLACE", "TRUNCATE", "VACUUM",
     "ATTACH", "DETACH", "PRAGMA", "REINDEX", "EXEC", "EXECUTE", "COPY", "GRANT", "REVOKE",
@@ -27,8 +30,13 @@ _NAME = "([a-zA-Z_][a-zA-Z0-9_]*)"
 
 
 def _trimmed(text: Column) -> Column:
-    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.regexp_replace(bare, r";+\s*$", "")
+    """Without surrounding white space, then without closing semicolons."""
+    return F.rtrim(F.trim(text, F.lit(WHITE_SPACE)), F.lit(";"))
+
+
+def _ascii_upper(text: Column) -> Column:
+    """Upper case in which no other letter turns into an ASCII one (two would)."""
+    return F.upper(F.replace(F.replace(text, F.lit("\u017f"), F.lit(" ")), F.lit("\u0131"), F.lit(" ")))
 
 
 def _all_matches(text: Column, pattern: str) -> Column:
@@ -46,16 +54,19 @@ def audit(statements: DataFrame, text: str = "sql_text") -> DataFrame:
     size is one scan without a shuffle.
     """
     sql = F.col("statement")
-    words = F.transform(_all_matches(sql, rf"(?i)\b({'|'.join(FORBIDDEN)})\b"), F.upper)
-    in_order = F.array_intersect(F.array(*[F.lit(w) for w in FORBIDDEN]), words)
-    named_parts = F.transform(_all_matches(sql, rf"(?i)\b{_NAME}\s+AS\s*\("), F.lower)
+    forbidden = F.array(*[F.lit(w) for w in FORBIDDEN])
+    words = F.split(_ascii_upper(sql), r"\W+")
+    found = F.when(F.arrays_overlap(forbidden, words), _first(F.array_intersect(forbidden, words)))
+    # Looking for the names in front of "AS (" is worth it only where that occurs.
+    named = F.transform(_all_matches(sql, rf"(?i)\b{_NAME}\s+AS\s*\("), F.lower)
+    named_parts = F.when(sql.rlike(r"(?i)\sAS\s*\("), named).otherwise(F.array().cast("array<string>"))
     sources = F.transform(_all_matches(sql, rf"(?i)\b(?:FROM|JOIN)\s+{_NAME}"), F.lower)
     known = F.concat(F.array(*[F.lit(name) for name in READABLE]), named_parts)
     unknown = F.array_except(sources, known)
     problem = F.coalesce(
         F.when(F.contains(sql, F.lit(";")), F.lit(MANY_STATEMENTS)),
-        F.when(~sql.rlike(r"(?i)^\s*(SELECT|WITH)\b"), F.lit(NOT_A_QUERY)),
-        F.concat(F.lit(FORBIDDEN_WORD), _first(in_order)),
+        F.when(~F.upper(sql).rlike(r"^\s*(SELECT|WITH)\b"), F.lit(NOT_A_QUERY)),
+        F.concat(F.lit(FORBIDDEN_WORD), found),
         F.concat(F.lit(UNKNOWN_TABLE), _first(unknown)),
     )
     return (

@@ -80,14 +80,14 @@ def throttle_stream(
 
 
 def open_log(
-    spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_trigger: int = 8
+    spark: SparkSession, folder: str, pattern: str = "*.parquet", bytes_per_trigger: int = 1 << 30
 ) -> DataFrame:
-    """Files of a folder as a streaming log; the trigger limit bounds a micro-batch."""
+    """Files of a folder as a streaming log; the byte limit bounds a micro-batch."""
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
     return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_trigger)
+        .option("maxBytesPerTrigger", bytes_per_trigger)
         .parquet(folder)
     )
 

@@ -549,7 +549,7 @@ log AS (
   FROM events
 ),
 cleaned AS (
-  SELECT stmt_id, regexp_replace(regexp_replace(sql_text, '^\\s+|\\s+$', '', 'g'), ';+\\s*$', '') AS statement
+  SELECT stmt_id, rtrim(trim(sql_text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), ';') AS statement
   FROM log
 ),
 parsed AS (

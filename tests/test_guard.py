@@ -25,6 +25,7 @@ CASES = {
     "SELECT * FROM invoices": guard.UNKNOWN_TABLE + "invoices",
     "SELECT * FROM pg_catalog.pg_tables": guard.UNKNOWN_TABLE + "pg_catalog",
     "SELECT EXTRACT(YEAR FROM signup_date) FROM users": guard.UNKNOWN_TABLE + "signup_date",
+    "SELECT '\u0131nsert', 'in\u017fert' FROM users": None,
     # Not seen by the text rules.
     "SELECT * FROM users u, invoices i": None,
     'SELECT * FROM "invoices"': None,

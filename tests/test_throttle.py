@@ -81,7 +81,7 @@ def test_stream_in_several_batches_equals_batch(spark, tmp_path):
     folder = str(tmp_path / "log")
     for part in np.array_split(np.arange(len(hits)), 4):
         log_frame(spark, [hits[i] for i in part]).coalesce(1).write.mode("append").parquet(folder)
-    result = replay(open_log(spark, folder, files_per_trigger=1), WINDOW, QUOTA)
+    result = replay(open_log(spark, folder, bytes_per_trigger=1), WINDOW, QUOTA)
     assert decided(result) == by_hand(hits)
     assert result.where("late").count() == 0
 
@@ -90,5 +90,5 @@ def test_late_rows_are_kept_and_flagged(spark, tmp_path):
     folder = str(tmp_path / "log")
     log_frame(spark, [(1, 1, 5_000_000)]).coalesce(1).write.parquet(folder)
     log_frame(spark, [(2, 1, 10)]).coalesce(1).write.mode("append").parquet(folder)
-    rows = {r.event_id: r for r in replay(open_log(spark, folder, files_per_trigger=1), WINDOW, QUOTA).collect()}
+    rows = {r.event_id: r for r in replay(open_log(spark, folder, bytes_per_trigger=1), WINDOW, QUOTA).collect()}
     assert len(rows) == 2 and rows[1].late is False and rows[2].late is True and rows[2].accepted
