@@ -93,15 +93,15 @@ def guarded_query(spark: SparkSession, t: Tables, text: str) -> DataFrame:
     """Run one statement over the four views only: capped text, then at most 200 rows.
 
     The text rules cannot see quoted names or tables after a comma, so the files the
-    analysed query would read are checked against the files of the four tables.
+    analysed query would read are checked against the files of the four tables. Tables
+    that are not files (a database) have only the text rules.
     """
     one = audit(spark.createDataFrame([(text,)], "sql_text string"))
     problem = one.select("problem").first().problem
     if problem:
         raise RejectedStatement(problem)
     statement = with_row_cap(one).select("capped_sql").first().capped_sql
-    for name, df in t.named().items():
-        df.createOrReplaceTempView(name)
+    t.create_views()
     result = spark.sql(statement)
     folders = reduce(set.union, (_folders(df) for df in t.named().values()))
     if not _folders(result) <= folders:

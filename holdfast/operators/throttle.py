@@ -37,9 +37,13 @@ def _epoch_micros(events: DataFrame) -> Column:
 
 
 def request_log(events: DataFrame) -> DataFrame:
-    """(event_id, user_id, at) with at in microseconds; requests without a key share -1."""
+    """(event_id, user_id, at) with at in microseconds.
+
+    Requests without a key share the key -1; those without a time count at the epoch.
+    """
     key = F.coalesce(F.col("user_id"), F.lit(-1).cast("long"))
-    return events.select("event_id", key.alias("user_id"), _epoch_micros(events).alias("at"))
+    at = F.coalesce(_epoch_micros(events), F.lit(0).cast("long"))
+    return events.select("event_id", key.alias("user_id"), at.alias("at"))
 
 
 def window_walk(window_us: int, quota: int):
@@ -105,8 +109,8 @@ def _mark_split(log: DataFrame, window_us: int) -> DataFrame:
     Time is cut into slices of one window's length, so a slice holds at most one
     opening per key: the first request after the window that reaches into it. That
     is a minimum, which folds inside each map task. Slices are taken in order, each
-    reading its own partition of the log; the openings found so far are a small
-    table (one row per large key and slice).
+    reading its own partition of the log. There are at most rows / SCAN_ROWS large
+    keys, so their open windows are broadcast.
     """
     spark = log.sparkSession
     # Several writers per slice: a slice may hold a large part of the log.
@@ -121,7 +125,7 @@ def _mark_split(log: DataFrame, window_us: int) -> DataFrame:
         open_until = known.groupBy("user_id").agg((F.max("opened") + window_us).alias("until"))
         (
             sliced.where(F.col("slice") == slice_no)
-            .join(open_until, "user_id", "left")
+            .join(F.broadcast(open_until), "user_id", "left")
             .where(F.col("until").isNull() | (F.col("at") > F.col("until")))
             .groupBy("user_id", "slice")
             .agg(F.min("at").alias("opened"))

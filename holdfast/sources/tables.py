@@ -29,6 +29,11 @@ class Tables:
     def named(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in schemas.ALL}
 
+    def create_views(self) -> None:
+        """Register the four tables as temporary views for Spark SQL."""
+        for name, df in self.named().items():
+            df.createOrReplaceTempView(name)
+
     def keys(self) -> dict[str, tuple[str, ...]]:
         return {
             "users": ("user_id",),
@@ -179,8 +184,10 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
         }
         part, orders = base["part"], base["orders"]
         sessions = publish(_sessions(base["lineitem"], orders, part), "sessions")
+        # Users lie in id order, so the lookup of one user skips all other row groups.
+        users = _users(base["customer"], base["nation"], orders, part, sessions)
         _loaded[key] = Tables(
-            users=publish(_users(base["customer"], base["nation"], orders, part, sessions), "users"),
+            users=publish(users.repartitionByRange("user_id").sortWithinPartitions("user_id"), "users"),
             content=publish(_content(part), "content"),
             watch_history=sessions.select(*_WATCH_COLUMNS),
             ratings=publish(_ratings(sessions), "ratings"),

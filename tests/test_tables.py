@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import small
-from holdfast.operators import bi, content, quality, segments, users
+from holdfast.operators import bi, content, joins, quality, segments, users
 from holdfast.plans import bundle, library, registry
 from holdfast.sources import files, workspace
 
@@ -86,6 +86,15 @@ def test_users_without_sessions_are_filled(spark):
     assert genres == {1: "Drama", 2: "Action"}
 
 
+def test_dimension_beyond_the_broadcast_bound_joins_by_shuffle(spark, tables, monkeypatch):
+    wanted = users.favourite_genre(tables.users, tables.watch_history, tables.content).collect()
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 5)
+    joined = joins.join_dimension(tables.watch_history, tables.content, "content_id")
+    assert joined.count() == tables.watch_history.count()
+    found = users.favourite_genre(tables.users, tables.watch_history, tables.content).collect()
+    assert sorted(found) == sorted(wanted)
+
+
 def test_title_with_most_sessions_and_unmatched_sessions(spark):
     t = small.make(spark, content=[dict(), dict(content_id="C2", genre="Action", title="Two")],
                    watch=[dict(watch_id=i) for i in range(50)] + [dict(watch_id=99, content_id="gone")])

@@ -73,7 +73,9 @@ def test_state_is_carried_between_batches(spark):
 def test_zoned_and_missing_keys(spark):
     df = log_frame(spark, [(1, 7, 0), (2, 7, 5)]).selectExpr("event_id", "cast(ts as timestamp) ts", "user_id")
     nobody = df.selectExpr("event_id + 10 as event_id", "ts", "cast(null as long) as user_id")
-    assert len(decided(throttle_batch(df.union(nobody), WINDOW, 1))) == 4
+    timeless = df.selectExpr("event_id + 20 as event_id", "cast(null as timestamp) as ts", "user_id")
+    found = decided(throttle_batch(df.union(nobody).union(timeless), WINDOW, 1))
+    assert {e: a for e, (a, _) in found.items()} == {1: True, 2: False, 11: True, 12: False, 21: True, 22: False}
 
 
 def test_stream_in_several_batches_equals_batch(spark, tmp_path):
