@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,14 +32,18 @@ MAX_LEVELS = 1000
 def dummy_columns(users: DataFrame) -> dict[str, Column]:
     """An indicator per level of each categorical column, the first level left out.
 
-    Only the distinct level names reach the driver, and their number is checked.
+    One scan finds the levels of all three columns. Only their names reach the driver,
+    and their number is checked.
     """
+    sets = [[F.col(c)] for c in CATEGORICAL]
+    found = users.groupingSets(sets, *CATEGORICAL).agg(count_rows().alias("users"))
+    bound = MAX_LEVELS * len(CATEGORICAL)
+    rows = found.limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"{', '.join(CATEGORICAL)} have more than {bound} levels")
     dummies = {}
     for column in CATEGORICAL:
-        found = users.where(F.col(column).isNotNull()).select(column).distinct()
-        levels = sorted(row[0] for row in found.limit(MAX_LEVELS + 1).collect())
-        if len(levels) > MAX_LEVELS:
-            raise ValueError(f"{column} has more than {MAX_LEVELS} levels")
+        levels = sorted({row[column] for row in rows if row[column] is not None})
         for level in levels[1:]:
             dummies[f"{column}_{level}"] = F.when(F.col(column) == level, 1.0).otherwise(0.0)
     return dummies
@@ -142,45 +146,58 @@ def zscores(users: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class ChurnModel:
+    """A fitted model over ``features``: user_id, churn, is_train and a vector in training
+    sample deviations. ``shrink`` leads from these to population deviations."""
+
     names: list[str]
     fitted: LogisticRegressionModel
-    # user_id, churn, is_train and the standardised features of every user.
     features: DataFrame
+    shrink: float
+
+    @property
+    def weights(self) -> list[float]:
+        """Weight of each vector element."""
+        return [float(w) for w in self.fitted.coefficients]
 
     def coefficients(self) -> DataFrame:
-        rows = list(zip(self.names, (float(c) for c in self.fitted.coefficients)))
+        """Weight of each feature when it is measured in population deviations."""
+        rows = [(name, weight * self.shrink) for name, weight in zip(self.names, self.weights)]
         return self.features.sparkSession.createDataFrame(rows, "feature string, coefficient double")
 
     @cached_property
     def scores(self) -> DataFrame:
         """user_id, churn, is_train and the probability of churn, computed once."""
         probability = vector_to_array("probability")[1]
-        scored = self.fitted.transform(_vectors(self.features, self.names)).select(
+        scored = self.fitted.transform(self.features).select(
             "user_id", "churn", "is_train", probability.alias("probability")
         )
         return publish(scored, "scores")
 
 
-def _vectors(features: DataFrame, names: list[str]) -> DataFrame:
-    assembled = VectorAssembler(inputCols=names, outputCol="features").transform(features)
-    return assembled.select("user_id", "churn", "is_train", "features")
-
-
-def _fit(raw: DataFrame, names: list[str]) -> ChurnModel:
-    """Standardise by the training rows, publish the features and fit.
+def _fit(frame: DataFrame, names: list[str]) -> ChurnModel:
+    """Standardise by the training rows and fit.
 
     A penalty of |w|^2 / 2 against the summed loss is 1 / rows against the mean loss.
+    The scaler divides by sample deviations; weights are penalised as if it were
+    population deviations, which only rescales the penalty.
     """
-    train = raw.where("is_train")
-    features = publish(standardised(raw, train, names), "features")
+    plain = {name: f"f{i}" for i, name in enumerate(names)}
+    columns = [F.col(f"`{name}`").alias(column) for name, column in plain.items()]
+    assembler = VectorAssembler(inputCols=list(plain.values()), outputCol="raw")
+    assembled = assembler.transform(frame.select("user_id", "churn", "is_train", *columns))
+    vectors = publish(assembled.select("user_id", "churn", "is_train", "raw"), "features")
+    train = vectors.where("is_train")
+    rows = train.count()
+    shrink = ((rows - 1) / rows) ** 0.5
+    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(train)
     learner = LogisticRegression(
         labelCol="churn",
         maxIter=1000,
-        regParam=1.0 / train.count(),
+        regParam=shrink**2 / rows,
         elasticNetParam=0.0,
         standardization=False,
     )
-    return ChurnModel(names, learner.fit(_vectors(features.where("is_train"), names)), features)
+    return ChurnModel(names, learner.fit(scaler.transform(train)), scaler.transform(vectors).drop("raw"), shrink)
 
 
 def fit(users: DataFrame) -> ChurnModel:
@@ -229,15 +246,17 @@ def scored_deciles(model: ChurnModel) -> DataFrame:
 
 def reasons(model: ChurnModel, limit: int = 3) -> DataFrame:
     """Per user the features that move the score most, with their signed contribution."""
-    parts = [
-        F.struct(
-            F.abs(F.col(f"`{name}`") * F.lit(weight)).alias("size"),
-            F.lit(name).alias("feature"),
-            round_dp(F.col(f"`{name}`") * F.lit(weight), 6).alias("contribution"),
-        )
-        for name, weight in zip(model.names, (float(c) for c in model.fitted.coefficients))
-    ]
-    strongest = F.slice(F.sort_array(F.array(*parts), asc=False), 1, limit)
+    weights = F.array(*[F.lit(w) for w in model.weights])
+    names = F.array(*[F.lit(name) for name in model.names])
+    moved = F.zip_with(vector_to_array("features"), weights, lambda x, w: x * w)
+    labelled = F.zip_with(
+        moved,
+        names,
+        lambda part, name: F.struct(
+            F.abs(part).alias("size"), name.alias("feature"), round_dp(part, 6).alias("contribution")
+        ),
+    )
+    strongest = F.slice(F.sort_array(labelled, asc=False), 1, limit)
     return model.features.select(
         "user_id", F.posexplode(strongest).alias("place", "reason")
     ).select(

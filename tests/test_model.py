@@ -22,10 +22,15 @@ def test_split_is_stratified_and_exact(tables):
     assert sum(counts.values()) == tables.users.count()
 
 
+def training_matrix(fitted):
+    rows = fitted.features.where("is_train").select("churn", "features").toPandas()
+    x = np.stack([v.toArray() for v in rows["features"]]) / fitted.shrink
+    return x, rows["churn"].to_numpy(float)
+
+
 def test_weights_minimise_the_penalised_loss(fitted):
     """Newton's method on the same rows: summed log loss + |w|^2 / 2, free intercept."""
-    rows = fitted.features.where("is_train").select("churn", *[f"`{n}`" for n in fitted.names]).toPandas()
-    y, x = rows["churn"].to_numpy(float), rows[fitted.names].to_numpy(float)
+    x, y = training_matrix(fitted)
     x = np.column_stack([np.ones(len(x)), x])
     penalty = np.diag([0.0] + [1.0] * (x.shape[1] - 1))
     w = np.zeros(x.shape[1])
@@ -33,15 +38,14 @@ def test_weights_minimise_the_penalised_loss(fitted):
         p = 1 / (1 + np.exp(-x @ w))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (p - y) + penalty @ w)
         w -= step
+    found = {r.feature: r.coefficient for r in fitted.coefficients().collect()}
     assert np.allclose(fitted.fitted.intercept, w[0], atol=2e-3)
-    assert np.allclose(fitted.fitted.coefficients.toArray(), w[1:], atol=2e-3)
+    assert np.allclose([found[n] for n in fitted.names], w[1:], atol=2e-3)
 
 
 def test_training_features_are_standardised(fitted):
-    train = fitted.features.where("is_train")
-    for name in model.NUMERIC:
-        mean, deviation = train.agg(F.avg(name), F.stddev_pop(name)).first()
-        assert abs(mean) < 1e-9 and abs(deviation - 1) < 1e-9
+    x, _ = training_matrix(fitted)
+    assert np.allclose(x.mean(axis=0), 0, atol=1e-9) and np.allclose(x.std(axis=0), 1, atol=1e-9)
 
 
 def test_quality_and_lift(fitted, tables):
@@ -62,12 +66,20 @@ def test_first_level_is_dropped(spark):
     assert names == [*model.NUMERIC, "favorite_genre_B", "country_B", "country_C"]
 
 
-def test_reasons_add_up_to_the_strongest_parts(fitted):
-    weights = dict(zip(fitted.names, fitted.fitted.coefficients))
-    user = fitted.features.orderBy("user_id").first().asDict()
-    parts = sorted(((abs(user[n] * w), n) for n, w in weights.items()), reverse=True)[:3]
-    found = model.reasons(fitted).where(F.col("user_id") == user["user_id"]).orderBy("place").collect()
-    assert [r.feature for r in found] == [n for _, n in parts]
+def test_reasons_are_the_strongest_parts(fitted):
+    user = fitted.features.orderBy("user_id").first()
+    parts = user.features.toArray() * np.array(fitted.weights)
+    strongest = sorted(zip(np.abs(parts), fitted.names, parts), reverse=True)[:3]
+    found = model.reasons(fitted).where(F.col("user_id") == user.user_id).orderBy("place").collect()
+    assert [r.feature for r in found] == [name for _, name, _ in strongest]
+    assert np.allclose([r.contribution for r in found], [part for _, _, part in strongest], atol=1e-6)
+
+
+def test_levels_with_dots_are_features_too(spark):
+    rows = [dict(user_id=i, country="St. A" if i % 3 else "B.", churn=int(i % 4 == 0), age=20 + i % 30) for i in range(300)]
+    fitted = model.fit(small.make(spark, users=rows).users)
+    assert "country_St. A" in fitted.names
+    assert fitted.coefficients().count() == len(fitted.names)
 
 
 def test_guarded_model_wants_enough_users_and_both_classes(spark):
