@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import byte_pairs, packing, token_files
+from holdfast.llm import byte_pairs, language, packing, quality_classifier, token_files
 from holdfast.llm.tables import documents
 
 END_ID = 2
 
 
+def crc_remainder(column: str, divisor: int) -> Column:
+    return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = token_files.write(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), END_ID)
     return token_files.read(shards).select(
@@ -29,9 +33,30 @@ def op8_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.digests(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = crc_remainder("doc_id", 5) == 0
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    learning = docs.select("doc_id", "text", "n_chars").where(~held_out).join(labels, "doc_id")
+    scores = quality_classifier.scored(docs, quality_classifier.fit(learning))
+    return scores.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = crc_remainder("doc_id", 4) == 2
+    identifier = language.fit(docs.select("text", "lang").where(~held_out))
+    named = language.identified(docs.select("doc_id", "text"), identifier)
+    return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op3_token_files": op3_token_files,
     "op7_best_two_fit": op7_best_two_fit,
     "op8_byte_pairs": op8_byte_pairs,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_language": op10_language,
 }
 TEXTS: dict[str, str] = {}
