@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import byte_pairs, language, packing, quality_classifier, token_files
+from holdfast.llm import byte_pairs, language, packing, quality_classifier, quality_rules, token_files
 from holdfast.llm.tables import documents
 
 END_ID = 2
@@ -16,6 +16,10 @@ def crc_remainder(column: str, divisor: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = token_files.write(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), END_ID)
     return token_files.read(shards).select(
@@ -53,6 +57,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_token_files": op3_token_files,
     "op7_best_two_fit": op7_best_two_fit,
     "op8_byte_pairs": op8_byte_pairs,
