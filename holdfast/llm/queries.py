@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import byte_pairs, language, packing, quality_classifier, quality_rules, token_files
+from holdfast.llm import byte_pairs, language, packing, quality_classifier, quality_rules, surrogates, token_files
 from holdfast.llm.tables import documents
 
 END_ID = 2
+# A sample key; a user passes a secret one.
+SURROGATE_KEY = "sample key"
 
 
 def crc_remainder(column: str, divisor: int) -> Column:
@@ -20,6 +22,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replaced(documents(spark, sf_dir).select("doc_id", "text"), SURROGATE_KEY)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = token_files.write(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), END_ID)
     return token_files.read(shards).select(
@@ -57,6 +63,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_surrogates": op2_surrogates,
     "op1_quality_rules": op1_quality_rules,
     "op3_token_files": op3_token_files,
     "op7_best_two_fit": op7_best_two_fit,
