@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import byte_pairs, language, packing, quality_classifier, quality_rules, surrogates, token_files
+from holdfast.llm import byte_pairs, language, packing, quality_classifier, quality_rules, shingle_join, surrogates, token_files
 from holdfast.llm.tables import documents
 
 END_ID = 2
@@ -33,6 +33,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.joined(documents(spark, sf_dir))
+
+
 def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.packed_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
     return packing.pack(cut.drop("ids"))
@@ -66,6 +70,7 @@ QUERIES = {
     "op2_surrogates": op2_surrogates,
     "op1_quality_rules": op1_quality_rules,
     "op3_token_files": op3_token_files,
+    "op6_shingle_join": op6_shingle_join,
     "op7_best_two_fit": op7_best_two_fit,
     "op8_byte_pairs": op8_byte_pairs,
     "op9_quality_classifier": op9_quality_classifier,

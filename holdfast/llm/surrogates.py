@@ -231,11 +231,14 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     by_text = settled(
         parts.groupBy("digest").agg(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["by"]).alias("by")), "replacements"
     ).select(F.col("digest").alias(f"{own}digest"), F.col("by").alias(f"{own}by"))
-    keyed = docs.withColumn(f"{own}digest", F.coalesce(F.sha2("text", 256), F.concat(F.lit("null "), F.xxhash64(*docs.columns).cast("string"))))
-    joined = keyed.join(by_text, f"{own}digest", "left")
+    # Texts without a trigger hold no entity and stay out of the join, and so out of the shuffle.
+    triggered = F.coalesce(text.rlike(TRIGGER), F.lit(False))
+    keyed = docs.where(triggered).withColumn(f"{own}digest", F.sha2("text", 256))
+    joined = keyed.join(by_text.hint("merge"), f"{own}digest", "left")
     by = F.col(f"{own}by")
     pieces = F.zip_with(F.split(text, ANY_KIND, -1), by, lambda piece, new: F.concat(piece, F.coalesce(new, F.lit(""))))
-    return joined.select(
+    changed = joined.select(
         *[F.when(by.isNull(), text).otherwise(F.array_join(pieces, "")).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns],
         F.coalesce(F.size(by), F.lit(0)).alias("n_entities"),
     )
+    return changed.union(docs.where(~triggered).withColumn("n_entities", F.lit(0)))
