@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import byte_pairs, language, packing, quality_classifier, quality_rules, shingle_join, surrogates, token_files
+from holdfast.llm import byte_pairs, hilbert_search, language, packing, quality_classifier, quality_rules, shingle_join, surrogates, token_files
 from holdfast.llm.tables import documents
 
 END_ID = 2
+NEAREST, QUERY_STEP = 20, 20
 # A sample key; a user passes a secret one.
 SURROGATE_KEY = "sample key"
 
@@ -33,6 +34,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_search.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), NEAREST, QUERY_STEP)
+
+
 def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.joined(documents(spark, sf_dir))
 
@@ -70,6 +75,7 @@ QUERIES = {
     "op2_surrogates": op2_surrogates,
     "op1_quality_rules": op1_quality_rules,
     "op3_token_files": op3_token_files,
+    "op5_hilbert_search": op5_hilbert_search,
     "op6_shingle_join": op6_shingle_join,
     "op7_best_two_fit": op7_best_two_fit,
     "op8_byte_pairs": op8_byte_pairs,
