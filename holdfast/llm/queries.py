@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import byte_pairs, hilbert_search, language, packing, quality_classifier, quality_rules, shingle_join, surrogates, token_files
+from holdfast.llm import byte_pairs, hilbert_search, language, packing, quality_classifier, quality_rules, shingle_join, suffix_dedup, surrogates, token_files
 from holdfast.llm.tables import documents
 
 END_ID = 2
@@ -34,6 +34,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.deduplicated(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_search.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), NEAREST, QUERY_STEP)
 
@@ -75,6 +80,7 @@ QUERIES = {
     "op2_surrogates": op2_surrogates,
     "op1_quality_rules": op1_quality_rules,
     "op3_token_files": op3_token_files,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_hilbert_search": op5_hilbert_search,
     "op6_shingle_join": op6_shingle_join,
     "op7_best_two_fit": op7_best_two_fit,

@@ -22,6 +22,7 @@ by 64-bit hashes of 64-bit word hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,6 @@ from holdfast.llm.tables import settled, text_slices
 from holdfast.llm.words import word_codes
 
 BLOCK_BYTES = 8 << 20
-WORDS = 3
-PERCENT = 90
 BLOCK = 64
 FREQUENT = 1 << 16
 FREQUENT_IN = 128  # a shingle is frequent in a block of texts when one of so many texts has it
@@ -48,7 +47,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Rule:
+    """Shingles of so many words; similar from so many percent on."""
+
+    words: int = 3
+    percent: int = 90
+
+    def holds(self, shared: Column) -> Column:
+        """100 * intersection >= percent * union of a and b, for an intersection (or a bound of it) of ``shared``."""
+        return 100 * shared >= self.percent * (F.col("a.n") + F.col("b.n") - shared)
+
+
+def shingle_sets(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingles of all texts, one text after another, and the number of each text's."""
     words, codes, bounds = word_codes(pc.ascii_lower(text.fill_null("")))
     empty = words.index("") if "" in words else -1
@@ -60,12 +71,12 @@ def shingle_sets(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     count = np.diff(bounds)
     owner = np.repeat(np.arange(len(count)), count)
     rolled = hashes.copy()
-    for step in range(1, WORDS):
+    for step in range(1, size):
         rolled[: len(rolled) - step] = _mix(rolled[: len(rolled) - step]) + hashes[step:]
     rolled = _mix(rolled)
-    inside = np.arange(len(codes)) <= np.repeat(bounds[1:] - WORDS, count)
+    inside = np.arange(len(codes)) <= np.repeat(bounds[1:] - size, count)
     shingles, owner = rolled[inside], owner[inside]
-    short = np.flatnonzero((count > 0) & (count < WORDS))
+    short = np.flatnonzero((count > 0) & (count < size))
     whole = np.fromiter((xxhash.xxh3_64_intdigest(hashes[bounds[i] : bounds[i + 1]].tobytes()) for i in short), np.uint64, len(short))
     shingles, owner = np.concatenate((shingles, whole)), np.concatenate((owner, short))
     order = np.lexsort((shingles, owner))
@@ -80,12 +91,12 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
 
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, rule: Rule) -> np.ndarray:
     """At most ``FREQUENT`` shingles, those of the most texts first, of the ones frequent in some block."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_slices(batches, BLOCK_BYTES):
-            shingles, counts = shingle_sets(block.column(0))
+            shingles, counts = shingle_sets(block.column(0), rule.words)
             distinct, n = np.unique(shingles, return_counts=True)
             often = n >= max(8, len(counts) // FREQUENT_IN)
             yield pa.record_batch([pa.array(distinct[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["shingle", "n"])
@@ -95,14 +106,14 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(top["shingle"].to_numpy().view(np.uint64))
 
 
-def profiles(docs: DataFrame) -> DataFrame:
+def profiles(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n, key (of the set), typical (its share of frequent shingles), prefix (the rows that enter the product)."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, rule))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = frequent.value
         for block in text_slices(batches, BLOCK_BYTES):
-            shingles, counts = shingle_sets(block.column(1))
+            shingles, counts = shingle_sets(block.column(1), rule.words)
             ends = np.cumsum(counts)
             data, starts = memoryview(shingles.view(np.uint8)), ends - counts
             keys = [xxhash.xxh3_128_digest(data[8 * s : 8 * e]) for s, e in zip(starts, ends)]
@@ -111,7 +122,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             if len(common):
                 is_common = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
             ordered = shingles[np.argsort(2 * owner + is_common, kind="stable")]
-            size = np.where(counts > 0, counts - -(-counts * PERCENT // 100) + 1, 0)
+            size = np.where(counts > 0, counts - -(-counts * rule.percent // 100) + 1, 0)
             prefix = ordered[np.arange(len(ordered)) - np.repeat(starts, counts) < np.repeat(size, counts)]
             typical = np.bincount(owner, weights=is_common, minlength=len(counts)) / np.maximum(counts, 1)
             yield pa.record_batch(
@@ -123,23 +134,18 @@ def profiles(docs: DataFrame) -> DataFrame:
     return settled(chosen.mapInArrow(run, "doc_id long, n long, key binary, typical double, prefix array<long>"), "profiles")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_slices(batches, BLOCK_BYTES):
-            yield pa.record_batch([block.column(0), _lists(*shingle_sets(block.column(1)))], names=["id", "shingles"])
+            yield pa.record_batch([block.column(0), _lists(*shingle_sets(block.column(1), rule.words))], names=["id", "shingles"])
 
     return docs.mapInArrow(run, "id long, shingles array<long>")
 
 
-def _similar(shared: Column) -> Column:
-    """100 * intersection >= PERCENT * union, for an intersection (or a bound of it) of ``shared``."""
-    return 100 * shared >= PERCENT * (F.col("a.n") + F.col("b.n") - shared)
-
-
-def overlaps(pairs: DataFrame) -> DataFrame:
+def overlaps(pairs: DataFrame, rule: Rule) -> DataFrame:
     """Sums the columns' pairs (a, b: structs of id, n, place); those that may be similar, once each."""
     low, high = F.when(F.col("a.id") < F.col("b.id"), F.col("a")).otherwise(F.col("b")), F.when(F.col("a.id") < F.col("b.id"), F.col("b")).otherwise(F.col("a"))
-    sized = pairs.where(F.col("a.id") != F.col("b.id")).where(_similar(F.least("a.n", "b.n")))
+    sized = pairs.where(F.col("a.id") != F.col("b.id")).where(rule.holds(F.least("a.n", "b.n")))
     summed = (
         sized.select(low.alias("a"), high.alias("b"))
         .groupBy("a.id", "a.n", F.col("b.id").alias("b_id"), F.col("b.n").alias("b_n"))
@@ -152,16 +158,16 @@ def overlaps(pairs: DataFrame) -> DataFrame:
     )
     # Behind the last shared places, at most the shorter rest can be shared as well.
     rest = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) - 1
-    return summed.where(_similar(F.col("shared") + rest)).select("a", "b")
+    return summed.where(rule.holds(F.col("shared") + rest)).select("a", "b")
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     of_a = sets.select(F.col("id").alias("a_id"), F.col("shingles").alias("a_set"))
     of_b = sets.select(F.col("id").alias("b_id"), F.col("shingles").alias("b_set"))
     both = pairs.join(of_a, F.col("a.id") == F.col("a_id")).join(of_b, F.col("b.id") == F.col("b_id"))
     shared = F.size(F.array_intersect("a_set", "b_set")).cast("long")
-    return both.where(_similar(shared)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    return both.where(rule.holds(shared)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 def column_pairs(members: DataFrame) -> DataFrame:
@@ -196,9 +202,9 @@ def block_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
     return two.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
 
 
-def joined(docs: DataFrame) -> DataFrame:
+def joined(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links) of every row."""
-    profile = profiles(docs)
+    profile = profiles(docs, rule)
     classes = profile.where("doc_id IS NOT NULL AND n > 0").groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "typical", "prefix"), "doc_id").alias("first"))
     rows = classes.select("first.*", F.posexplode("first.prefix").alias("place", "shingle"))
     members = rows.select("shingle", "typical", F.struct(F.col("doc_id").alias("id"), "n", F.col("place").cast("long").alias("place")).alias("doc"))
@@ -210,16 +216,16 @@ def joined(docs: DataFrame) -> DataFrame:
     shared = settled(members.drop("typical").join(columns, "shingle"), "shared-columns")
     large = shared.where(F.col("members") > BLOCK)
     first = large.select(F.col("doc").alias("a"), F.col("centre").alias("b"))
-    pairs = settled(overlaps(column_pairs(shared.where(F.col("members") <= BLOCK)).union(first)), "pairs")
+    pairs = settled(overlaps(column_pairs(shared.where(F.col("members") <= BLOCK)).union(first), rule), "pairs")
     wanted = pairs.select("a.id").union(pairs.select("b.id")).union(large.select("doc.id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
-    sets = settled(full_sets(texts).distinct(), "sets")
-    links = settled(linked(pairs, sets), "links")
+    sets = settled(full_sets(texts, rule).distinct(), "sets")
+    links = settled(linked(pairs, sets, rule), "links")
     labels = components(links)
     if not large.isEmpty():
-        later = settled(overlaps(block_pairs(large.select("shingle", "doc"), labels)), "later-pairs")
+        later = settled(overlaps(block_pairs(large.select("shingle", "doc"), labels), rule), "later-pairs")
         if not later.isEmpty():
-            links = links.union(linked(later, sets))
+            links = links.union(linked(later, sets, rule))
             labels = components(links)
     of_class = classes.select("key", F.col("first.doc_id").alias("_first"))
     named = of_class.join(labels, F.col("_first") == F.col("id"), "left").select(
