@@ -1,10 +1,10 @@
 """N-gram Jaccard join by a blocked product of document by n-gram incidence.
 
 Documents with equal shingle sets are one class. With sets ordered alike, two sets of
-Jaccard similarity t or more share one of the first |x| - ceil(t |x|) + 1 shingles of each,
-so only these rows of the incidence matrix enter the product. Shingles that are frequent
-in some block of texts stand last in the order, which keeps common lines out of the rows;
-the list of frequent ones is bounded and affects cost alone.
+Jaccard similarity t or more share k of the first |x| - ceil(t |x|) + k shingles of each, so
+only these rows of the incidence matrix enter the product (k is ``SHARED``, or less for
+tiny sets). Shingles that several texts of a block have stand last in the order, which
+keeps common lines out of the rows; that list is bounded and affects cost alone.
 
 The product runs column by column: columns of at most ``BLOCK`` documents give all their
 pairs, larger ones pair every document with the column's most typical one. Overlap counts
@@ -37,8 +37,8 @@ from holdfast.llm.words import word_codes
 
 BLOCK_BYTES = 8 << 20
 BLOCK = 64
-FREQUENT = 1 << 16
-FREQUENT_IN = 128  # a shingle is frequent in a block of texts when one of so many texts has it
+SHARED = 3
+FREQUENT = 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,6 +58,10 @@ class Rule:
         """100 * intersection >= percent * union of a and b, for an intersection (or a bound of it) of ``shared``."""
         return 100 * shared >= self.percent * (F.col("a.n") + F.col("b.n") - shared)
 
+    def least_shared(self, sizes: np.ndarray) -> np.ndarray:
+        """ceil(percent * size / 100): no similar set shares less."""
+        return -(-sizes * self.percent // 100)
+
 
 def shingle_sets(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingles of all texts, one text after another, and the number of each text's."""
@@ -92,17 +96,18 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def frequent_shingles(docs: DataFrame, rule: Rule) -> np.ndarray:
-    """At most ``FREQUENT`` shingles, those of the most texts first, of the ones frequent in some block."""
+    """About ``FREQUENT`` shingles at most, those of the most texts, of the ones that several texts of a block have."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_slices(batches, BLOCK_BYTES):
-            shingles, counts = shingle_sets(block.column(0), rule.words)
-            distinct, n = np.unique(shingles, return_counts=True)
-            often = n >= max(8, len(counts) // FREQUENT_IN)
-            yield pa.record_batch([pa.array(distinct[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["shingle", "n"])
-
-    counted = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+            distinct, n = np.unique(shingle_sets(block.column(0), rule.words)[0], return_counts=True)
+            yield pa.record_batch([pa.array(distinct[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["shingle", "n"])
+
+    rows = docs.select("text").mapInArrow(count, "shingle long, n long")
+    counted = settled(rows.groupBy("shingle").agg(F.sum("n").alias("n")), "frequent")
+    share = max(0.0, 1 - FREQUENT / max(1, counted.count()))
+    [least] = counted.agg(F.percentile_approx("n", share, 10_000)).first()
+    top = counted.where(F.col("n") > (least or 0) if share else F.lit(True)).select("shingle").toArrow()
     return np.sort(top["shingle"].to_numpy().view(np.uint64))
 
 
@@ -122,7 +127,8 @@ def profiles(docs: DataFrame, rule: Rule) -> DataFrame:
             if len(common):
                 is_common = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
             ordered = shingles[np.argsort(2 * owner + is_common, kind="stable")]
-            size = np.where(counts > 0, counts - -(-counts * rule.percent // 100) + 1, 0)
+            least = rule.least_shared(counts)
+            size = counts - least + np.minimum(least, SHARED)
             prefix = ordered[np.arange(len(ordered)) - np.repeat(starts, counts) < np.repeat(size, counts)]
             typical = np.bincount(owner, weights=is_common, minlength=len(counts)) / np.maximum(counts, 1)
             yield pa.record_batch(
@@ -142,9 +148,14 @@ def full_sets(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles array<long>")
 
 
-def overlaps(pairs: DataFrame, rule: Rule) -> DataFrame:
-    """Sums the columns' pairs (a, b: structs of id, n, place); those that may be similar, once each."""
-    low, high = F.when(F.col("a.id") < F.col("b.id"), F.col("a")).otherwise(F.col("b")), F.when(F.col("a.id") < F.col("b.id"), F.col("b")).otherwise(F.col("a"))
+def overlaps(pairs: DataFrame, rule: Rule, crowded: DataFrame | None = None) -> DataFrame:
+    """Sums the columns' pairs (a, b: structs of id, n, place); those that may be similar, once each.
+
+    ``crowded`` has the ids of documents in large columns. Two of these may share more than
+    was summed here, so of them, and without ``crowded`` of all, only the places decide.
+    """
+    forward = F.col("a.id") < F.col("b.id")
+    low, high = F.when(forward, F.col("a")).otherwise(F.col("b")), F.when(forward, F.col("b")).otherwise(F.col("a"))
     sized = pairs.where(F.col("a.id") != F.col("b.id")).where(rule.holds(F.least("a.n", "b.n")))
     summed = (
         sized.select(low.alias("a"), high.alias("b"))
@@ -158,7 +169,15 @@ def overlaps(pairs: DataFrame, rule: Rule) -> DataFrame:
     )
     # Behind the last shared places, at most the shorter rest can be shared as well.
     rest = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) - 1
-    return summed.where(rule.holds(F.col("shared") + rest)).select("a", "b")
+    by_place = rule.holds(F.least("a.place", "b.place") + 1 + rest)
+    if crowded is None:
+        return summed.where(by_place).select("a", "b")
+    least = F.least(F.lit(SHARED), F.ceil(rule.percent * F.least("a.n", "b.n") / 100))
+    by_count = (F.col("shared") >= least) & rule.holds(F.col("shared") + rest)
+    both = summed.where(by_place)
+    for side in ("a", "b"):
+        both = both.join(crowded.select(F.col("id").alias(f"{side}_crowded")), F.col(f"{side}.id") == F.col(f"{side}_crowded"), "left")
+    return both.where(by_count | (F.col("a_crowded").isNotNull() & F.col("b_crowded").isNotNull())).select("a", "b")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -207,22 +226,21 @@ def joined(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     profile = profiles(docs, rule)
     classes = profile.where("doc_id IS NOT NULL AND n > 0").groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "typical", "prefix"), "doc_id").alias("first"))
     rows = classes.select("first.*", F.posexplode("first.prefix").alias("place", "shingle"))
-    members = rows.select("shingle", "typical", F.struct(F.col("doc_id").alias("id"), "n", F.col("place").cast("long").alias("place")).alias("doc"))
-    columns = (
-        members.groupBy("shingle")
-        .agg(F.count("*").alias("members"), F.max_by("doc", F.struct("typical", -F.col("doc.id"))).alias("centre"))
-        .where("members > 1")
-    )
-    shared = settled(members.drop("typical").join(columns, "shingle"), "shared-columns")
+    members = rows.select("shingle", "typical", F.struct(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), "place").alias("doc"))
+    columns = rows.groupBy("shingle").agg(F.count("*").alias("members")).where("members > 1")
+    shared = settled(members.join(columns, "shingle"), "shared-columns")
     large = shared.where(F.col("members") > BLOCK)
-    first = large.select(F.col("doc").alias("a"), F.col("centre").alias("b"))
-    pairs = settled(overlaps(column_pairs(shared.where(F.col("members") <= BLOCK)).union(first), rule), "pairs")
-    wanted = pairs.select("a.id").union(pairs.select("b.id")).union(large.select("doc.id")).distinct()
+    centres = large.groupBy("shingle").agg(F.max_by("doc", F.struct("typical", -F.col("doc.id"))).alias("b"))
+    first = large.join(centres, "shingle").select(F.col("doc").alias("a"), "b")
+    small = column_pairs(shared.where(F.col("members") <= BLOCK))
+    crowded = settled(large.select("doc.id").distinct(), "crowded")
+    pairs = settled(overlaps(small.union(first), rule, crowded), "pairs")
+    wanted = pairs.select("a.id").union(pairs.select("b.id")).union(crowded).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
-    sets = settled(full_sets(texts, rule).distinct(), "sets")
+    sets = settled(full_sets(texts, rule), "sets")
     links = settled(linked(pairs, sets, rule), "links")
     labels = components(links)
-    if not large.isEmpty():
+    if not crowded.isEmpty():
         later = settled(overlaps(block_pairs(large.select("shingle", "doc"), labels), rule), "later-pairs")
         if not later.isEmpty():
             links = links.union(linked(later, sets, rule))
