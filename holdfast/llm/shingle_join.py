@@ -90,6 +90,15 @@ def shingle_sets(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles[new], np.bincount(owner[new], minlength=len(count))
 
 
+def parities(shingles: np.ndarray, owner: np.ndarray, texts: int) -> pa.Array:
+    """Four longs a text: of 256 groups of shingles, whether it has an odd number.
+
+    Two sets differ in at least as many shingles as their parities in bits.
+    """
+    odd = np.bincount(owner * 256 + (shingles & np.uint64(255)).astype(np.int64), minlength=256 * texts) & 1
+    return _lists(np.packbits(odd.astype(bool)).view(np.int64), np.full(texts, 4))
+
+
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
@@ -132,12 +141,19 @@ def profiles(docs: DataFrame, rule: Rule) -> DataFrame:
             prefix = ordered[np.arange(len(ordered)) - np.repeat(starts, counts) < np.repeat(size, counts)]
             typical = np.bincount(owner, weights=is_common, minlength=len(counts)) / np.maximum(counts, 1)
             yield pa.record_batch(
-                [block.column(0), pa.array(counts), pa.array(keys, pa.binary()), pa.array(typical), _lists(prefix, size)],
-                names=["doc_id", "n", "key", "typical", "prefix"],
+                [
+                    block.column(0),
+                    pa.array(counts),
+                    pa.array(keys, pa.binary()),
+                    pa.array(typical),
+                    _lists(prefix, size),
+                    parities(shingles, owner, len(counts)),
+                ],
+                names=["doc_id", "n", "key", "typical", "prefix", "bits"],
             )
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return settled(chosen.mapInArrow(run, "doc_id long, n long, key binary, typical double, prefix array<long>"), "profiles")
+    return settled(chosen.mapInArrow(run, "doc_id long, n long, key binary, typical double, prefix array<long>, bits array<long>"), "profiles")
 
 
 def full_sets(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -196,14 +212,16 @@ def column_pairs(members: DataFrame) -> DataFrame:
     return ahead.select("a", F.explode(F.slice("docs", F.col("at") + 2, BLOCK)).alias("b"))
 
 
-def block_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
+def block_pairs(members: DataFrame, labels: DataFrame, bits: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of members of a column that lie in different components, block by block.
 
-    A block holds members of one component. Only one of a component's blocks and others' meet.
+    Before a pair leaves its blocks, sizes, places and parities bound what it can share.
     """
     named = (
         members.join(labels, F.col("doc.id") == labels["id"], "left")
         .select("shingle", "doc", F.coalesce("component", "doc.id").alias("component"))
+        .join(bits, F.col("doc.id") == F.col("bits_id"))
+        .drop("bits_id")
     )
     kinds = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     mixed = settled(named.join(kinds.select("shingle"), "shingle"), "mixed-columns")
@@ -212,19 +230,31 @@ def block_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
         "block", F.pmod(F.xxhash64("doc.id"), F.ceil(F.col("members") / BLOCK)).cast("int")
     )
     blocks = settled(
-        salted.groupBy("shingle", "block").agg(F.collect_list(F.struct("doc", "component")).alias("docs")), "column-blocks"
+        salted.groupBy("shingle", "block").agg(F.collect_list(F.struct("doc", "component", "bits")).alias("docs")), "column-blocks"
     )
     others = blocks.select("shingle", F.col("block").alias("other"), F.col("docs").alias("others"))
-    met = blocks.join(others, "shingle").where("block <= other")
-    one = met.select(F.explode("docs").alias("x"), "others")
-    two = one.select("x", F.explode(F.filter("others", lambda y: y["component"] != F.col("x.component"))).alias("y"))
+    one = blocks.join(others, "shingle").where("block <= other").select(F.explode("docs").alias("x"), "others")
+
+    def possible(y: Column) -> Column:
+        x = F.col("x")
+        n, m = x["doc"]["n"].cast("long"), y["doc"]["n"].cast("long")
+        rest = F.least(n - x["doc"]["place"], m - y["doc"]["place"]) - 1
+        most = F.least(x["doc"]["place"], y["doc"]["place"]) + 1 + rest
+        differing = sum((F.bit_count(x["bits"][i].bitwiseXOR(y["bits"][i])) for i in range(4)), F.lit(0))
+        return (
+            (x["component"] != y["component"])
+            & (100 * F.least(most, n, m) >= rule.percent * (n + m - F.least(most, n, m)))
+            & ((100 - rule.percent) * (n + m) >= (100 + rule.percent) * differing)
+        )
+
+    two = one.select("x", F.explode(F.filter("others", possible)).alias("y"))
     return two.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
 
 
 def joined(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links) of every row."""
     profile = profiles(docs, rule)
-    classes = profile.where("doc_id IS NOT NULL AND n > 0").groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "typical", "prefix"), "doc_id").alias("first"))
+    classes = profile.where("doc_id IS NOT NULL AND n > 0").groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "typical", "prefix", "bits"), "doc_id").alias("first"))
     rows = classes.select("first.*", F.posexplode("first.prefix").alias("place", "shingle"))
     members = rows.select("shingle", "typical", F.struct(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), "place").alias("doc"))
     columns = rows.groupBy("shingle").agg(F.count("*").alias("members")).where("members > 1")
@@ -236,12 +266,13 @@ def joined(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     crowded = settled(large.select("doc.id").distinct(), "crowded")
     pairs = settled(overlaps(small.union(first), rule, crowded), "pairs")
     wanted = pairs.select("a.id").union(pairs.select("b.id")).union(crowded).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted.hint("merge"), "id", "left_semi")
     sets = settled(full_sets(texts, rule), "sets")
     links = settled(linked(pairs, sets, rule), "links")
     labels = components(links)
     if not crowded.isEmpty():
-        later = settled(overlaps(block_pairs(large.select("shingle", "doc"), labels), rule), "later-pairs")
+        bits = classes.select(F.col("first.doc_id").alias("bits_id"), "first.bits")
+        later = settled(overlaps(block_pairs(large.select("shingle", "doc"), labels, bits, rule), rule), "later-pairs")
         if not later.isEmpty():
             links = links.union(linked(later, sets, rule))
             labels = components(links)
