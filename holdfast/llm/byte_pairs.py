@@ -18,6 +18,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -179,7 +180,7 @@ def decoded(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", data:
         coder = encoder_of(RankCoder, path, pattern)
         for block in text_slices(batches, BLOCK_BYTES, ids):
             column = block.column(names.index(ids)).fill_null(b"")
-            counts = pa.compute.binary_length(column).to_numpy().astype(np.int64) // 4
+            counts = pc.binary_length(column).to_numpy().astype(np.int64) // 4
             flat, lengths = coder.decode(np.frombuffer(b"".join(column.to_pylist()), "<u4"))
             sums = np.concatenate(([0], np.cumsum(lengths)))
             yield pa.record_batch([*block.columns, binary(flat, sums[np.cumsum(counts)])], names=[*names, data])

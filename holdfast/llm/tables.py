@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from holdfast.sources.workspace import fresh_path
@@ -45,7 +46,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], limit: int, column: str = "te
 
 
 def byte_lengths(text: pa.Array) -> np.ndarray:
-    lengths = pa.compute.binary_length(text).fill_null(0)
+    lengths = pc.binary_length(text).fill_null(0)
     return lengths.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
