@@ -27,7 +27,7 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 
 def int_div(value: Column, by: Column | int) -> Column:
     """Whole-number quotient of non-negative longs, exact at any size."""
-    return ((value - value % by) / by).cast("long")
+    return F.call_function("div", value, by if isinstance(by, Column) else F.lit(by))
 
 
 def count_rows() -> Column:

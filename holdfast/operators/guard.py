@@ -13,6 +13,8 @@ from holdfast.sources.tables import Tables
 WHITE_SPACE = " \t\n\v\f\r\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(
     chr(code) for code in range(0x2000, 0x200B)
 )
+# The same characters as a pattern; Java's own class has ASCII ones alone.
+_SPACE = rf"[{WHITE_SPACE}]"
 FORBIDDEN = (
     "INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "REPLACE", "TRUNCATE", "VACUUM",
     "ATTACH", "DETACH", "PRAGMA", "REINDEX", "EXEC", "EXECUTE", "COPY", "GRANT", "REVOKE",
@@ -58,14 +60,15 @@ def audit(statements: DataFrame, text: str = "sql_text") -> DataFrame:
     words = F.split(_ascii_upper(sql), r"\W+")
     found = F.when(F.arrays_overlap(forbidden, words), _first(F.array_intersect(forbidden, words)))
     # Looking for the names in front of "AS (" is worth it only where that occurs.
-    named = F.transform(_all_matches(sql, rf"(?i)\b{_NAME}\s+AS\s*\("), F.lower)
-    named_parts = F.when(sql.rlike(r"(?i)\sAS\s*\("), named).otherwise(F.array().cast("array<string>"))
-    sources = F.transform(_all_matches(sql, rf"(?i)\b(?:FROM|JOIN)\s+{_NAME}"), F.lower)
+    named = F.transform(_all_matches(sql, rf"(?i)\b{_NAME}{_SPACE}+AS{_SPACE}*\("), F.lower)
+    named_parts = F.when(sql.rlike(rf"(?i){_SPACE}AS{_SPACE}*\("), named).otherwise(F.array().cast("array<string>"))
+    sources = F.transform(_all_matches(sql, rf"(?i)\b(?:FROM|JOIN){_SPACE}+{_NAME}"), F.lower)
     known = F.concat(F.array(*[F.lit(name) for name in READABLE]), named_parts)
     unknown = F.array_except(sources, known)
     problem = F.coalesce(
+        F.when(sql.isNull(), F.lit(NOT_A_QUERY)),
         F.when(F.contains(sql, F.lit(";")), F.lit(MANY_STATEMENTS)),
-        F.when(~F.upper(sql).rlike(r"^\s*(SELECT|WITH)\b"), F.lit(NOT_A_QUERY)),
+        F.when(~F.upper(sql).rlike(rf"^{_SPACE}*(SELECT|WITH)\b"), F.lit(NOT_A_QUERY)),
         F.concat(F.lit(FORBIDDEN_WORD), found),
         F.concat(F.lit(UNKNOWN_TABLE), _first(unknown)),
     )
@@ -79,7 +82,7 @@ def audit(statements: DataFrame, text: str = "sql_text") -> DataFrame:
 def with_row_cap(audited: DataFrame) -> DataFrame:
     """Accepted statements with a row cap added where the text has no LIMIT of its own."""
     sql = F.col("statement")
-    capped = F.when(sql.rlike(r"(?i)\bLIMIT\s+\d+"), sql).otherwise(
+    capped = F.when(sql.rlike(rf"(?i)\bLIMIT{_SPACE}+\d+"), sql).otherwise(
         F.concat(sql, F.lit(f"\nLIMIT {ROW_CAP}"))
     )
     return audited.where("accepted").withColumn("capped_sql", capped)

@@ -115,7 +115,7 @@ def _mark_split(log: DataFrame, window_us: int) -> DataFrame:
     spark = log.sparkSession
     # Several writers per slice: a slice may hold a large part of the log.
     writer = F.pmod(F.col("event_id"), F.lit(SLICE_WRITERS))
-    by_slice = log.withColumn("slice", int_div(F.col("at"), window_us)).repartition("slice", writer)
+    by_slice = log.withColumn("slice", int_div(F.col("at") - F.pmod("at", F.lit(window_us)), window_us)).repartition("slice", writer)
     sliced = publish(by_slice, "throttle-log", ("slice",))
     starts_path = fresh_path(spark, "throttle-starts")
     spark.createDataFrame([], _STARTS_SCHEMA).write.parquet(starts_path)
