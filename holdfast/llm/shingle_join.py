@@ -10,8 +10,9 @@ The product runs column by column: columns of at most ``BLOCK`` documents give a
 pairs, larger ones pair every document with the column's most typical one. Overlap counts
 of a pair are summed over the columns, and the pair is discarded when they and the places
 of the shingles bound its similarity below t. Full sets decide on the rest. Documents of
-one large column that are not yet connected are then paired block by block, except within
-one component, where further links can't change the result.
+one large column that are not yet connected are then paired block by block, each pair at
+its first common column, except within one component, where further links can't change
+the result.
 
 Defined results: a null text, or one without words, has no shingles and no links; equal
 rows and equal sets are one class; a row without doc_id keeps its count and has no
@@ -213,37 +214,47 @@ def column_pairs(members: DataFrame) -> DataFrame:
 
 
 def block_pairs(members: DataFrame, labels: DataFrame, bits: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of members of a column that lie in different components, block by block.
+    """Pairs of members of a large column that lie in different components, block by block.
 
-    Before a pair leaves its blocks, sizes, places and parities bound what it can share.
+    Pairs that share a small column are decided by then. Any other similar pair shares none
+    but large columns, and is made at the first of them: nothing before it is shared, so what
+    is left behind bounds its overlap, and a member with too little left stays out. A
+    component with ``BLOCK`` members or more has blocks of its own, which never meet. Before a
+    pair leaves its blocks, sizes, places and parities bound what it can share.
     """
+    size, place = F.col("doc.n").cast("long"), F.col("doc.place")
     named = (
-        members.join(labels, F.col("doc.id") == labels["id"], "left")
+        members.where(100 * (size - place) >= rule.percent * size)
+        .join(labels, F.col("doc.id") == labels["id"], "left")
         .select("shingle", "doc", F.coalesce("component", "doc.id").alias("component"))
         .join(bits, F.col("doc.id") == F.col("bits_id"))
         .drop("bits_id")
     )
-    kinds = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    mixed = settled(named.join(kinds.select("shingle"), "shingle"), "mixed-columns")
-    count = mixed.groupBy("shingle").agg(F.count("*").alias("members"))
-    salted = mixed.join(count, "shingle").withColumn(
-        "block", F.pmod(F.xxhash64("doc.id"), F.ceil(F.col("members") / BLOCK)).cast("int")
+    alike = named.groupBy("shingle", "component").agg(F.count("*").alias("alike"))
+    own = F.when(F.col("alike") >= BLOCK, F.col("component"))
+    parts = alike.withColumn("own", own).withColumn("loose", F.when(F.col("own").isNull(), F.col("alike")).otherwise(0))
+    columns = parts.groupBy("shingle").agg(F.count("*").alias("kinds"), F.sum("loose").alias("all_loose")).where("kinds > 1")
+    placed = parts.join(columns.select("shingle", "all_loose"), "shingle").select(
+        "shingle", "component", "own", F.when(F.col("own").isNull(), F.col("all_loose")).otherwise(F.col("alike")).alias("sharing")
+    )
+    salted = settled(named.join(placed, ["shingle", "component"]), "mixed-columns").withColumn(
+        "block", F.pmod(F.xxhash64("doc.id"), F.ceil(F.col("sharing") / BLOCK)).cast("int")
     )
     blocks = settled(
-        salted.groupBy("shingle", "block").agg(F.collect_list(F.struct("doc", "component", "bits")).alias("docs")), "column-blocks"
+        salted.groupBy("shingle", "own", "block").agg(F.collect_list(F.struct("doc", "component", "bits")).alias("docs")), "column-blocks"
     )
-    others = blocks.select("shingle", F.col("block").alias("other"), F.col("docs").alias("others"))
-    one = blocks.join(others, "shingle").where("block <= other").select(F.explode("docs").alias("x"), "others")
+    others = blocks.select("shingle", F.col("own").alias("other_own"), F.struct("own", "block").alias("other"), F.col("docs").alias("others"))
+    apart = F.col("own").isNull() | F.col("other_own").isNull() | (F.col("own") != F.col("other_own"))
+    one = blocks.join(others, "shingle").where(apart & (F.struct("own", "block") <= F.col("other"))).select(F.explode("docs").alias("x"), "others")
 
     def possible(y: Column) -> Column:
         x = F.col("x")
         n, m = x["doc"]["n"].cast("long"), y["doc"]["n"].cast("long")
-        rest = F.least(n - x["doc"]["place"], m - y["doc"]["place"]) - 1
-        most = F.least(x["doc"]["place"], y["doc"]["place"]) + 1 + rest
+        most = F.least(n - x["doc"]["place"], m - y["doc"]["place"])
         differing = sum((F.bit_count(x["bits"][i].bitwiseXOR(y["bits"][i])) for i in range(4)), F.lit(0))
         return (
             (x["component"] != y["component"])
-            & (100 * F.least(most, n, m) >= rule.percent * (n + m - F.least(most, n, m)))
+            & (100 * most >= rule.percent * (n + m - most))
             & ((100 - rule.percent) * (n + m) >= (100 + rule.percent) * differing)
         )
 
