@@ -60,8 +60,8 @@ def genre_completion(watch: DataFrame, content: DataFrame) -> DataFrame:
     )
 
 
-def top_rated(ratings: DataFrame, content: DataFrame, at_least: int = 15, limit: int = 10) -> DataFrame:
-    """Best titles by unrounded mean rating among those with enough ratings."""
+def best_rated(ratings: DataFrame, content: DataFrame, at_least: int = 15, limit: int = 10) -> DataFrame:
+    """Best titles by unrounded ``mean`` rating among those with enough ratings."""
     mean = ratio(F.col("rating_sum"), F.col("rating_n"))
     return (
         title_ratings(ratings, content, "left")
@@ -69,10 +69,15 @@ def top_rated(ratings: DataFrame, content: DataFrame, at_least: int = 15, limit:
         .select("content_id", "title", "genre", mean.alias("mean"), "n")
         .orderBy(F.desc("mean"), "content_id")
         .limit(limit)
-        .select("content_id", "title", "genre", round_dp(F.col("mean"), 2).alias("avg_rating"), "n")
+        .withColumn("avg_rating", round_dp(F.col("mean"), 2))
     )
 
 
+def top_rated(ratings: DataFrame, content: DataFrame, at_least: int = 15, limit: int = 10) -> DataFrame:
+    best = best_rated(ratings, content, at_least, limit)
+    return best.select("content_id", "title", "genre", "avg_rating", "n")
+
+
 def monthly_totals(watch: DataFrame) -> DataFrame:
     """Per month (NULL for undated sessions): the parts of every count and average.
 

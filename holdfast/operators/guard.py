@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,25 +97,55 @@ class RejectedStatement(ValueError):
 def guarded_query(spark: SparkSession, t: Tables, text: str) -> DataFrame:
     """Run one statement over the four views only: capped text, then at most 200 rows.
 
-    The text rules cannot see quoted names or tables after a comma, so the files the
-    analysed query would read are checked against the files of the four tables. Tables
-    that are not files (a database) have only the text rules.
+    The text rules cannot see quoted names or tables after a comma, so every relation of
+    the analysed query, those of its subqueries included, must be one of the four views.
+    The caller's own views of these names are put back.
     """
     one = audit(spark.createDataFrame([(text,)], "sql_text string"))
     problem = one.select("problem").first().problem
     if problem:
         raise RejectedStatement(problem)
     statement = with_row_cap(one).select("capped_sql").first().capped_sql
-    t.create_views()
-    result = spark.sql(statement)
-    folders = reduce(set.union, (_folders(df) for df in t.named().values()))
-    if not _folders(result) <= folders:
+    with _views(spark, t):
+        result = spark.sql(statement)
+    if not set(_relations(result._jdf.queryExecution().analyzed())) <= set(READABLE):
         raise RejectedStatement(f"{UNKNOWN_TABLE}outside the four tables")
     return result.limit(KEPT_ROWS)
 
 
-def _folders(df: DataFrame) -> set[str]:
-    return {path.rsplit("/", 1)[0] for path in df.inputFiles()}
+@contextmanager
+def _views(spark: SparkSession, t: Tables) -> Iterator[None]:
+    """The four views while a statement is analysed, then the caller's again."""
+    before = {
+        name: spark.table(name)
+        for name in READABLE
+        if spark.catalog.tableExists(name) and spark.catalog.getTable(name).isTemporary
+    }
+    t.create_views()
+    try:
+        yield
+    finally:
+        for name in READABLE:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
+
+
+# Leaves of a plan that read nothing: constants and references to named parts of the statement.
+_NOT_READING = ("OneRowRelation", "LocalRelation", "CTERelationRef")
+
+
+def _relations(node: JavaObject) -> Iterator[str]:
+    """Names of the session's views in an analysed plan; of anything else that is read, the kind of its node."""
+    if node.nodeName() == "View" and node.isTempView() and node.desc().identifier().database().isEmpty():
+        yield node.desc().identifier().table()
+        return
+    inside = [part.apply(i) for part in (node.children(), node.subqueries()) for i in range(part.size())]
+    if not node.children().size() and node.nodeName() not in _NOT_READING:
+        yield node.nodeName()
+    for part in inside:
+        yield from _relations(part)
 
 
 # Statement shapes of a query log; {u} is filled with the requesting user's id.

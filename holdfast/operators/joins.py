@@ -1,20 +1,14 @@
-"""Joins of a fact table with a dimension whose size is checked first."""
+"""Joins of a fact table with a dimension."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# A broadcast dimension holds at most this many (narrow) rows.
-BROADCAST_ROWS = 1_000_000
 
 
 def join_dimension(facts: DataFrame, dimension: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join facts with a dimension that has one row per key.
 
-    A dimension within the bound is broadcast, so hot keys never meet in one task. A
+    No hint: a dimension under the session's broadcast threshold in bytes is broadcast, a
     larger one shuffles, and adaptive execution splits the partitions of hot keys.
     """
-    if dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return facts.join(F.broadcast(dimension), key, how)
     return facts.join(dimension, key, how)

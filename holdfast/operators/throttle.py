@@ -186,8 +186,6 @@ def throttle_batch(
         marks = publish(_mark_split(log.join(large, "user_id", "left_semi"), window_us), "throttle-marks")
         columns = scanned.columns
         judged = scanned.unionByName(_judge_split(marks, quota).select(columns))
-    left = F.col("opened") + window_us - F.col("at")
-    wait = int_div(left + 999_999, 1_000_000).cast("int")
     return judged.select(
-        "event_id", "user_id", "accepted", F.when(~F.col("accepted"), wait).alias("retry_after")
+        "event_id", "user_id", "accepted", F.when(~F.col("accepted"), _retry_after(window_us)).alias("retry_after")
     )

@@ -164,12 +164,19 @@ def document(t: Tables, churn_model: ChurnModel) -> DataFrame:
         .withColumn(
             "top_content",
             _packed_rows(
-                content.top_rated(t.ratings, t.content), -F.col("avg_rating"), "title", "genre", "avg_rating", "n"
+                content.best_rated(t.ratings, t.content),
+                F.struct(-F.col("mean"), "content_id"),
+                "title",
+                "genre",
+                "avg_rating",
+                "n",
             ),
         )
         .withColumn(
             "most_watched_content",
-            _packed_rows(content.most_watched_of(by_title), -F.col("views"), "title", "genre", "views"),
+            _packed_rows(
+                content.most_watched_of(by_title), F.struct(-F.col("views"), "content_id"), "title", "genre", "views"
+            ),
         )
         .withColumn(
             "views_by_release_year",
