@@ -93,3 +93,18 @@ def recency_curve(users: DataFrame) -> DataFrame:
 
 def watch_time_curve(users: DataFrame) -> DataFrame:
     return churn_curve(users, "watch_time_hours", step=1, last=19)
+
+
+def outside_bands(users: DataFrame) -> DataFrame:
+    """(report, users, left_out): how many users the edges of each cut and curve leave out, in one scan."""
+    banded = {
+        "age_band": bands.AGE_CUT.label(),
+        "recency_band": bands.RECENCY_CUT.label(),
+        "watch_band": bands.WATCH_CUT.label(),
+        "ticket_band": bands.TICKET_CUT.label(),
+        "tenure_band": bands.TENURE_CUT.label(),
+        "recency_curve": bands.curve_bin(F.col("days_since_login"), 3, 57, 1000),
+        "watch_time_curve": bands.curve_bin(F.col("watch_time_hours"), 1, 19, 1000),
+    }
+    missing = [F.count_if(band.isNull()).alias(report) for report, band in banded.items()]
+    return users.agg(count_rows().alias("users"), *missing).unpivot("users", list(banded), "report", "left_out")

@@ -208,6 +208,7 @@ _QUALITY: dict[str, Query] = {
     "dq_fk": _on_tables(quality.orphans),
     "dq_domain": _on_tables(lambda t: quality.domain_violations(t, PLANS)),
     "dq_session_window": _on_tables(quality.sessions_outside_membership),
+    "dq_outside_bands": _on_tables(lambda t: segments.outside_bands(t.users)),
 }
 
 _REQUESTS: dict[str, Query] = {

@@ -526,6 +526,21 @@ QUALITY = {
         UNION ALL SELECT 'completion_0_to_100', count(*) FROM watch_history
                   WHERE completion_rate NOT BETWEEN 0 AND 100"""
     ),
+    "dq_outside_bands": over_tables(
+        " UNION ALL ".join(
+            f"SELECT '{report}' AS report, count(*) AS users, "
+            f"count(*) FILTER (coalesce(NOT ({inside}), true)) AS left_out FROM users"
+            for report, inside in (
+                ("age_band", "age > 17 AND age <= 100"),
+                ("recency_band", "days_since_login > -1 AND days_since_login <= 1000"),
+                ("watch_band", "watch_time_hours > -1 AND watch_time_hours <= 1000"),
+                ("ticket_band", "support_tickets > -1 AND support_tickets <= 100"),
+                ("tenure_band", "tenure_days > 0 AND tenure_days <= 1200"),
+                ("recency_curve", "days_since_login >= 0 AND days_since_login < 1000"),
+                ("watch_time_curve", "watch_time_hours >= 0 AND watch_time_hours < 1000"),
+            )
+        )
+    ),
     "dq_session_window": over_tables(
         """
         SELECT count(*) FILTER (watch_date < signup_date) AS before_signup,
