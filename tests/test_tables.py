@@ -86,12 +86,19 @@ def test_users_without_sessions_are_filled(spark):
     assert genres == {1: "Drama", 2: "Action"}
 
 
-def test_dimension_beyond_the_broadcast_bound_joins_by_shuffle(spark, tables, monkeypatch):
+def test_dimension_beyond_the_broadcast_threshold_joins_by_shuffle(spark, tables, capsys):
     wanted = users.favourite_genre(tables.users, tables.watch_history, tables.content).collect()
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 5)
-    joined = joins.join_dimension(tables.watch_history, tables.content, "content_id")
-    assert joined.count() == tables.watch_history.count()
-    found = users.favourite_genre(tables.users, tables.watch_history, tables.content).collect()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = joins.join_dimension(tables.watch_history, tables.content, "content_id")
+        capsys.readouterr()
+        joined.explain()
+        assert "BroadcastHashJoin" not in capsys.readouterr().out
+        assert joined.count() == tables.watch_history.count()
+        found = users.favourite_genre(tables.users, tables.watch_history, tables.content).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sorted(found) == sorted(wanted)
 
 
