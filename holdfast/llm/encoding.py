@@ -19,8 +19,8 @@ import regex
 
 from holdfast.llm.tables import spread
 
-MEMO_ENTRIES = 400_000
-BLOCK_BYTES = 16 << 20
+MEMO_ENTRIES = 1 << 17
+BLOCK_BYTES = 4 << 20
 UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\pZ]{2}|[\x1c-\x1f\x{85}\x{180e}\x{200b}\x{feff}]|<\|"
 
 # The printable stand-ins of bytes in byte-level vocabularies.
