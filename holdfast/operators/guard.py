@@ -94,8 +94,8 @@ class RejectedStatement(ValueError):
     """The statement breaks a rule; the message names the first one."""
 
 
-def guarded_query(spark: SparkSession, t: Tables, text: str) -> DataFrame:
-    """Run one statement over the four views only: capped text, then at most 200 rows.
+def _guarded(spark: SparkSession, t: Tables, text: str) -> tuple[str, DataFrame]:
+    """The capped text of one statement over the four views only, and its result.
 
     The text rules cannot see quoted names or tables after a comma, so every relation of
     the analysed query, those of its subqueries included, must be one of the four views.
@@ -110,7 +110,18 @@ def guarded_query(spark: SparkSession, t: Tables, text: str) -> DataFrame:
         result = spark.sql(statement)
     if not set(_relations(result._jdf.queryExecution().analyzed())) <= set(READABLE):
         raise RejectedStatement(f"{UNKNOWN_TABLE}outside the four tables")
-    return result.limit(KEPT_ROWS)
+    return statement, result
+
+
+def guarded_query(spark: SparkSession, t: Tables, text: str) -> DataFrame:
+    """The first rows of a guarded statement's result, 200 at most."""
+    return _guarded(spark, t, text)[1].limit(KEPT_ROWS)
+
+
+def guarded_summary(spark: SparkSession, t: Tables, text: str) -> DataFrame:
+    """One row: the text that was run (``executed_sql``) and how many rows it gives under its cap."""
+    statement, result = _guarded(spark, t, text)
+    return result.agg(F.count("*").alias("row_count")).select(F.lit(statement).alias("executed_sql"), "row_count")
 
 
 @contextmanager
@@ -179,3 +190,12 @@ def statement_log(events: DataFrame) -> DataFrame:
         F.col("event_id").alias("stmt_id"),
         F.replace(shape, F.lit("{u}"), F.col("user_id").cast("string")).alias("sql_text"),
     )
+
+
+def text_lookups(turns: DataFrame) -> DataFrame:
+    """One statement per conversation turn: a lookup of the turn's whole text as a quoted literal."""
+    quoted = F.replace("text", F.lit("'"), F.lit("''"))
+    return turns.select(
+        F.concat_ws("-", "conv_id", "turn").alias("stmt_id"),
+        F.concat(F.lit("SELECT title FROM content WHERE title = '"), quoted, F.lit("'")).alias("sql_text"),
+    )

@@ -69,6 +69,13 @@ def feature_totals(users: DataFrame) -> DataFrame:
     )
 
 
+def feature_rows(users: DataFrame) -> DataFrame:
+    """Per user the numeric features, and the names of the indicators that are 1, in feature order."""
+    features = feature_frame(users)
+    marked = [F.when(F.col(f"`{c}`") == 1.0, F.lit(c)) for c in feature_names(features) if c not in NUMERIC]
+    return features.select("user_id", *NUMERIC, F.concat_ws("|", *marked).alias("indicators"))
+
+
 def shuffle_key(user_id: Column) -> Column:
     """A fixed permutation of the ids modulo a prime, to order users without a seed."""
     prime = 2_147_483_647

@@ -37,21 +37,26 @@ SAMPLE_STATEMENT = (
     "FROM watch_history w JOIN users u ON u.user_id = w.user_id GROUP BY u.country;"
 )
 
-_models: dict[tuple[str, str], model.ChurnModel] = {}
+_models: dict[tuple[str, str], tuple[Tables, model.ChurnModel]] = {}
 
 
 def churn_model(spark: SparkSession, sf_dir: str) -> model.ChurnModel:
-    """The model over a folder's users, fitted once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _models:
-        _models[key] = model.fit(load(spark, sf_dir).users)
-    return _models[key]
+    """The model over a folder's users, fitted once for the tables that are loaded."""
+    key, t = (spark.sparkContext.applicationId, sf_dir), load(spark, sf_dir)
+    if key not in _models or _models[key][0] is not t:
+        _models[key] = (t, model.fit(t.users))
+    return _models[key][1]
 
 
 def _on_tables(report: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: report(load(spark, sf_dir))
 
 
+def _on_picked(report: Callable[[Tables], DataFrame]) -> Query:
+    """The report under the plan filter of the dashboard."""
+    return _on_tables(lambda t: report(bi.filtered(t, PICKED_PLANS)))
+
+
 def _on_model(report: Callable[[model.ChurnModel], DataFrame]) -> Query:
     return lambda spark, sf_dir: report(churn_model(spark, sf_dir))
 
@@ -162,6 +167,7 @@ _RISK: dict[str, Query] = {
     ),
     "risk_status_badge": _on_tables(lambda t: risk.status_badges(t.users)),
     "ml_features": _on_tables(lambda t: model.feature_totals(t.users)),
+    "ml_feature_rows": _on_tables(lambda t: model.feature_rows(t.users)),
     "ml_split": _on_tables(lambda t: model.split(t.users)),
     "ml_zscore": _on_tables(lambda t: model.zscores(t.users)),
     "ml_logistic": _on_model(model.coefficient_report),
@@ -200,6 +206,16 @@ _BI: dict[str, Query] = {
     "bi_top_titles": _on_tables(lambda t: bi.top_titles_with_ties(library.views_by_title(t))),
     "lg_recency_bands": _on_tables(lambda t: bi.old_recency_bands(t.users)),
     "lg_tenure_bands": _on_tables(lambda t: bi.old_tenure_bands(t.users)),
+    "lg_churn_by_tickets": _on_picked(_churn_by_cut(bands.TICKET_CUT, "ticket_band")),
+    "lg_churn_by_country": _on_picked(_churn_by("country")),
+    "lg_genre_views": _on_picked(lambda t: content.genre_views(t.watch_history, t.content)),
+    "lg_genre_completion": _on_picked(lambda t: content.genre_completion(t.watch_history, t.content)),
+    "lg_top_content": _on_picked(lambda t: content.top_rated(t.ratings, t.content)),
+    "lg_monthly_sessions": _on_picked(lambda t: content.monthly_sessions(t.watch_history)),
+    "lg_monthly_completion": _on_picked(lambda t: content.monthly_completion(t.watch_history)),
+    "lg_views_by_release_year": _on_picked(
+        lambda t: content.views_by_release_year(t.watch_history, t.content)
+    ),
     "lg_guarded_model": _on_tables(lambda t: model.guarded_deciles(bi.pick_plans(t.users, PICKED_PLANS))),
 }
 
@@ -218,6 +234,12 @@ _REQUESTS: dict[str, Query] = {
     "guard_row_cap": _on_events(
         lambda e: guard.with_row_cap(guard.audit(guard.statement_log(e))).select("stmt_id", "capped_sql")
     ),
+    "guard_audit_text": lambda spark, sf_dir: guard.audit(
+        guard.text_lookups(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    ).select("stmt_id", "statement", "problem", "accepted"),
+    "guarded_summary": lambda spark, sf_dir: guard.guarded_summary(
+        spark, load(spark, sf_dir), SAMPLE_STATEMENT
+    ),
     "guarded_query": lambda spark, sf_dir: guard.guarded_query(spark, load(spark, sf_dir), SAMPLE_STATEMENT),
     "user_fact_sheets": _on_tables(lambda t: profiles.fact_sheets(t.users)),
     "winback_requests": _on_tables(lambda t: profiles.winback_requests(t.users)),

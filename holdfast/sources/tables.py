@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,33 +169,66 @@ def _users(
     )
 
 
-_loaded: dict[tuple[str, str], Tables] = {}
+_INPUTS = ("customer", "nation", "orders", "lineitem", "part")
 
 
-def load(spark: SparkSession, sf_dir: str) -> Tables:
-    """Derive the four tables once per application and folder, and publish them.
+class DerivedTables(Tables):
+    """The four tables over a folder of order tables, each derived and published at its first use.
 
-    Later queries scan only the columns they need of the published tables.
+    Later queries scan only the columns they need of the published tables. Ratings are a
+    filter over the published sessions and have no copy of their own.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _loaded:
-        base = {
-            name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-            for name in ("customer", "nation", "orders", "lineitem", "part")
-        }
-        part, orders = base["part"], base["orders"]
-        sessions = publish(_sessions(base["lineitem"], orders, part), "sessions")
+
+    watch_key = rating_key = ("order_key", "line_no")
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.base = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in _INPUTS}
+
+    @cached_property
+    def sessions(self) -> DataFrame:
+        return publish(_sessions(self.base["lineitem"], self.base["orders"], self.base["part"]), "sessions")
+
+    @cached_property
+    def users(self) -> DataFrame:
+        b = self.base
+        users = _users(b["customer"], b["nation"], b["orders"], b["part"], self.sessions)
         # Users lie in id order, so the lookup of one user skips all other row groups.
-        users = _users(base["customer"], base["nation"], orders, part, sessions)
-        _loaded[key] = Tables(
-            users=publish(users.repartitionByRange("user_id").sortWithinPartitions("user_id"), "users"),
-            content=publish(_content(part), "content"),
-            watch_history=sessions.select(*_WATCH_COLUMNS),
-            ratings=publish(_ratings(sessions), "ratings"),
-            watch_key=("order_key", "line_no"),
-            rating_key=("order_key", "line_no"),
-        )
-    return _loaded[key]
+        return publish(users.repartitionByRange("user_id").sortWithinPartitions("user_id"), "users")
+
+    @cached_property
+    def content(self) -> DataFrame:
+        return publish(_content(self.base["part"]), "content")
+
+    @cached_property
+    def watch_history(self) -> DataFrame:
+        return self.sessions.select(*_WATCH_COLUMNS)
+
+    @cached_property
+    def ratings(self) -> DataFrame:
+        return _ratings(self.sessions)
+
+
+def _input_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Files, bytes and time of change of each input, so that new data under an old path is seen."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    state = []
+    for name in _INPUTS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        held = fs.getContentSummary(path)
+        state.append((held.getFileCount(), held.getLength(), fs.getFileStatus(path).getModificationTime()))
+    return tuple(state)
+
+
+_loaded: dict[tuple[str, str], tuple[tuple, Tables]] = {}
+
+
+def load(spark: SparkSession, sf_dir: str) -> Tables:
+    """The tables of a folder, the same ones for an application until the folder's files change."""
+    key, state = (spark.sparkContext.applicationId, sf_dir), _input_state(spark, sf_dir)
+    if key not in _loaded or _loaded[key][0] != state:
+        _loaded[key] = (state, DerivedTables(spark, sf_dir))
+    return _loaded[key][1]
 
 
 def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:

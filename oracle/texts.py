@@ -312,6 +312,16 @@ RISK = {
             ]
         )
     ),
+    "ml_feature_rows": over_tables(
+        "SELECT user_id, "
+        + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUMERIC)
+        + ", concat_ws('|', "
+        + ", ".join(
+            f"CASE WHEN {c} > (SELECT min({c}) FROM users) THEN concat('{c}_', {c}) END"
+            for c in ("subscription_type", "favorite_genre", "country")
+        )
+        + ") AS indicators FROM users"
+    ),
     "ml_split": over_tables("SELECT user_id, churn, is_train FROM parts", SPLIT),
     "ml_zscore": over_tables(
         "SELECT user_id, "
@@ -372,7 +382,7 @@ Z_SOURCES = {
 ZSCORES = "zscores AS (SELECT user_id, subscription_type, {} FROM stats)".format(
     ", ".join(f"({c} - avg({c}) OVER ()) / (stddev_samp({c}) OVER () + 1e-9) AS {z}" for z, c in Z_SOURCES.items())
 )
-_PLAN_CASE = " ".join(f"WHEN '{plan}' THEN {effect}" for plan, effect in registry.PLAN_EFFECT.items())
+_PLAN_CASE = "WHEN 'AUTOMOBILE' THEN 0.05 WHEN 'BUILDING' THEN -0.03 WHEN 'FURNITURE' THEN -0.1"
 _LOGIT = " + ".join(f"({weight}) * {z}" for z, weight in users.WEIGHTS.items())
 
 USERS = {
@@ -413,8 +423,25 @@ USER_MEASURES = f"""count(*) AS total_users, count(*) FILTER (churn = 1) AS chur
   {rnd('CAST(count(*) FILTER (churn = 1) AS DOUBLE) / nullif(count(*), 0)', 6)} AS churn_rate,
   {rnd('1.0 - CAST(count(*) FILTER (churn = 1) AS DOUBLE) / nullif(count(*), 0)', 6)} AS retention_rate,
   {rnd('avg(watch_time_hours)', 4)} AS avg_watch_hours, {rnd('avg(tenure_days)', 4)} AS avg_tenure_days"""
-PICKED = ", ".join(f"'{p}'" for p in registry.PICKED_PLANS)
-ALL_PLANS = ", ".join(f"'{p}'" for p in registry.PLANS)
+PICKED = "'BUILDING', 'MACHINERY'"
+ALL_PLANS = "'AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'"
+PICKED_TABLES = f"""
+picked_users AS (SELECT * FROM users WHERE subscription_type IN ({PICKED})),
+picked_watch AS (SELECT * FROM watch_history WHERE user_id IN (SELECT user_id FROM picked_users)),
+picked_ratings AS (SELECT * FROM ratings WHERE user_id IN (SELECT user_id FROM picked_users)),
+picked_titles AS (
+  SELECT genre, release_year, completion_rate FROM picked_watch w JOIN content c ON c.content_id = w.content_id
+)"""
+
+
+def picked_churn(expr: str, name: str) -> str:
+    return over_tables(
+        f"SELECT {name}, {pct('avg(churn)', 2)} AS churn_rate FROM "
+        f"(SELECT {expr} AS {name}, churn FROM picked_users) WHERE {name} IS NOT NULL GROUP BY 1",
+        PICKED_TABLES,
+    )
+
+
 LADDERS = {
     "tenure_band": bands.TENURE,
     "ticket_band": bands.TICKETS,
@@ -479,6 +506,32 @@ BI = {
           FROM (SELECT title, genre, count(*) AS views FROM {WATCHED_TITLES} GROUP BY 1, 2))
         WHERE position <= 10"""
     ),
+    "lg_churn_by_tickets": picked_churn(cut_case(bands.TICKET_CUT), "ticket_band"),
+    "lg_churn_by_country": picked_churn("country", "country"),
+    "lg_genre_views": over_tables("SELECT genre, count(*) AS views FROM picked_titles GROUP BY 1", PICKED_TABLES),
+    "lg_genre_completion": over_tables(
+        f"SELECT genre, {rnd('avg(completion_rate)', 1)} AS avg_completion FROM picked_titles GROUP BY 1",
+        PICKED_TABLES,
+    ),
+    "lg_top_content": over_tables(
+        f"""
+        SELECT content_id, title, genre, {rnd('mean', 2)} AS avg_rating, n FROM
+          (SELECT content_id, avg(rating) AS mean, count(*) AS n FROM picked_ratings GROUP BY 1 HAVING count(*) >= 15)
+        LEFT JOIN content USING (content_id) ORDER BY mean DESC, content_id LIMIT 10""",
+        PICKED_TABLES,
+    ),
+    "lg_monthly_sessions": over_tables(
+        "SELECT strftime(watch_date, '%Y-%m') AS month, count(*) AS sessions FROM picked_watch GROUP BY 1",
+        PICKED_TABLES,
+    ),
+    "lg_monthly_completion": over_tables(
+        f"SELECT strftime(watch_date, '%Y-%m') AS month, {rnd('avg(completion_rate)', 1)} AS completion "
+        "FROM picked_watch GROUP BY 1",
+        PICKED_TABLES,
+    ),
+    "lg_views_by_release_year": over_tables(
+        "SELECT release_year, count(*) AS views FROM picked_titles GROUP BY 1", PICKED_TABLES
+    ),
     "lg_recency_bands": churn_by(cut_case(bands.OLD_RECENCY_CUT), "recency_band"),
     "lg_tenure_bands": churn_by(cut_case(bands.OLD_TENURE_CUT), "tenure_band"),
 }
@@ -555,37 +608,56 @@ def _quoted(text: str) -> str:
 
 
 _SHAPES = ", ".join(_quoted(s) for s in guard.LOG_SHAPES)
-_WORDS = ", ".join(f"'{w}'" for w in guard.FORBIDDEN)
+# White space, rejected words in reporting order, messages.
+_WHITE = " \t\n\v\f\r\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
+_FORBIDDEN = (
+    "INSERT UPDATE DELETE DROP ALTER CREATE REPLACE TRUNCATE VACUUM ATTACH DETACH PRAGMA REINDEX "
+    "EXEC EXECUTE COPY GRANT REVOKE MERGE CALL DO"
+).split()
+_MANY_STATEMENTS = "Multiple statements are not allowed."
+_NOT_A_QUERY = "Only SELECT / WITH (read-only) queries are allowed."
+_FORBIDDEN_WORD = "Forbidden keyword detected: "
+_UNKNOWN_TABLE = "Query references an unknown table: "
+_WORDS = ", ".join(f"'{w}'" for w in _FORBIDDEN)
 _NAME = "([a-zA-Z_][a-zA-Z0-9_]*)"
-AUDIT = f"""
-log AS (
-  SELECT event_id AS stmt_id,
-         replace([{_SHAPES}][event_id % {len(guard.LOG_SHAPES)} + 1], '{{u}}', CAST(user_id AS VARCHAR)) AS sql_text
-  FROM events
-),
+def audited(log: str) -> str:
+    """The audit as table expressions over the statements (stmt_id, sql_text) that ``log`` selects."""
+    return f"""
+log AS ({log}),
 cleaned AS (
-  SELECT stmt_id, rtrim(trim(sql_text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), ';') AS statement
+  SELECT stmt_id, rtrim(trim(sql_text, '{_WHITE}'), ';') AS statement
   FROM log
 ),
 parsed AS (
   SELECT *,
-         [upper(w) FOR w IN regexp_extract_all(statement, '(?i)\\b({"|".join(guard.FORBIDDEN)})\\b', 1)] AS words,
-         [lower(t) FOR t IN regexp_extract_all(statement, '(?i)\\b(?:FROM|JOIN)\\s+{_NAME}', 1)] AS refs,
+         [upper(w) FOR w IN regexp_extract_all(statement, '(?i)\\b({"|".join(_FORBIDDEN)})\\b', 1)] AS words,
+         [lower(t) FOR t IN regexp_extract_all(statement, '(?i)\\b(?:FROM|JOIN)[{_WHITE}]+{_NAME}', 1)] AS refs,
          list_concat(['users', 'content', 'watch_history', 'ratings'],
-           [lower(t) FOR t IN regexp_extract_all(statement, '(?i)\\b{_NAME}\\s+AS\\s*\\(', 1)]) AS known
+           [lower(t) FOR t IN regexp_extract_all(statement, '(?i)\\b{_NAME}[{_WHITE}]+AS[{_WHITE}]*\\(', 1)]) AS known
   FROM cleaned
 ),
 audited AS (
   SELECT stmt_id, statement, CASE
-    WHEN contains(statement, ';') THEN '{guard.MANY_STATEMENTS}'
-    WHEN NOT regexp_matches(statement, '(?i)^\\s*(SELECT|WITH)\\b') THEN '{guard.NOT_A_QUERY}'
-    WHEN len(words) > 0 THEN '{guard.FORBIDDEN_WORD}' || [w FOR w IN [{_WORDS}] IF list_contains(words, w)][1]
+    WHEN statement IS NULL THEN '{_NOT_A_QUERY}'
+    WHEN contains(statement, ';') THEN '{_MANY_STATEMENTS}'
+    WHEN NOT regexp_matches(statement, '(?i)^[{_WHITE}]*(SELECT|WITH)\\b') THEN '{_NOT_A_QUERY}'
+    WHEN len(words) > 0 THEN '{_FORBIDDEN_WORD}' || [w FOR w IN [{_WORDS}] IF list_contains(words, w)][1]
     WHEN len([t FOR t IN refs IF NOT list_contains(known, t)]) > 0
-      THEN '{guard.UNKNOWN_TABLE}' || [t FOR t IN refs IF NOT list_contains(known, t)][1]
+      THEN '{_UNKNOWN_TABLE}' || [t FOR t IN refs IF NOT list_contains(known, t)][1]
   END AS problem
   FROM parsed
 )"""
 
+
+_LOOKUPS = """SELECT concat_ws('-', conv_id, turn) AS stmt_id,
+       concat('SELECT title FROM content WHERE title = ', chr(39), replace(text, chr(39), chr(39) || chr(39)), chr(39)) AS sql_text
+FROM conversations"""
+AUDIT = audited(
+    f"""SELECT event_id AS stmt_id,
+       replace([{_SHAPES}][event_id % {len(guard.LOG_SHAPES)} + 1], '{{u}}', CAST(user_id AS VARCHAR)) AS sql_text
+  FROM events"""
+)
+
 SHEET_FIELDS = {"churn_label_in_data": "churn"}
 
 
@@ -620,13 +692,21 @@ THROTTLE = f"""
                  AS retry_after
         FROM run"""
 
+_SAMPLE = (
+    "SELECT u.country, count(*) AS sessions, max(w.watch_date) AS last_day "
+    "FROM watch_history w JOIN users u ON u.user_id = w.user_id GROUP BY u.country"
+)
 REQUESTS = {
     "guard_audit": f"WITH {AUDIT.strip()}\nSELECT *, problem IS NULL AS accepted FROM audited",
     "guard_row_cap": f"""WITH {AUDIT.strip()}
         SELECT stmt_id, CASE WHEN regexp_matches(statement, '(?i)\\bLIMIT\\s+\\d+') THEN statement
                              ELSE statement || chr(10) || 'LIMIT {guard.ROW_CAP}' END AS capped_sql
         FROM audited WHERE problem IS NULL""",
-    "guarded_query": over_tables(registry.SAMPLE_STATEMENT.rstrip(";")),
+    "guard_audit_text": f"WITH {audited(_LOOKUPS).strip()}\nSELECT *, problem IS NULL AS accepted FROM audited",
+    "guarded_query": over_tables(_SAMPLE),
+    "guarded_summary": over_tables(
+        f"SELECT {_quoted(_SAMPLE)} || chr(10) || 'LIMIT 500' AS executed_sql, count(*) AS row_count FROM ({_SAMPLE})"
+    ),
     "user_fact_sheets": over_tables(f"SELECT user_id, {SHEET} AS fact_sheet FROM users"),
     "winback_requests": over_tables(
         f"""
