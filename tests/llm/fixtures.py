@@ -60,3 +60,32 @@ def groups(docs: list[tuple[int, str | None]], size: int, percent: int) -> dict[
                     label[a] = label[b] = min(label[a], label[b])
                     changed = True
     return {i: (len(x), label[i]) for i, x in sets.items()}
+
+
+def kneser_ney(counts: dict[str, int]):
+    """The probability of the last character of a four-gram, of interpolated Kneser-Ney orders."""
+    orders = []
+    while True:
+        once, twice = (sum(n == k for n in counts.values()) for k in (1, 2))
+        less = min(max(once / (once + 2 * twice), 0.1), 0.9) if once else 0.5
+        contexts: dict[str, list[int]] = {}
+        for gram, n in counts.items():
+            total = contexts.setdefault(gram[:-1], [0, 0])
+            total[0], total[1] = total[0] + n, total[1] + 1
+        orders.append((counts, less, contexts))
+        if "" in contexts:
+            break
+        shorter: dict[str, int] = {}
+        for gram in counts:
+            shorter[gram[1:]] = shorter.get(gram[1:], 0) + 1
+        counts = shorter
+
+    def probability(gram: str) -> float:
+        p = 1 / (len(orders[-1][0]) + 1)
+        for size, (own, less, contexts) in enumerate(reversed(orders), 1):
+            total, kinds = contexts.get(gram[-size:-1], (0, 0))
+            share = (own[gram[-size:]] - less) / total if gram[-size:] in own else 0.0
+            p = share + (less * kinds / total if total else 1.0) * p
+        return p
+
+    return probability

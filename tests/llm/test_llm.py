@@ -252,3 +252,28 @@ def test_pipeline_stages(spark, docs):
     assert left.select("doc_id").distinct().count() == left.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, left, "")
     assert packed.where("piece = 0").count() == left.count()
+
+
+def test_language_keeps_every_gram(spark):
+    pick = random.Random(5)
+    made = [(i, " ".join("".join(chr(pick.randrange(0x4E00, 0x9F00)) for _ in range(5)) for _ in range(1000)), "zh") for i in range(60)]
+    made += [(100 + i, " ".join(pick.choices(["ran", "tin", "oak", "elm", "mole"], k=50)), "en") for i in range(20)]
+    counts = {"zh": Counter(), "en": Counter()}
+    for _, text, lang in made:
+        for word in text.split():
+            line = "\0\0\0" + word + "\0"
+            counts[lang].update(line[k : k + 4] for k in range(len(line) - 3))
+    assert len(counts["zh"]) > 1 << 18
+    models = {lang: fixtures.kneser_ney(own) for lang, own in counts.items()}
+    asked = [made[3], made[59], made[70], (200, made[5][1][:200] + " ran tink oakk " + made[9][1][:80], None)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    identifier = language.fit(frame.select("text", "lang"))
+    rows = language.identified(spark.createDataFrame(asked, frame.schema), identifier).collect()
+    for row in rows:
+        entropy = {}
+        for lang, p in models.items():
+            lines = ["\0\0\0" + word + "\0" for word in row.text.split()]
+            bits = [-np.log(p(line[k : k + 4])) for line in lines for k in range(len(line) - 3)]
+            entropy[lang] = sum(bits) / len(bits)
+        assert row.lang_pred == min(entropy, key=entropy.get)
+        assert abs(row.cross_entropy - entropy[row.lang_pred]) < 1e-9
