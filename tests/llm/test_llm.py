@@ -277,3 +277,15 @@ def test_language_keeps_every_gram(spark):
             entropy[lang] = sum(bits) / len(bits)
         assert row.lang_pred == min(entropy, key=entropy.get)
         assert abs(row.cross_entropy - entropy[row.lang_pred]) < 1e-9
+
+
+def test_suffix_dedup_deals_no_rows_without_id(spark):
+    texts = [f"text {i} " + "abc" * 30 for i in range(40)]
+    made = [(None, t) for t in texts] + [(None, None), (1, texts[0]), (2, texts[0])]
+    known = {t.name for t in spark.catalog.listTables()}
+    found = suffix_dedup.deduplicated(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    own = [t.name for t in spark.catalog.listTables() if t.name not in known]
+    assert sum(spark.table(name).count() for name in own if name.startswith("blocks_")) == 2
+    kept = [(bytes(r.kept).decode(), r.n_bytes, r.n_removed, r.n_spans) for r in found if r.doc_id is None]
+    assert sorted(kept) == sorted((t, len(t), 0, 0) for t in [*texts, ""])
+    assert {r.doc_id: r.n_removed for r in found if r.doc_id} == {1: 0, 2: len(texts[0])}
