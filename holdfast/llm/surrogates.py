@@ -7,26 +7,30 @@ attempt, in the shape of the canonical form: digits for digits, letters for lett
 for hex; card numbers keep their first digit and whether their check digit holds; names
 keep gender and script; addresses keep the form of an address. Draws that equal another
 entity's draw or any entity that occurs are drawn again with the next attempt until all
-surrogates of a kind are distinct (collision checks). A mention then gets the surrogate in
-its own spelling: separators, country prefix and upper case stay.
+surrogates of a kind are distinct (collision checks). From attempt ``SHAPED`` on each draw
+has one character or syllable more than the last, so that a form whose space is used up
+goes on in a larger one; a value without any letter or digit is drawn anew as letters and
+digits at once. A mention then gets the surrogate in its own spelling: separators, country
+prefix and upper case stay, and further digits follow at the end.
 
 Everything is a DataFrame expression or join. Only mentions are exploded; texts are cut at
 their mentions and joined again with what replaces them, by a digest of the text.
 
 Defined results: a null text stays null, a text without entities stays as it is; repeated
-rows are replaced alike; all other columns pass through; an empty table gives no rows. If
-a kind's space of surrogates is used up, ``ATTEMPTS`` rounds end in an error, never in a
-shared surrogate.
+rows are replaced alike; all other columns pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.tables import settled
 
-ATTEMPTS = 50
+# Draws in an entity's own form before longer ones.
+SHAPED = 8
 
 # What the kinds look like (Java patterns). Earlier kinds win.
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -51,6 +55,7 @@ ANY_KIND = "|".join(f"(?:{pattern})" for pattern in KINDS.values())
 TRIGGER = rf"\d|@|[=:]|(?:{HONORIFICS['f']}|{HONORIFICS['m']})\.? \p{{Lu}}"
 # What of a mention is kept in front of the entity itself.
 PREFIX = rf"^(?:{SECRET_NAMES}\s{{0,2}}[=:]\s{{0,2}}[\"']?|(?:{HONORIFICS['f']}|{HONORIFICS['m']})\.? )"
+KEY_PREFIX = "^(?:AKIA|ASIA|gh._|sk-|xox.-)"
 # Syllables of given names by script and gender, of family names by script.
 GIVEN = {
     ("latin", "f"): ["Ana", "Clara", "Emma", "Ida", "Julia", "Lena", "Maria", "Nora", "Sofia", "Vera"],
@@ -108,6 +113,7 @@ def _shaped(value: Column, digest: Column) -> Column:
             .when(c.rlike("[a-z]"), F.char(97 + F.pmod(byte, letters)))
             .when(c.rlike("[A-Z]"), F.char(65 + F.pmod(byte, letters)))
             .when(c.rlike(r"\p{IsCyrillic}"), F.element_at(F.split(F.lit("абвгдежзиклмнопрстуфхчшэюя"), ""), F.pmod(byte, F.lit(26)) + 1))
+            .when(c.rlike(r"\p{L}"), F.char(97 + F.pmod(byte, letters)))
             .otherwise(c)
         )
 
@@ -124,31 +130,42 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(F.transform(backwards, term), F.lit(0), lambda a, b: a + b), F.lit(10))
 
 
-def drawn(kind: Column, name: Column, digest: Column) -> Column:
-    """The surrogate of a canonical form; ``digest`` has 256 hex digits."""
-    shaped = _shaped(name, digest)
-    body = F.concat(F.substring(name, 1, 1), F.expr("substring(_shaped, 2, length(_shaped) - 2)"))
+def drawn(kind: Column, name: Column, digest: Column, more: int) -> Column:
+    """The surrogate of a canonical form, ``more`` characters longer than it; ``digest`` has 256 hex digits."""
+    longer = F.lit("0a" * more)
+    # Marks alone can't be drawn anew.
+    blank = ~name.rlike(r"[0-9\p{L}]")
+    shaped = F.when(blank, _shaped(F.lit("a0" * 8 + "0a" * more), digest)).otherwise(
+        F.expr("_shaped") if not more else _shaped(F.concat(name, F.when(kind.isin("phone", "ssn", "card", "iban"), F.lit("0" * more)).otherwise(longer)), digest)
+    )
+    body = F.concat(F.substring(name, 1, 1), F.substring(shaped, F.lit(2), F.length(shaped) - 2))
     check = F.pmod(10 - _luhn(F.concat(body, F.lit("0"))), F.lit(10))
     wrong = F.when(_luhn(name) == 0, 0).otherwise(1)  # an invalid number stays one
     card = F.concat(body, F.pmod(check + wrong, F.lit(10)).cast("string"))
     octets = [1 + F.pmod(_byte(digest, F.lit(0)), F.lit(223)), *[_byte(digest, F.lit(i)) for i in (1, 2, 3)]]
-    local = _shaped(F.substring_index(name, "@", 1), digest)
+    ip = F.concat_ws(".", *octets)
+    if more:  # longer than four octets: an address of the range for documentation
+        ip = F.concat(F.lit("2001:db8:"), F.array_join(F.array(*[F.substring(digest, 4 * i + 1, 4) for i in range(6)]), ":"))
+    local = _shaped(F.concat(F.substring_index(name, "@", 1), longer), digest)
     host = F.concat(F.substring(F.sha2(F.concat(F.substring_index(name, "@", -1), F.substring(digest, 257, 32)), 256), 1, 8))
+    given_prefix = F.regexp_extract(name, KEY_PREFIX, 0)
+    key_rest = F.regexp_replace(name, KEY_PREFIX, "")
+    key_body = F.when(~key_rest.rlike("[0-9A-Za-z]"), _shaped(F.lit("a0" * 8 + "0a" * more), digest)).otherwise(_shaped(F.concat(key_rest, longer), digest))
     script, gender = F.substring_index(name, " ", 1), F.element_at(F.split(name, " "), 2)
 
     def pick(values: list[str], place: int) -> Column:
         return F.element_at(F.array(*map(F.lit, values)), F.pmod(_byte(digest, F.lit(place)), F.lit(len(values))) + 1)
 
     given = F.coalesce(*[F.when((script == s) & (gender == g), pick(values, 0)) for (s, g), values in GIVEN.items()])
-    family = F.coalesce(*[F.when(script == s, F.concat(*[pick(values, i) for i in range(1, 6)])) for s, values in FAMILY.items()])
+    family = F.coalesce(*[F.when(script == s, F.concat(*[pick(values, i) for i in range(1, 6 + more)])) for s, values in FAMILY.items()])
     words = F.size(F.split(name, " ")) - 2
     person = F.concat_ws(" ", script, gender, F.when(words > 1, F.lower(given)), family)
     return (
         F.when(kind == "email", F.concat(local, F.lit("@m"), host, F.lit(".example.net")))
-        .when(kind == "ip", F.concat_ws(".", *octets))
+        .when(kind == "ip", ip)
         .when(kind == "card", card)
-        .when(kind == "access_key", F.concat(F.regexp_extract(name, "^(?:AKIA|ASIA|gh._|sk-|xox.-)", 0), _shaped(F.regexp_replace(name, "^(?:AKIA|ASIA|gh._|sk-|xox.-)", ""), digest)))
-        .when(kind == "iban", F.concat(F.substring(name, 1, 2), F.expr("substring(_shaped, 3)")))
+        .when(kind == "access_key", F.concat(given_prefix, key_body))
+        .when(kind == "iban", F.concat(F.substring(name, 1, 2), F.substring(shaped, F.lit(3), F.length(shaped))))
         .when(kind == "name", person)
         .otherwise(shaped)
     )
@@ -157,14 +174,14 @@ def drawn(kind: Column, name: Column, digest: Column) -> Column:
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """kind, name, surrogate of distinct (kind, name) rows; distinct within a kind and never a name that occurs."""
     pending, taken, done = entities, entities.select("kind", F.col("name").alias("surrogate")), None
-    for attempt in range(ATTEMPTS):
+    for attempt in count():
         seed = F.concat_ws("\0", F.lit(key), "kind", "name", F.lit(str(attempt)))
         # Hosts depend on the key and attempt alone besides their own name, so that addresses of one host keep one.
         digest = F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("\0")), 512), F.substring(F.sha2(F.lit(f"{key}\0{attempt}"), 512), 1, 32))
         draw = (
             pending.withColumn("_digest", digest)
             .withColumn("_shaped", _shaped(F.col("name"), F.col("_digest")))
-            .withColumn("surrogate", drawn(F.col("kind"), F.col("name"), F.col("_digest")))
+            .withColumn("surrogate", drawn(F.col("kind"), F.col("name"), F.col("_digest"), max(0, attempt - SHAPED + 1)))
             .select("kind", "name", "surrogate")
         )
         # The first by name keeps a draw that several share.
@@ -178,15 +195,15 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         pending = round_.where("kept IS NULL").select("kind", "name")
         if pending.isEmpty():
             return done
-    raise ValueError(f"no free surrogates after {ATTEMPTS} attempts")
 
 
-def spelled(kind: Column, mention: Column, surrogate: Column) -> Column:
+def spelled(kind: Column, name: Column, mention: Column, surrogate: Column) -> Column:
     """The surrogate in the mention's spelling."""
     prefix = F.regexp_extract(mention, PREFIX, 0)
     value = F.regexp_replace(mention, PREFIX, "")
     # The last digits of the mention are replaced one by one; a country prefix stands before them.
-    skipped = F.length(F.regexp_replace(value, r"\D", "")) - F.length(surrogate)
+    skipped = F.length(F.regexp_replace(value, r"\D", "")) - F.length(name)
+    further = F.substring(surrogate, F.length(name) + 1, F.length(surrogate))
 
     def digit(c: Column, i: Column) -> Column:
         before = F.length(F.regexp_replace(F.substring(value, F.lit(1), i), r"\D", "")) - skipped
@@ -201,8 +218,8 @@ def spelled(kind: Column, mention: Column, surrogate: Column) -> Column:
     signs = F.array_join(F.transform(F.split(value, ""), sign), "")
     person = F.initcap(F.array_join(F.slice(F.split(surrogate, " "), 3, 9), " "))
     plain = (
-        F.when(kind.isin("card", "ssn", "phone"), digits)
-        .when(kind == "iban", signs)
+        F.when(kind.isin("card", "ssn", "phone"), F.concat(digits, further))
+        .when(kind == "iban", F.concat(signs, further))
         .when(kind == "name", person)
         .otherwise(surrogate)
     )
@@ -226,7 +243,7 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     found = settled(found.distinct(), "mentions")
     mapping = surrogates(found.select("kind", "name").distinct(), key)
     parts = found.join(mapping, ["kind", "name"]).select(
-        "digest", F.struct("place", spelled(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("by")).alias("part")
+        "digest", F.struct("place", spelled(F.col("kind"), F.col("name"), F.col("mention"), F.col("surrogate")).alias("by")).alias("part")
     )
     by_text = settled(
         parts.groupBy("digest").agg(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["by"]).alias("by")), "replacements"

@@ -289,3 +289,16 @@ def test_suffix_dedup_deals_no_rows_without_id(spark):
     kept = [(bytes(r.kept).decode(), r.n_bytes, r.n_removed, r.n_spans) for r in found if r.doc_id is None]
     assert sorted(kept) == sorted((t, len(t), 0, 0) for t in [*texts, ""])
     assert {r.doc_id: r.n_removed for r in found if r.doc_id} == {1: 0, 2: len(texts[0])}
+
+
+def test_surrogates_of_blank_and_used_up_forms(spark):
+    names = [("ssn", f"{i:02}") for i in range(100)] + [("secret", "________"), ("secret", "......"), ("access_key", "xoxb-" + "-" * 12)]
+    mapped = {(r.kind, r.name): r.surrogate for r in surrogates.surrogates(spark.createDataFrame(names, "kind string, name string"), "key").collect()}
+    assert len(mapped) == 103 and len(set(mapped.values())) == 103 and not set(mapped.values()) & {name for _, name in names}
+    assert all(mapped["ssn", f"{i:02}"].isdigit() for i in range(100))
+    texts = ["Password: ________", "token=......", "Token:\n----------", "call 12 34 56"]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in surrogates.replaced(made, "key").collect()}
+    assert out[0].startswith("Password: ") and "_" not in out[0] and "..." not in out[1] and "---" not in out[2]
+    row = spark.sql("SELECT 'phone' AS kind, '9885552485' AS name, '+1 (988) 555-2485' AS mention, '12345678901' AS surrogate")
+    assert row.select(surrogates.spelled(*map(F.col, row.columns))).first()[0] == "+1 (123) 456-78901"
