@@ -302,3 +302,31 @@ def test_surrogates_of_blank_and_used_up_forms(spark):
     assert out[0].startswith("Password: ") and "_" not in out[0] and "..." not in out[1] and "---" not in out[2]
     row = spark.sql("SELECT 'phone' AS kind, '9885552485' AS name, '+1 (988) 555-2485' AS mention, '12345678901' AS surrogate")
     assert row.select(surrogates.spelled(*map(F.col, row.columns))).first()[0] == "+1 (123) 456-78901"
+
+
+def test_suffixes_of_one_hash_are_split(spark, pairs, monkeypatch):
+    # A phrase shorter than a repeat, in surroundings of its own, has one hash and a suffix for each document.
+    pick = random.Random(2)
+    own = lambda n: "".join(pick.choices("abcdefgh", k=n))
+    made = [(i, own(60) + "0 this footer of 45 bytes stands in all texts 0" + own(60)) for i in range(300)]
+    made += [(400 + i, made[7 * i][1][30:140] + own(5)) for i in range(40)] + [(i + 500, t) for i, t in pairs.items() if len(t or "") < 5000]
+    expected = fixtures.removed_bytes(made, suffix_dedup.LENGTH)
+    assert sum(n > 0 for _, n in expected.values()) > 40
+    monkeypatch.setattr(suffix_dedup, "HEAVY", 20, raising=False)
+    known = suffix_dedup.exchange_suffixes
+
+    def watched(ranges):
+        send, answer = known(ranges)
+
+        def bounded(key, table):
+            if key[0].as_py() < ranges:
+                runs = [suffix_runs.strings_of(*x[:3]) for _, x in suffix_dedup.in_order(table, suffix_dedup.BLOCK)]
+                heads = Counter(s[:8] for s in {s for run in runs for _, s in run})
+                assert max(heads.values()) <= 20
+            return answer(key, table)
+
+        return send, bounded
+
+    monkeypatch.setattr(suffix_dedup, "exchange_suffixes", watched)
+    found = suffix_dedup.deduplicated(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert {row.doc_id: (bytes(row.kept), row.n_removed) for row in found} == expected
