@@ -13,6 +13,11 @@ goes on in a larger one; a value without any letter or digit is drawn anew as le
 digits at once. A mention then gets the surrogate in its own spelling: separators, country
 prefix and upper case stay, and further digits follow at the end.
 
+Names are found behind titles only, as one run of capitalised words and initials; a name is
+an entity as a whole, so parts of it, and mentions without a title, are not brought together.
+Secrets are found behind a name and a sign, up to the closing quote or white space; without
+quotes they have six characters at least.
+
 Everything is a DataFrame expression or join. Only mentions are exploded; texts are cut at
 their mentions and joined again with what replaces them, by a digest of the text.
 
@@ -35,26 +40,36 @@ SHAPED = 8
 # What the kinds look like (Java patterns). Earlier kinds win.
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 HONORIFICS = {
-    "f": "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа",
-    "m": "Mr|Herr|Monsieur|Señor|Sr|Господин",
+    "f": "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Lady|Señora|Sra|Госпожа",
+    "m": "Mr|Herr|Monsieur|Lord|Sir|Señor|Sr|Господин",
+    "n": "Dr|Doctor|Prof|Professor|Mx|Rev|Доктор|Профессор",
 }
+TITLES = rf"(?:(?:{'|'.join(HONORIFICS.values())})\.? )+"
+# A capitalised word, or an initial; small words may stand before it.
+NAME_WORD = r"(?:(?:von|van|der|den|de|del|della|di|da|la|le|al|bin|ibn) )*(?:\p{Lu}[\p{L}'’-]+|\p{Lu}\.)"
 SECRET_NAMES = r"(?i:pass(?:word|wd)|secret|token|api[_-]?key|access[_-]?key)"
+SECRET_SIGN = r"[\"']?\s*[=:]\s*"
+# Up to the closing quote, or up to white space without the marks that end a clause.
+SECRET_VALUE = (
+    r"(?:\"(?=[^\"\s])[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+(?=\"|\z)|'(?=[^'\s])[^'\\\n]*+(?:\\.[^'\\\n]*+)*+(?='|\z)"
+    r"|[\"']?[^\s\"']\S{4,}[^\s,;)\]}>\"'])"
+)
 KINDS = {
     "email": r"(?<![\w.+%-])[\w.+%-]+@[\p{L}\d-]+(?:\.[\p{L}\d-]+)+",
-    "secret": SECRET_NAMES + r"\s{0,2}[=:]\s{0,2}[\"']?[\w+/=.~-]{6,}",
+    "secret": SECRET_NAMES + SECRET_SIGN + SECRET_VALUE,
     "access_key": r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)|(?<!\w)gh[pousr]_\w{30,}|(?<!\w)sk-[\w-]{20,}|(?<!\w)xox[abprs]-[\w-]{10,}",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ip": rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?![\w]|\.\d)",
     "card": r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}[ .-]\d{2,4}(?:[ .-]\d{2,4})?(?![\w-])|(?<![\w.+])\+\d{8,15}(?!\d)",
-    "name": rf"(?<!\p{{L}})(?:{HONORIFICS['f']}|{HONORIFICS['m']})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+    "name": rf"(?<!\p{{L}}){TITLES}{NAME_WORD}(?:(?: |(?<=\.)){NAME_WORD})*",
 }
 ANY_KIND = "|".join(f"(?:{pattern})" for pattern in KINDS.values())
 # A text without any of these holds no entity, which spares most texts the longer pattern.
-TRIGGER = rf"\d|@|[=:]|(?:{HONORIFICS['f']}|{HONORIFICS['m']})\.? \p{{Lu}}"
+TRIGGER = rf"\d|@|[=:]|{TITLES}{NAME_WORD}"
 # What of a mention is kept in front of the entity itself.
-PREFIX = rf"^(?:{SECRET_NAMES}\s{{0,2}}[=:]\s{{0,2}}[\"']?|(?:{HONORIFICS['f']}|{HONORIFICS['m']})\.? )"
+PREFIX = rf"^(?:{SECRET_NAMES}{SECRET_SIGN}[\"']?|{TITLES})"
 KEY_PREFIX = "^(?:AKIA|ASIA|gh._|sk-|xox.-)"
 # Syllables of given names by script and gender, of family names by script.
 GIVEN = {
@@ -63,6 +78,7 @@ GIVEN = {
     ("cyrillic", "f"): ["Анна", "Вера", "Дарья", "Ирина", "Лидия", "Мария", "Нина", "Ольга", "Софья", "Юлия"],
     ("cyrillic", "m"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Иван", "Лев", "Максим", "Павел", "Юрий"],
 }
+GIVEN |= {(script, "n"): GIVEN[script, "f"] + GIVEN[script, "m"] for script in ("latin", "cyrillic")}
 FAMILY = {
     "latin": ["bar", "den", "fel", "gor", "hal", "kin", "lor", "mar", "nes", "pol", "ras", "sen", "tam", "vin", "wel", "zor"],
     "cyrillic": ["бар", "ден", "фел", "гор", "хал", "кин", "лор", "мар", "нес", "пол", "рас", "сен", "там", "вин", "вел", "зор"],
@@ -84,7 +100,7 @@ def canonical(kind: Column, mention: Column) -> Column:
     value = F.regexp_replace(mention, PREFIX, "")
     digits = F.regexp_replace(value, r"\D", "")
     national = F.regexp_replace(digits, r"^1(?=\d{10}$)", "")
-    gender = F.when(mention.rlike(rf"^(?:{HONORIFICS['f']})\W"), "f").otherwise("m")
+    gender = F.coalesce(*[F.when(mention.rlike(rf"^(?:{titles})\W"), g) for g, titles in HONORIFICS.items()], F.lit("n"))
     script = F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     return (
         F.when(kind == "email", F.lower(value))

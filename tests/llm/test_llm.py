@@ -330,3 +330,24 @@ def test_suffixes_of_one_hash_are_split(spark, pairs, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "exchange_suffixes", watched)
     found = suffix_dedup.deduplicated(spark.createDataFrame(made, "doc_id long, text string")).collect()
     assert {row.doc_id: (bytes(row.kept), row.n_removed) for row in found} == expected
+
+
+def test_surrogates_reach_whole_secrets_and_names(spark):
+    texts = {
+        '{"password": "hunter2abc", "id": "stays"}': ["hunter2abc"],
+        "password   =    longvalue9 stays": ["longvalue9"],
+        "password=P@ssw0rd1, stays": ["P@ssw0rd1", "w0rd1"],
+        "password=abcdef!ghij stays": ["abcdef", "ghij"],
+        "secret: 'two words' stays": ["two", "words"],
+        'api_key="a\\"bcd" stays': ["bcd"],
+        "Dr. Anna Smith stays": ["Anna", "Smith"],
+        "Mr. J. Smith stays": ["J. ", "Smith"],
+        "Mr John Michael Smith stays": ["John", "Michael", "Smith"],
+        "Frau Prof. Dr. Eva von Berg-Thal stays": ["Eva", "Berg", "Thal"],
+    }
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in surrogates.replaced(made, "key").collect()}
+    for i, gone in enumerate(texts.values()):
+        assert out[i].n_entities == 1 and "stays" in out[i].text and not [x for x in gone if x in out[i].text], out[i]
+    assert out[0].text.startswith('{"password": "') and out[0].text.endswith('", "id": "stays"}')
+    assert out[2].text.endswith(", stays") and out[9].text.startswith("Frau Prof. Dr. ")
