@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import byte_pairs, hilbert_search, language, packing, quality_classifier, quality_rules, shingle_join, suffix_dedup, surrogates, token_files
+from holdfast.llm import byte_pairs, hilbert_search, language, packing, periodic_runs, quality_classifier, quality_rules, shingle_join, suffix_dedup, surrogates, token_files
 from holdfast.llm.tables import documents
+from holdfast.llm.texts import TEXTS
 
 END_ID = 2
 NEAREST, QUERY_STEP = 20, 20
@@ -76,6 +77,37 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where the last words of a tenth of the texts repeat with a period that the id gives."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(F.when(h % 10 == 0, F.col("text")), F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    g, n = F.floor(h / 10), F.size("words")
+    cut = docs.select("doc_id", "text", g.alias("g"), words.alias("words")).withColumn("a", (F.col("g") % n).cast("int"))
+    behind = n - F.col("a")
+    sized = cut.withColumn("p", (1 + F.floor(behind / (3 + F.col("g") % 8))).cast("int"))
+    once = F.slice("words", F.col("a") + 1, F.col("p"))
+    often = F.flatten(F.array_repeat(once, F.ceil(behind / F.col("p")).cast("int")))
+    changed = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(often, F.lit(1), behind)), " ")
+    return sized.select("doc_id", F.when(F.size("words") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapsed(with_planted_runs(documents(spark, sf_dir)))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    told = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select("doc_id", "runs", "collapsed", longest.alias("longest")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"),
+        F.floor(1000 * F.col("longest.length") / -F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(told, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op2_surrogates": op2_surrogates,
     "op1_quality_rules": op1_quality_rules,
@@ -87,5 +119,7 @@ QUERIES = {
     "op8_byte_pairs": op8_byte_pairs,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language": op10_language,
+    "op11_periodic_runs": op11_periodic_runs,
 }
-TEXTS: dict[str, str] = {}
+
+__all__ = ["QUERIES", "TEXTS"]
