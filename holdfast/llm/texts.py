@@ -43,4 +43,32 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, longest.s AS start, -longest.l AS
 FROM documents LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-TEXTS: dict[str, str] = {"op11_periodic_runs": PERIODIC_RUNS}
+RANKED_SEARCH = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id
+), total AS (
+  SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes
+), held AS (
+  SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM held, total GROUP BY term
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), total
+  GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+FROM scores WHERE score > 0
+QUALIFY rank <= 10
+"""
+
+TEXTS: dict[str, str] = {"op11_periodic_runs": PERIODIC_RUNS, "op12_ranked_search": RANKED_SEARCH}
