@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import byte_pairs, hilbert_search, language, packing, periodic_runs, quality_classifier, quality_rules, ranked_search, shingle_join, suffix_dedup, surrogates, token_files
+from holdfast.llm import byte_pairs, hilbert_search, language, minhash_dedup, packing, periodic_runs, quality_classifier, quality_rules, ranked_search, shingle_join, suffix_dedup, surrogates, token_files
 from holdfast.llm.tables import documents
 from holdfast.llm.texts import TEXTS
 
@@ -112,6 +112,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_surrogates": op2_surrogates,
     "op1_quality_rules": op1_quality_rules,
@@ -125,6 +129,7 @@ QUERIES = {
     "op10_language": op10_language,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_ranked_search": op12_ranked_search,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }
 
 __all__ = ["QUERIES", "TEXTS"]

@@ -41,7 +41,7 @@ from holdfast.llm.tables import settled, text_slices
 BLOCK_BYTES = 16 << 20
 PART_TERMS = 1 << 19
 # Lists with fewer than one in so many documents of a block are short.
-SHORT = 32
+SHORT = 4
 # Fixed values of the score.
 SCALE, SATURATION, LENGTH_SHARE = 1_000_000_000, 8, 90
 POSTINGS = "doc_ids binary, sizes binary, terms array<int>, counts array<long>, docs binary, times binary"
@@ -136,7 +136,7 @@ class Postings:
 
     def skipped_to(self, doc: int) -> int:
         """What ``doc`` gets; places before it are passed for good."""
-        self.at += int(np.searchsorted(self.docs[self.at :], doc))
+        self.at += int(self.docs[self.at :].searchsorted(doc))
         return int(self.scores[self.at]) if self.at < len(self.docs) and self.docs[self.at] == doc else 0
 
 

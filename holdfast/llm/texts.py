@@ -71,4 +71,41 @@ FROM scores WHERE score > 0
 QUALIFY rank <= 10
 """
 
-TEXTS: dict[str, str] = {"op11_periodic_runs": PERIODIC_RUNS, "op12_ranked_search": RANKED_SEARCH}
+MINHASH_DEDUP = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS shingle
+  FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+  FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id < y.doc_id
+  GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+  WHERE 100 * shared >= 80 * (x.n + y.n - shared)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT DISTINCT a AS doc_id, a AS other FROM edges
+  UNION
+  SELECT doc_id, b FROM reached JOIN edges ON other = a
+), components AS (
+  SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+  doc_id = coalesce(component_id, doc_id) AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN components USING (doc_id)
+"""
+
+TEXTS: dict[str, str] = {
+    "op11_periodic_runs": PERIODIC_RUNS,
+    "op12_ranked_search": RANKED_SEARCH,
+    "op13_minhash_dedup": MINHASH_DEDUP,
+}
