@@ -100,10 +100,10 @@ def candidates(hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         octave += 1
 
 
-def tiles(codes: np.ndarray, found: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def tiles(codes: np.ndarray, found: list[tuple[int, np.ndarray]], tile_words: int = TILE_WORDS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(octave, boundaries, codes) of a text's tiles; boundaries are preceded by the tile's first place."""
     for octave, boundaries in found:
-        number = boundaries // max(TILE_WORDS, 8 * stride(octave))
+        number = boundaries // max(tile_words, 8 * stride(octave))
         for own in np.split(boundaries, np.flatnonzero(np.diff(number)) + 1):
             begin = max(0, int(own[0]) - reach(octave))
             end = int(own[-1]) + reach(octave) + (2 << octave)
@@ -178,16 +178,21 @@ def _with_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield block.take(pa.array([row for row, _, _, hashes in _texts(block) if next(candidates(hashes), None)], pa.int64()))
 
 
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in text_slices(batches, BLOCK_BYTES):
-        rows: list[tuple] = []
-        for row, _, codes, hashes in _texts(block):
-            for octave, boundaries, own in tiles(codes.astype("<i4"), list(candidates(hashes))):
-                rows.append((block.column(0)[row].as_py(), octave, boundaries.astype("<i8").tobytes(), own.tobytes()))
-                if len(rows) == TILE_ROWS:
-                    yield _batch(rows)
-                    rows = []
-        yield _batch(rows)
+def dealt(tile_words: int):
+    """For mapInArrow over (doc, text): the texts' tiles."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_slices(batches, BLOCK_BYTES):
+            rows: list[tuple] = []
+            for row, _, codes, hashes in _texts(block):
+                for octave, boundaries, own in tiles(codes.astype("<i4"), list(candidates(hashes)), tile_words):
+                    rows.append((block.column(0)[row].as_py(), octave, boundaries.astype("<i8").tobytes(), own.tobytes()))
+                    if len(rows) == TILE_ROWS:
+                        yield _batch(rows)
+                        rows = []
+            yield _batch(rows)
+
+    return cut
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -227,16 +232,15 @@ def intervals(fragments: DataFrame) -> DataFrame:
     return whole.select("doc", "start", "period", (F.col("behind") + F.col("period") - F.col("start")).alias("length"))
 
 
-def collapsed(docs: DataFrame) -> DataFrame:
+def collapsed(docs: DataFrame, tile_words: int = TILE_WORDS) -> DataFrame:
     """doc_id, runs (start, period, length; in this order) and the text's words without the repetitions of runs,
     joined by one space, of each row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     plain = rows.mapInArrow(_without_candidates, "doc_id long, collapsed string")
     plain = plain.select("doc_id", F.array().cast(RUNS).alias("runs"), "collapsed")
     held = settled(rows.mapInArrow(_with_candidates, "doc_id long, text string").withColumn("doc", F.monotonically_increasing_id()), "run-texts")
-    cut = held.select("doc", "text").mapInArrow(_dealt, TILES)
-    dealt = cut.repartition(F.xxhash64("doc", "octave", "boundaries"))
-    runs = intervals(dealt.mapInArrow(_solved, FRAGMENTS))
+    cut = held.select("doc", "text").mapInArrow(dealt(tile_words), TILES)
+    runs = intervals(cut.repartition(F.xxhash64("doc", "octave", "boundaries")).mapInArrow(_solved, FRAGMENTS))
     listed = runs.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "period", "length"))).alias("runs"))
     met = held.join(listed, "doc", "left").select("doc_id", "text", F.coalesce("runs", F.array().cast(RUNS)).alias("runs"))
     return plain.unionByName(met.mapInArrow(_collapsed, f"doc_id long, runs {RUNS}, collapsed string"))

@@ -214,7 +214,7 @@ def best_of_block(short: list[Postings], long: list[Postings], best: list[tuple[
                     essential += 1
 
 
-def _searcher(queries: list[tuple[int, list[int]]], weights: np.ndarray, documents: int, terms: int, top: int):
+def _searcher(queries: list[tuple[int, list[int]]], weights: np.ndarray, documents: int, terms: int, top: int, short_share: int):
     """For mapInArrow over rows of postings: the best of a task's documents for each query."""
 
     def lists(row: dict) -> tuple[list[int], dict[int, tuple[np.ndarray, np.ndarray]], int]:
@@ -244,8 +244,8 @@ def _searcher(queries: list[tuple[int, list[int]]], weights: np.ndarray, documen
                 bounds = {term: int(scores.max()) for term, (_, scores) in found.items() if len(scores)}
                 for item, own in queries:
                     held = [Postings(*found[t], bounds[t]) for t in own if bounds.get(t)]
-                    short = [x for x in held if SHORT * len(x.docs) < count]
-                    long = [x for x in held if SHORT * len(x.docs) >= count]
+                    short = [x for x in held if short_share * len(x.docs) < count]
+                    long = [x for x in held if short_share * len(x.docs) >= count]
                     if held:
                         best_of_block(short, long, best[item], ids, top)
         rows = [(item, -doc, score) for item, heap in best.items() for score, doc in heap if score > 0]
@@ -254,7 +254,7 @@ def _searcher(queries: list[tuple[int, list[int]]], weights: np.ndarray, documen
     return search
 
 
-def _ranked(docs: DataFrame, pairs: DataFrame, top: int) -> DataFrame:
+def _ranked(docs: DataFrame, pairs: DataFrame, top: int, short_share: int) -> DataFrame:
     """item_id, doc_id, score of the best documents of each task, for the queries of (item_id, term)."""
     spark = docs.sparkSession
     vocabulary = sorted(r.term for r in pairs.select("term").distinct().toLocalIterator())
@@ -272,16 +272,16 @@ def _ranked(docs: DataFrame, pairs: DataFrame, top: int) -> DataFrame:
     search = spark.sparkContext.broadcast((sorted(queries.items()), weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _searcher(*search.value, documents, terms, top)(batches)
+        yield from _searcher(*search.value, documents, terms, top, short_share)(batches)
 
     return index.mapInArrow(run, "item_id long, doc_id long, score long")
 
 
-def ranked(docs: DataFrame, items: DataFrame, top: int = 10) -> DataFrame:
+def ranked(docs: DataFrame, items: DataFrame, top: int = 10, short_share: int = SHORT) -> DataFrame:
     """item_id, rank, doc_id, score of the ``top`` documents (doc_id, text) of each item (item_id, text)."""
     pairs = settled(query_terms(items), "query-terms")
     parts = max(1, -(-pairs.count() // PART_TERMS))
     part = F.pmod(F.xxhash64("item_id"), F.lit(parts))
-    found = reduce(DataFrame.unionByName, [_ranked(docs, pairs.where(part == i), top) for i in range(parts)])
+    found = reduce(DataFrame.unionByName, [_ranked(docs, pairs.where(part == i), top, short_share) for i in range(parts)])
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("item_id", "rank", "doc_id", "score")
