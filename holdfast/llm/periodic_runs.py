@@ -3,9 +3,10 @@
 A run is a stretch of words with smallest period q that no neighbouring word extends, at
 least max(``LEAST``, 2 q) words long; in other terms a longest interval of places i whose
 words i and i + q are equal, at least max(q, LEAST - q) places long. Periods 2^k .. 2^(k+1) - 1
-are octave k. An octave has a boundary every ``stride(k)`` words, and each of its intervals
-holds a whole block between two boundaries. Boundaries whose block recurs nowhere at a
-distance of the octave therefore have no run; hashes of the blocks find them out.
+are octave k. An octave has a boundary every two blocks of ``block(k)`` words, and each of its
+intervals that a boundary lies in holds the block before or the one behind the boundary.
+Boundaries whose blocks recur nowhere at a distance of the octave therefore have no run;
+hashes of the blocks find them out.
 
 The others are dealt in tiles, with as many words on both sides as a boundary looks at, and
 shuffled, so that a very long text is solved by many tasks. At a boundary c the Z-functions
@@ -31,24 +32,31 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.llm.tables import settled, text_slices
+from holdfast.llm.tables import partitions, settled, text_slices
 from holdfast.llm.words import word_codes
 
 LEAST = 12
 BLOCK_BYTES = 4 << 20
-# Boundaries of one tile lie within so many words, or eight strides if that is more.
+# Boundaries of one tile lie within so many words, or four strides if that is more.
 TILE_WORDS = 4096
 TILE_ROWS = 64
+# Elements that the Z-function compares at once.
+STEP = 32
 TILES = "doc long, octave int, boundaries binary, codes binary"
 RUNS = "array<struct<start:long,period:long,length:long>>"
 FRAGMENTS = "doc long, period long, first long, behind long"
 
 
-def stride(octave: int) -> int:
-    """Words between boundaries: an interval of the octave is at least twice as long, less one."""
+def block(octave: int) -> int:
+    """Half the length of the shortest interval of the octave, or less."""
     return max(LEAST // 4, 1 << max(0, octave - 1))
 
 
+def stride(octave: int) -> int:
+    """Words between boundaries."""
+    return 2 * block(octave)
+
+
 def reach(octave: int) -> int:
     """How far a boundary looks to each side; no less than the shortest interval of any of its periods."""
     return max(LEAST, 2 << octave)
@@ -70,73 +78,97 @@ def block_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return _mixed(first[:count]) + second[half : half + count]
 
 
-def recurring(blocks: np.ndarray, octave: int) -> np.ndarray | None:
-    """The boundaries whose block recurs at a distance of the octave; None if no block of the text recurs at all."""
-    order = np.argsort(blocks, kind="stable")
-    ordered = blocks[order]
-    new = np.ones(len(order), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    if new.all():
-        return None
-    kind = np.empty(len(order), np.int64)
-    kind[order] = np.cumsum(new)
-    span = len(order) + (4 << octave)
-    keys = kind[order] * span + order
-    boundaries = np.arange(0, len(blocks), stride(octave))
-    least = kind[boundaries] * span + boundaries + (1 << octave)
-    at = np.minimum(np.searchsorted(keys, least), len(keys) - 1)
-    return boundaries[(keys[at] >= least) & (keys[at] < least + (1 << octave))]
+class Recurrence:
+    """Where the blocks of one size of a text recur; ``none`` if no block does at all."""
+
+    def __init__(self, blocks: np.ndarray):
+        order = np.argsort(blocks, kind="stable")
+        ordered = blocks[order]
+        new = np.ones(len(order), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        self.none = bool(new.all())
+        self.kind = np.empty(len(order), np.int64)
+        self.kind[order] = np.cumsum(new)
+        self.span = 4 * len(order) + 64
+        self.keys = self.kind[order] * self.span + order
+
+    def at(self, places: np.ndarray, octave: int) -> np.ndarray:
+        """Whether there is a block at the place that recurs at a distance of the octave."""
+        held = np.clip(places, 0, len(self.kind) - 1)
+        least = self.kind[held] * self.span + held + (1 << octave)
+        next_ = self.keys[np.minimum(np.searchsorted(self.keys, least), len(self.keys) - 1)]
+        return (held == places) & (next_ >= least) & (next_ < least + (1 << octave))
+
+
+def one_word(hashes: np.ndarray, boundaries: np.ndarray, octave: int) -> np.ndarray:
+    """Whether all that a boundary looks at is one word: no period of a higher octave is the smallest there."""
+    changes = np.concatenate(([0], np.cumsum(hashes[1:] != hashes[:-1])))
+    first = np.maximum(boundaries - reach(octave), 0)
+    last = np.minimum(boundaries + reach(octave) + (2 << octave), len(hashes)) - 1
+    return changes[first] == changes[last]
 
 
 def candidates(hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(octave, boundaries) of a text that may lie in a run."""
-    octave = 0
-    while 2 << octave <= max(2, len(hashes)) and stride(octave) <= len(hashes):
-        found = recurring(block_hashes(hashes, stride(octave)), octave)
-        if found is None:
-            return  # longer blocks recur no more
-        if len(found):
-            yield octave, found
+    octave, known = 0, 0
+    while 2 << octave <= max(2, len(hashes)) and block(octave) <= len(hashes):
+        if block(octave) != known:
+            known = block(octave)
+            recurrence = Recurrence(block_hashes(hashes, known))
+            if recurrence.none:
+                return  # longer blocks recur no more
+        boundaries = np.arange(0, len(hashes), stride(octave))
+        boundaries = boundaries[recurrence.at(boundaries, octave) | recurrence.at(boundaries - known, octave)]
+        if octave and len(boundaries):
+            boundaries = boundaries[~one_word(hashes, boundaries, octave)]
+        if len(boundaries):
+            yield octave, boundaries
         octave += 1
 
 
 def tiles(codes: np.ndarray, found: list[tuple[int, np.ndarray]], tile_words: int = TILE_WORDS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(octave, boundaries, codes) of a text's tiles; boundaries are preceded by the tile's first place."""
     for octave, boundaries in found:
-        number = boundaries // max(tile_words, 8 * stride(octave))
+        number = boundaries // max(tile_words, 4 * stride(octave))
         for own in np.split(boundaries, np.flatnonzero(np.diff(number)) + 1):
             begin = max(0, int(own[0]) - reach(octave))
             end = int(own[-1]) + reach(octave) + (2 << octave)
             yield octave, np.concatenate(([begin], own)), codes[begin:end]
 
 
-def z_function(s: list[int]) -> list[int]:
-    """For each place how many elements from there on equal the first ones."""
-    n = len(s)
-    z = [n] * n
-    left = right = 0
-    for i in range(1, n):
-        k = min(z[i - left], right - i) if i < right else 0
-        while i + k < n and s[k] == s[i + k]:
-            k += 1
-        z[i] = k
-        if i + k > right:
+def z_function(s: list[int], end: int) -> dict[int, int]:
+    """For each place from 1 to ``end`` how many elements from there on equal the first ones, if any do."""
+    z: dict[int, int] = {}
+    n, end, left, right, i = len(s), min(end, len(s)), 0, 0, 0
+    while i + 1 < end:
+        try:
+            i = s.index(s[0], i + 1, end)
+        except ValueError:
+            break
+        k = min(z.get(i - left, 0), right - i) if i < right else 1
+        if i + k >= right:
+            while k < n - i and s[k : k + STEP] == s[i + k : i + k + STEP]:
+                k += STEP
+            while i + k < n and s[k] == s[i + k]:
+                k += 1
+            k = min(k, n - i)
             left, right = i, i + k
+        z[i] = k
     return z
 
 
 def at_boundary(words: list[int], c: int, octave: int) -> Iterator[tuple[int, int, int]]:
     """(period, first, behind) of the equal interval at c of each period of the octave that is long enough and no multiple."""
     far, low, high = reach(octave), 1 << octave, 2 << octave
-    ahead = z_function(words[c : c + far + high])
+    ahead = z_function(words[c : c + far + high], high) if c < len(words) else {}
     back = words[max(0, c - far) : c][::-1]
-    beyond = words[max(0, c - far) : c + high][::-1]
-    behind = z_function([*back, -1, *beyond])[len(back) + 1 :]
-    total = len(beyond) - len(back)  # words from c on that ``beyond`` holds
-    divisors = [d for d in range(1, high // 2) if d < len(ahead) and ahead[d] >= d]
-    for q in range(low, min(high, len(ahead) + 1, total + 1)):
-        right = min(ahead[q], far) if q < len(ahead) else 0
-        left = min(behind[total - q], far) if back else 0
+    beyond = words[c : c + high - 1][::-1]
+    # Backwards, period q stands at the q-th place before the end of ``beyond``.
+    zero = len(back) + 1 + len(beyond)
+    behind = z_function([*back, -1, *beyond, *back], zero - low + 1) if back else {}
+    divisors = [d for d, equal in ahead.items() if equal >= d]
+    for q in {q for q in ahead if q >= low} | {zero - i for i in behind if len(back) < i <= zero - low}:
+        left, right = min(behind.get(zero - q, 0), far), min(ahead.get(q, 0), far)
         if left + right >= max(q, LEAST - q) and not any(q % d == 0 and ahead[d] >= q - d for d in divisors if d < q):
             yield q, c - left, c + right
 
@@ -240,7 +272,7 @@ def collapsed(docs: DataFrame, tile_words: int = TILE_WORDS) -> DataFrame:
     plain = plain.select("doc_id", F.array().cast(RUNS).alias("runs"), "collapsed")
     held = settled(rows.mapInArrow(_with_candidates, "doc_id long, text string").withColumn("doc", F.monotonically_increasing_id()), "run-texts")
     cut = held.select("doc", "text").mapInArrow(dealt(tile_words), TILES)
-    runs = intervals(cut.repartition(F.xxhash64("doc", "octave", "boundaries")).mapInArrow(_solved, FRAGMENTS))
+    runs = intervals(cut.repartition(partitions(docs.sparkSession), F.xxhash64("doc", "octave", "boundaries")).mapInArrow(_solved, FRAGMENTS))
     listed = runs.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "period", "length"))).alias("runs"))
     met = held.join(listed, "doc", "left").select("doc_id", "text", F.coalesce("runs", F.array().cast(RUNS)).alias("runs"))
     return plain.unionByName(met.mapInArrow(_collapsed, f"doc_id long, runs {RUNS}, collapsed string"))
