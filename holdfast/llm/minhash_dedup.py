@@ -2,15 +2,19 @@
 
 Documents with equal shingle sets are one class. A class has ``Plan.bands`` x ``Plan.rows``
 minima of multiply-add hashes of its shingles; bands of rows equal minima put it into
-buckets. Pairs come from buckets in two rounds, and never all pairs of one:
+buckets. Pairs come from buckets in three rounds, and never all pairs of one:
 
-1. Every member meets its bucket's most typical member, the one that shares most buckets.
-2. Members that are not connected by then meet in blocks of ``BLOCK``; blocks of one
+1. Every class meets the most typical member (the one that shares most buckets) of its
+   largest bucket: one pair a class.
+2. Members that are not connected with their bucket's most typical member meet that one.
+3. Members that are not connected by then meet in blocks of ``BLOCK``; blocks of one
    component never meet, and pairs whose signatures differ too much stay in the task that
    compares them. Members of one component are left out, as further links can't change it.
 
-Pairs of either round are compared by size and by the share of equal minima, with a margin of
-more than six deviations below the limit; the full sets decide on the rest. Components
+Pairs of each round are compared by size, by the share of equal minima, with a margin of
+more than six deviations below the limit, and by the odd ones of ``PARITIES`` groups of
+shingles, as two sets differ in at least as many shingles as in these; the full sets decide
+on the rest. Components
 are found by alternating large-star and small-star steps, whose edges are written to the
 shared folder each time.
 
@@ -42,6 +46,7 @@ BLOCK_BYTES = 4 << 20
 BLOCK = 64
 # Shingles hashed at a time, to stay in a core's cache.
 STRETCH = 1 << 15
+PARITIES = 1024
 
 
 @dataclass(frozen=True)
@@ -80,6 +85,27 @@ def minima_of(shingles: np.ndarray, counts: np.ndarray, factors: np.ndarray, shi
     return least
 
 
+def parities_of(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each text ``PARITIES`` bits: of which groups of shingles it has an odd number."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    groups = (shingles & np.uint64(PARITIES - 1)).astype(np.int64)
+    odd = np.bincount(owner * PARITIES + groups, minlength=PARITIES * len(counts)).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(len(counts), PARITIES), axis=1)
+
+
+def alike_enough(plan: Plan, n: np.ndarray, other_n: np.ndarray, sketches: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes and sketches (minima, then parities) may be similar enough, row by row."""
+    near = 100 * np.minimum(n, other_n) >= plan.percent * np.maximum(n, other_n)
+    cut = 2 * plan.minima()
+    near &= np.count_nonzero(sketches[:, :cut].view("<u2") == others[:, :cut].view("<u2"), axis=1) >= plan.least_equal
+    differing = np.bitwise_count(sketches[:, cut:] ^ others[:, cut:]).sum(axis=1, dtype=np.int64)
+    return near & ((100 + plan.percent) * differing <= (100 - plan.percent) * (n + other_n))
+
+
+def rows_of(sketches: list[bytes], plan: Plan) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, 2 * plan.minima() + PARITIES // 8)
+
+
 def band_hashes(least: np.ndarray, bands: int) -> np.ndarray:
     """A 64-bit hash of each band's minima, of the band's number too."""
     cut = least.reshape(len(least), bands, -1).astype(np.uint64)
@@ -96,7 +122,7 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, plan: Plan) -> DataFrame:
-    """doc_id, n, key (of the set), minima (16 bits each) and buckets of each row; the last two null without shingles."""
+    """doc_id, n, key (of the set), sketch (16 bits of each minimum, parities) and buckets of each row; the last two null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, shifts = universal_hashes(plan.minima())
@@ -110,12 +136,13 @@ def signatures(docs: DataFrame, plan: Plan) -> DataFrame:
             place = np.full(len(counts), -1)
             place[full] = np.arange(len(full))
             at = pa.array(place, mask=place < 0)
-            short = pa.array([x.tobytes() for x in least.astype("<u2")], pa.binary()).take(at)
+            sketches = np.concatenate((least.astype("<u2").view(np.uint8), parities_of(shingles, counts[full])), axis=1)
+            short = pa.array([x.tobytes() for x in sketches], pa.binary()).take(at)
             buckets = _lists(band_hashes(least, plan.bands).ravel(), np.full(len(full), plan.bands)).take(at)
-            yield pa.record_batch([block.column(0), pa.array(counts), pa.array(keys, pa.binary()), short, buckets], names=["doc_id", "n", "key", "minima", "buckets"])
+            yield pa.record_batch([block.column(0), pa.array(counts), pa.array(keys, pa.binary()), short, buckets], names=["doc_id", "n", "key", "sketch", "buckets"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return settled(rows.mapInArrow(run, "doc_id long, n long, key binary, minima binary, buckets array<long>"), "signatures")
+    return settled(rows.mapInArrow(run, "doc_id long, n long, key binary, sketch binary, buckets array<long>"), "signatures")
 
 
 def full_sets(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -127,18 +154,18 @@ def full_sets(docs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def alike(pairs: DataFrame, known: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (a, b) whose sizes and signatures (id, n, minima) may be similar enough."""
+    """The pairs (a, b) whose sizes and sketches (id, n, sketch) may be similar enough."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of_a, of_b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, plan.minima()) for i in (2, 3))
-            near = np.count_nonzero(of_a == of_b, axis=1) >= plan.least_equal
-            yield batch.select(["a", "b"]).filter(pa.array(near))
+            n, other_n = (batch.column(i).to_numpy() for i in (2, 3))
+            sketches, others = (rows_of(batch.column(i).to_pylist(), plan) for i in (4, 5))
+            yield batch.select(["a", "b"]).filter(pa.array(alike_enough(plan, n, other_n, sketches, others)))
 
-    a = known.select(F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("minima").alias("a_minima"))
-    b = known.select(F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("minima").alias("b_minima"))
-    sized = 100 * F.least("a_n", "b_n") >= plan.percent * F.greatest("a_n", "b_n")
-    return pairs.join(a, "a").join(b, "b").where(sized).select("a", "b", "a_minima", "b_minima").mapInArrow(compare, "a long, b long")
+    a = known.select(F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
+    b = known.select(F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch")
+    return both.mapInArrow(compare, "a long, b long")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
@@ -187,17 +214,31 @@ def star_components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
-def first_round(members: DataFrame) -> DataFrame:
-    """(a, b): each member of a bucket beside its most typical one."""
+def centres_of(members: DataFrame) -> DataFrame:
+    """bucket, centre: its most typical member."""
     weights = members.groupBy("id").agg(F.sum("size").alias("weight"))
     placed = members.select("bucket", "id").join(weights, "id")
-    centres = placed.groupBy("bucket").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("b"))
-    paired = members.select("bucket", F.col("id").alias("a")).join(centres, "bucket").where("a != b")
-    return paired.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return placed.groupBy("bucket").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("centre"))
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+
+
+def first_round(met: DataFrame) -> DataFrame:
+    """(a, b): each member (id, centre, size) beside the centre of its largest bucket."""
+    return ordered(met.where("id != centre").groupBy("id").agg(F.max_by("centre", F.struct("size", "centre")).alias("centre")))
+
+
+def second_round(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): each member beside the centres of its buckets that it is not connected with."""
+    of_centre = labels.select(F.col("id").alias("centre"), F.col("component").alias("other"))
+    named = met.where("id != centre").select("id", "centre").distinct().join(labels, "id", "left").join(of_centre, "centre", "left")
+    return ordered(named.where(F.coalesce("component", "id") != F.coalesce("other", "centre")))
 
 
-def second_round(members: DataFrame, labels: DataFrame, known: DataFrame, plan: Plan) -> DataFrame:
-    """(a, b): pairs of members in different components, block by block, whose signatures may be similar enough.
+def third_round(members: DataFrame, labels: DataFrame, known: DataFrame, plan: Plan) -> DataFrame:
+    """(a, b): pairs of members in different components, block by block, whose sketches may be similar enough.
 
     A component with ``BLOCK`` members of a bucket or more has blocks of its own, which never meet.
     """
@@ -213,7 +254,7 @@ def second_round(members: DataFrame, labels: DataFrame, known: DataFrame, plan:
     listed = settled(
         salted.join(known, "id")
         .groupBy("bucket", "whole", "block")
-        .agg(F.collect_list(F.struct("id", "component", "n", "minima")).alias("docs")),
+        .agg(F.collect_list(F.struct("id", "component", "n", "sketch")).alias("docs")),
         "bucket-blocks",
     )
     # Only the places of blocks meet by bucket; their documents come to each pair of blocks afterwards.
@@ -234,14 +275,11 @@ def second_round(members: DataFrame, labels: DataFrame, known: DataFrame, plan:
                 for column in batch.columns:
                     docs = column[row].values
                     fields = [docs.field(i) for i in range(4)]
-                    minima = np.frombuffer(b"".join(fields[3].to_pylist()), "<u2").reshape(-1, plan.minima())
-                    sides.append((*(f.to_numpy(zero_copy_only=False) for f in fields[:3]), minima))
-                (ids, groups, n, minima), (other_ids, other_groups, other_n, other_minima) = sides
+                    sides.append((*(f.to_numpy(zero_copy_only=False) for f in fields[:3]), rows_of(fields[3].to_pylist(), plan)))
+                (ids, groups, n, sketches), (other_ids, other_groups, other_n, others) = sides
                 for i in range(len(ids)):
-                    apart = (other_groups != groups[i]) & (other_ids != ids[i])
-                    sized = 100 * np.minimum(n[i], other_n) >= plan.percent * np.maximum(n[i], other_n)
-                    at = np.flatnonzero(apart & sized)
-                    at = at[np.count_nonzero(other_minima[at] == minima[i], axis=1) >= plan.least_equal]
+                    at = np.flatnonzero((other_groups != groups[i]) & (other_ids != ids[i]))
+                    at = at[alike_enough(plan, n[i], other_n[at], sketches[i : i + 1], others[at])]
                     found.append((np.minimum(ids[i], other_ids[at]), np.maximum(ids[i], other_ids[at])))
             a, b = (np.concatenate([f[side] for f in found]) if found else np.zeros(0, np.int64) for side in (0, 1))
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -252,21 +290,28 @@ def second_round(members: DataFrame, labels: DataFrame, known: DataFrame, plan:
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links), kept, of every row."""
     found = signatures(docs, plan)
-    classes = found.where("doc_id IS NOT NULL AND n > 0").groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "minima", "buckets"), "doc_id").alias("first"))
+    classes = found.where("doc_id IS NOT NULL AND n > 0").groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "sketch", "buckets"), "doc_id").alias("first"))
     rows = classes.select(F.col("first.doc_id").alias("id"), F.explode("first.buckets").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = settled(rows.join(shared, "bucket"), "shared-buckets")
     in_buckets = members.select("id").distinct()
     known = settled(
-        classes.select(F.col("first.doc_id").alias("id"), "first.n", "first.minima").join(in_buckets, "id", "left_semi"), "known"
+        classes.select(F.col("first.doc_id").alias("id"), "first.n", "first.sketch").join(in_buckets, "id", "left_semi"), "known"
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(in_buckets.hint("merge"), "id", "left_semi")
     sets = settled(full_sets(texts, plan), "sets")
-    links = settled(linked(alike(first_round(members), known, plan), sets, plan), "links")
+    met = settled(members.join(centres_of(members), "bucket").select("id", "centre", "size"), "centres")
+    links = settled(linked(alike(first_round(met), known, plan), sets, plan), "links")
     labels = star_components(links)
-    later = settled(second_round(members, labels, known, plan), "later-pairs")
-    if not later.isEmpty():
-        labels = star_components(links.union(linked(later, sets, plan)))
+    for pairs in (
+        lambda: alike(second_round(met, labels), known, plan),
+        lambda: third_round(members, labels, known, plan),
+    ):
+        later = settled(linked(settled(pairs(), "later-pairs"), sets, plan), "later-links")
+        if not later.isEmpty():
+            # The components found so far stand for all links before.
+            links = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(later)
+            labels = star_components(links)
     of_class = classes.select("key", F.col("first.doc_id").alias("_first"))
     named = of_class.join(labels, F.col("_first") == F.col("id"), "left").select(
         F.col("key").alias("_key"), F.coalesce("component", "_first").alias("_component")

@@ -173,12 +173,13 @@ def test_loose_members_of_a_bucket_meet(spark, monkeypatch):
     # Members of one bucket: two that no centre is linked with, yet with each other, in blocks of their own.
     monkeypatch.setattr(minhash_dedup, "BLOCK", 2)
     plan = minhash_dedup.Plan(bands=1, rows=2, least_equal=2)
+    sketch = "abcd" + "e" * (minhash_dedup.PARITIES // 8)
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 1), (9, 9), (10, 9), (11, 9)], "id long, component long")
     members = spark.createDataFrame([(7, i, 9) for i in range(1, 12)], "bucket long, id long, size long")
-    known = members.selectExpr("id", "10L AS n", "CAST('abcd' AS binary) AS minima")
+    known = members.selectExpr("id", "10L AS n", f"CAST('{sketch}' AS binary) AS sketch")
     group = dict(labels.collect())
     expected = {(a, b) for a in range(1, 12) for b in range(a + 1, 12) if group.get(a, a) != group.get(b, b)}
-    assert {tuple(r) for r in minhash_dedup.second_round(members, labels, known, plan).collect()} == expected
+    assert {tuple(r) for r in minhash_dedup.third_round(members, labels, known, plan).collect()} == expected
 
 
 def test_star_components(spark):
