@@ -4,25 +4,39 @@ A window opens at a key's first request and lasts ``window_us``; the first ``quo
 requests in it pass, later ones are rejected with the seconds until it closes. A
 request at exactly the closing time still belongs to the window; the next one opens
 a new window.
+
+Which requests open windows is a chain: the first request later than a window's end opens
+the next. All keys go one way, whatever their size. Distinct (key, time) points and, one
+window later, their ends lie in one global order, cut into ranges; there each end sees the
+next point. A point behind a gap longer than the window opens one for certain, so a key's
+log falls into chains, and pointers that lead to such a point are left out. Then pointers
+are doubled and openings are marked in the same round: after n rounds all openings of the
+first 2^n windows of every chain are known. Rounds grow with the logarithm of the longest
+chain, every join is by (key, time), and no task needs a whole key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions.numbers import int_div
-from holdfast.sources.workspace import fresh_path, publish
+from holdfast.sources.workspace import publish
 
+MINUTE_US = 60_000_000
 DAY_US = 86_400_000_000
-# Rows of one key that one task may scan; keys above it are split over time.
-SCAN_ROWS = 5_000_000
-SLICE_WRITERS = 32
-_STARTS_SCHEMA = "user_id long, slice long, opened long"
+# The quota of a window of a minute, and the key of a request without one.
+QUOTA = 15
+NOBODY = "unknown"
+
+
+def client_key(forwarded: Column, address: Column) -> Column:
+    """The first address of a forwarding header, else the request's own, else ``NOBODY``."""
+    first = F.nullif(F.trim(F.split(forwarded, ",")[0]), F.lit(""))
+    return F.coalesce(first, F.nullif(address, F.lit("")), F.lit(NOBODY))
 
 
 def _epoch_micros(events: DataFrame) -> Column:
@@ -36,14 +50,16 @@ def _epoch_micros(events: DataFrame) -> Column:
     return minutes * 60_000_000 + (seconds * 1_000_000).cast("long")
 
 
-def request_log(events: DataFrame) -> DataFrame:
-    """(event_id, user_id, at) with at in microseconds.
+def request_log(events: DataFrame, key: str = "user_id") -> DataFrame:
+    """(event_id, user_id, at) with at in microseconds and the key, a number or a text, as user_id.
 
-    Requests without a key share the key -1; those without a time count at the epoch.
+    Requests without a key share the key -1, or ``NOBODY`` among texts; those without a time
+    count at the epoch.
     """
-    key = F.coalesce(F.col("user_id"), F.lit(-1).cast("long"))
+    named = F.col(key) if events.schema[key].dataType.typeName() == "string" else F.col(key).cast("long")
+    nobody = F.lit(NOBODY) if events.schema[key].dataType.typeName() == "string" else F.lit(-1).cast("long")
     at = F.coalesce(_epoch_micros(events), F.lit(0).cast("long"))
-    return events.select("event_id", key.alias("user_id"), at.alias("at"))
+    return events.select("event_id", F.coalesce(named, nobody).alias("user_id"), at.alias("at"))
 
 
 def window_walk(window_us: int, quota: int):
@@ -71,82 +87,82 @@ def window_walk(window_us: int, quota: int):
     return walk
 
 
-def _scan(window_us: int, quota: int):
-    """Judges key- and time-sorted batches, carrying only the open window between them.
-
-    Memory therefore does not depend on how many rows a key has.
-    """
-    walk = window_walk(window_us, quota)
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, opened, seen = None, None, 0
-        for batch in batches:
-            keys, at = batch["user_id"].to_numpy(), batch["at"].to_numpy()
-            opened_at = np.empty(len(at), dtype=np.int64)
-            accepted = np.zeros(len(at), dtype=bool)
-            edges = np.append(np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)), len(at))
-            for first, last in zip(edges[:-1], edges[1:]):
-                if keys[first] != key:
-                    key, opened, seen = keys[first], None, 0
-                run = slice(first, last)
-                opened_at[run], accepted[run], opened, seen = walk(at[run], opened, seen)
-            yield batch.assign(opened=opened_at, accepted=accepted)
-
-    return judge
-
-
-def _judge_scanned(log: DataFrame, window_us: int, quota: int) -> DataFrame:
-    ordered = log.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id")
-    return ordered.mapInPandas(
-        _scan(window_us, quota),
-        "event_id long, user_id long, at long, opened long, accepted boolean",
+def first_hops(log: DataFrame, window_us: int) -> DataFrame:
+    """(user_id, at, next): the points that open windows for certain, with no next, and the hops from
+    each point to the first one later than its window, unless that one opens a window for certain."""
+    points = log.select("user_id", "at").distinct()
+    # At one time an end (kind 1) stands behind a point, which still belongs to the window.
+    rows = points.select("user_id", F.col("at").alias("t"), F.lit(0).alias("kind")).union(
+        points.select("user_id", F.col("at") + window_us, F.lit(1))
+    )
+    ranged = publish(
+        rows.repartitionByRange("user_id", "t", "kind").withColumn("_range", F.spark_partition_id()), "throttle-ranges"
+    )
+    point = F.when(F.col("kind") == 0, F.struct("user_id", "t"))
+    ends = ranged.groupBy("_range").agg(F.min(point).alias("first"), F.max(point).alias("last"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per shuffle partition, so this side stays small at any data size.
+    around = ends.select(
+        "_range", F.last("last", True).over(earlier).alias("_before"), F.last("first", True).over(later).alias("_after")
+    )
+    up = Window.partitionBy("_range").orderBy("user_id", "t", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    down = (
+        Window.partitionBy("_range")
+        .orderBy(F.desc("user_id"), F.desc("t"), F.desc("kind"))
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    near = ranged.join(F.broadcast(around), "_range").select(
+        "user_id",
+        "t",
+        "kind",
+        F.coalesce(F.last(point, True).over(up), "_before").alias("before"),
+        F.coalesce(F.last(point, True).over(down), "_after").alias("after"),
     )
+    before, after = (F.when(F.col(f"{side}.user_id") == F.col("user_id"), F.col(f"{side}.t")) for side in ("before", "after"))
+    told = near.select("user_id", "t", "kind", before.alias("before"), after.alias("after"))
+    certain = told.where("kind = 0").where(F.col("before").isNull() | (F.col("t") - F.col("before") > window_us))
+    hops = told.where("kind = 1").where(F.col("after") - F.col("before") <= window_us)
+    nothing = F.lit(None).cast("long")
+    return certain.select("user_id", F.col("t").alias("at"), nothing.alias("next")).union(
+        hops.select("user_id", F.col("t") - window_us, "after")
+    )
+
+
+def openings(log: DataFrame, window_us: int) -> DataFrame:
+    """(user_id, opened) of every window."""
+    start = publish(first_hops(log, window_us), "throttle-hops")
+    parts = [start.where("next IS NULL").select("user_id", "at")]
+    hops = start.where("next IS NOT NULL")
+    while not hops.isEmpty():
+        ahead = hops.select("user_id", F.col("at").alias("next"), F.col("next").alias("over"))
+        doubled = hops.join(ahead, ["user_id", "next"]).select("user_id", "at", F.col("over").alias("next"))
+        reached = reduce(DataFrame.union, parts).join(hops, ["user_id", "at"]).select("user_id", F.col("next").alias("at"))
+        marked = reached.select("user_id", "at", F.lit(None).cast("long").alias("next"))
+        both = publish(doubled.union(marked), "throttle-hops")
+        parts.append(both.where("next IS NULL").select("user_id", "at"))
+        hops = both.where("next IS NOT NULL")
+    return reduce(DataFrame.union, parts).select("user_id", F.col("at").alias("opened"))
 
 
-def _mark_split(log: DataFrame, window_us: int) -> DataFrame:
-    """The same marks for very large keys, without putting a key into one task.
+def with_openings(log: DataFrame, window_us: int) -> DataFrame:
+    """The log with the opening of each request's window.
 
-    Time is cut into slices of one window's length, so a slice holds at most one
-    opening per key: the first request after the window that reaches into it. That
-    is a minimum, which folds inside each map task. Slices are taken in order, each
-    reading its own partition of the log. There are at most rows / SCAN_ROWS large
-    keys, so their open windows are broadcast.
+    Time is cut into slices of one window's length, so a slice holds at most one opening of
+    a key, and a request's window opened in its own slice or in the one before.
     """
-    spark = log.sparkSession
-    # Several writers per slice: a slice may hold a large part of the log.
-    writer = F.pmod(F.col("event_id"), F.lit(SLICE_WRITERS))
-    by_slice = log.withColumn("slice", int_div(F.col("at") - F.pmod("at", F.lit(window_us)), window_us)).repartition("slice", writer)
-    sliced = publish(by_slice, "throttle-log", ("slice",))
-    starts_path = fresh_path(spark, "throttle-starts")
-    spark.createDataFrame([], _STARTS_SCHEMA).write.parquet(starts_path)
-    slices = [row.slice for row in sliced.select("slice").distinct().orderBy("slice").toLocalIterator()]
-    for slice_no in slices:
-        known = spark.read.schema(_STARTS_SCHEMA).parquet(starts_path)
-        open_until = known.groupBy("user_id").agg((F.max("opened") + window_us).alias("until"))
-        (
-            sliced.where(F.col("slice") == slice_no)
-            .join(F.broadcast(open_until), "user_id", "left")
-            .where(F.col("until").isNull() | (F.col("at") > F.col("until")))
-            .groupBy("user_id", "slice")
-            .agg(F.min("at").alias("opened"))
-            .select("user_id", "slice", "opened")
-            .write.mode("append")
-            .parquet(starts_path)
-        )
-    starts = spark.read.schema(_STARTS_SCHEMA).parquet(starts_path)
+
+    def slice_of(at: str) -> Column:
+        return int_div(F.col(at) - F.pmod(at, F.lit(window_us)), window_us)
+
+    starts = publish(openings(log, window_us).withColumn("slice", slice_of("opened")), "throttle-starts")
     here = starts.withColumnRenamed("opened", "opened_here")
-    # A window opened in a slice may reach into the next one.
-    before = starts.select(
-        "user_id", (F.col("slice") + 1).alias("slice"), F.col("opened").alias("opened_before")
-    )
-    marked = sliced.join(here, ["user_id", "slice"], "left").join(before, ["user_id", "slice"], "left")
+    before = starts.select("user_id", (F.col("slice") + 1).alias("slice"), F.col("opened").alias("opened_before"))
+    sliced = log.withColumn("slice", slice_of("at"))
+    met = sliced.join(here, ["user_id", "slice"], "left").join(before, ["user_id", "slice"], "left")
     in_new = F.col("at") >= F.col("opened_here")
-    return marked.select(
-        "event_id",
-        "user_id",
-        "at",
-        F.when(in_new, F.col("opened_here")).otherwise(F.col("opened_before")).alias("opened"),
-    )
+    opened = F.when(in_new, F.col("opened_here")).otherwise(F.col("opened_before"))
+    return met.select("event_id", "user_id", "at", opened.alias("opened"))
 
 
 def _retry_after(window_us: int) -> Column:
@@ -154,7 +170,7 @@ def _retry_after(window_us: int) -> Column:
     return int_div(left + 999_999, 1_000_000).cast("int")
 
 
-def _judge_split(marked: DataFrame, quota: int) -> DataFrame:
+def _judged(marked: DataFrame, quota: int) -> DataFrame:
     """Accept the first ``quota`` rows of each window, ranking no more than those.
 
     The rank filter keeps at most ``quota`` rows per window in each task before the
@@ -168,24 +184,15 @@ def _judge_split(marked: DataFrame, quota: int) -> DataFrame:
         .agg(F.max(F.struct("at", "event_id")).alias("last_passed"))
     )
     within = F.struct("at", "event_id") <= F.col("last_passed")
-    return marked.join(last_passed, ["user_id", "opened"]).withColumn("accepted", within)
+    return marked.join(last_passed, ["user_id", "opened"], "left").withColumn("accepted", F.coalesce(within, F.lit(False)))
 
 
 def throttle_batch(
-    events: DataFrame, window_us: int = DAY_US, quota: int = 2, scan_rows: int = SCAN_ROWS
+    events: DataFrame, window_us: int = MINUTE_US, quota: int = QUOTA, key: str = "user_id"
 ) -> DataFrame:
-    """(event_id, user_id, accepted, retry_after) for every request of the log."""
-    log = request_log(events)
-    large = publish(
-        log.groupBy("user_id").count().where(F.col("count") > scan_rows).select("user_id"), "large-keys"
-    )
-    if large.isEmpty():
-        judged = _judge_scanned(log, window_us, quota)
-    else:
-        scanned = _judge_scanned(log.join(large, "user_id", "left_anti"), window_us, quota)
-        marks = publish(_mark_split(log.join(large, "user_id", "left_semi"), window_us), "throttle-marks")
-        columns = scanned.columns
-        judged = scanned.unionByName(_judge_split(marks, quota).select(columns))
-    return judged.select(
-        "event_id", "user_id", "accepted", F.when(~F.col("accepted"), _retry_after(window_us)).alias("retry_after")
+    """(event_id, the key, accepted, retry_after) for every request of the log."""
+    marked = publish(with_openings(request_log(events, key), window_us), "throttle-marks")
+    wait = F.when(~F.col("accepted"), _retry_after(window_us))
+    return _judged(marked, quota).select(
+        "event_id", F.col("user_id").alias(key), "accepted", wait.alias("retry_after")
     )

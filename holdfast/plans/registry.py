@@ -32,6 +32,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 PLANS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 PICKED_PLANS = ("BUILDING", "MACHINERY")
 PLAN_EFFECT = {"AUTOMOBILE": 0.05, "BUILDING": -0.03, "FURNITURE": -0.10}
+# The given log has about two requests of a key a day.
+DAILY_QUOTA = (throttle.DAY_US, 2)
 SAMPLE_STATEMENT = (
     "SELECT u.country, count(*) AS sessions, max(w.watch_date) AS last_day "
     "FROM watch_history w JOIN users u ON u.user_id = w.user_id GROUP BY u.country;"
@@ -244,7 +246,8 @@ _REQUESTS: dict[str, Query] = {
     "user_fact_sheets": _on_tables(lambda t: profiles.fact_sheets(t.users)),
     "winback_requests": _on_tables(lambda t: profiles.winback_requests(t.users)),
     "risk_reasons": _on_model(model.reasons),
-    "throttle_batch": _on_events(throttle.throttle_batch),
+    "throttle_batch": _on_events(lambda e: throttle.throttle_batch(e, *DAILY_QUOTA)),
+    "throttle_text_keys": _on_events(lambda e: throttle.throttle_batch(e, throttle.DAY_US, throttle.QUOTA, "event_type")),
     "throttle_stream": lambda spark, sf_dir: streaming.replay(
         streaming.open_log(spark, sf_dir, "events.parquet")
     ),

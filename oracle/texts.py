@@ -674,24 +674,30 @@ SHEET = "concat_ws(chr(10), " + ", ".join(_sheet_line(label) for label in profil
 _TONES = ", ".join(f"('{tone}', {_quoted(style)})" for tone, style in profiles.TONES.items())
 DAY_US = 86_400_000_000
 
-THROTTLE = f"""
+
+
+def throttled(key: str, quota: int) -> str:
+    return f"""
         WITH RECURSIVE log AS (
-          SELECT event_id, user_id, epoch_us(ts) AS us,
-                 row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events
+          SELECT event_id, {key}, epoch_us(ts) AS us,
+                 row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS rn FROM events
         ), run AS (
-          SELECT event_id, user_id, us, rn, us AS opened, 1 AS passed, true AS accepted FROM log WHERE rn = 1
+          SELECT event_id, {key}, us, rn, us AS opened, 1 AS passed, true AS accepted FROM log WHERE rn = 1
           UNION ALL
-          SELECT l.event_id, l.user_id, l.us, l.rn,
+          SELECT l.event_id, l.{key}, l.us, l.rn,
                  CASE WHEN l.us > r.opened + {DAY_US} THEN l.us ELSE r.opened END,
-                 CASE WHEN l.us > r.opened + {DAY_US} THEN 1 WHEN r.passed >= 2 THEN r.passed ELSE r.passed + 1 END,
-                 l.us > r.opened + {DAY_US} OR r.passed < 2
-          FROM run r JOIN log l ON l.user_id = r.user_id AND l.rn = r.rn + 1
+                 CASE WHEN l.us > r.opened + {DAY_US} THEN 1 WHEN r.passed >= {quota} THEN r.passed ELSE r.passed + 1 END,
+                 l.us > r.opened + {DAY_US} OR r.passed < {quota}
+          FROM run r JOIN log l ON l.{key} = r.{key} AND l.rn = r.rn + 1
         )
-        SELECT event_id, user_id, accepted,
+        SELECT event_id, {key}, accepted,
                CASE WHEN NOT accepted THEN CAST((opened + {DAY_US} - us + 999999) // 1000000 AS INTEGER) END
                  AS retry_after
         FROM run"""
 
+
+THROTTLE = throttled("user_id", 2)
+
 _SAMPLE = (
     "SELECT u.country, count(*) AS sessions, max(w.watch_date) AS last_day "
     "FROM watch_history w JOIN users u ON u.user_id = w.user_id GROUP BY u.country"
@@ -716,6 +722,7 @@ REQUESTS = {
         *DECILES,
     ),
     "throttle_batch": THROTTLE,
+    "throttle_text_keys": throttled("event_type", 15),
     # The log lies in one file, so one micro-batch sees it in order and no row is late.
     "throttle_stream": f"SELECT *, false AS late FROM ({THROTTLE})",
     "ask_overall_churn": over_tables(f"SELECT {CHURN2} FROM users"),

@@ -22,7 +22,7 @@ def test_ratings_scan_the_published_sessions(spark, sf_dir):
 
 def test_new_data_under_an_old_path_is_seen(spark, tmp_path):
     for name in ("customer", "nation", "orders", "lineitem", "part"):
-        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
+        shutil.copyfile(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
     first = load(spark, str(tmp_path))
     titles = first.content.count()
     assert load(spark, str(tmp_path)) is first

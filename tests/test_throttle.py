@@ -3,8 +3,11 @@ from __future__ import annotations
 import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from holdfast.operators import throttle
 from holdfast.operators.throttle import throttle_batch
 from holdfast.streaming.throttle import open_log, replay
 
@@ -52,24 +55,56 @@ def test_window_edges(spark):
     assert found[6] == (True, None)
 
 
-@pytest.mark.parametrize("scan_rows", [10**9, 90, 0])
-def test_batch_equals_a_sequential_scan(spark, scan_rows):
+@pytest.mark.parametrize("partitions", [1, 8, 40])
+def test_batch_equals_a_sequential_scan(spark, partitions):
     hits = random_hits()
-    found = decided(throttle_batch(log_frame(spark, hits).repartition(7), WINDOW, QUOTA, scan_rows))
-    assert found == by_hand(hits)
-
-
-def test_state_is_carried_between_batches(spark):
-    hits = [(i, 1, i * 10) for i in range(500)] + [(1000 + i, 2, i * 3000) for i in range(500)]
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that keys span ranges
     try:
-        found = decided(throttle_batch(log_frame(spark, hits), WINDOW, QUOTA))
+        found = decided(throttle_batch(log_frame(spark, hits).repartition(7), WINDOW, QUOTA))
     finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert found == by_hand(hits)
 
 
+def test_a_keyless_hot_key_over_many_windows(spark, monkeypatch):
+    # 15 a minute over 30 days: the longest chain decides the number of tables written, not the number of windows.
+    minute = 60_000_000
+    rng = np.random.default_rng(5)
+    hot = np.sort(rng.integers(0, 30 * 1440 * minute, 120_000))
+    burst = 7_000_000_000 + np.arange(400) * 100_000
+    made = pd.DataFrame({"at": np.concatenate([hot, burst, hot[:500]])})
+    made["event_id"] = np.arange(len(made))
+    made["user_id"] = [-9] * 120_400 + [3] * 500
+    events = spark.createDataFrame(made).selectExpr("event_id", "timestamp_micros(at) AS ts", "nullif(user_id, -9) AS user_id")
+    written = []
+    known = throttle.publish
+    monkeypatch.setattr(throttle, "publish", lambda df, name, *rest: written.append(name) or known(df, name, *rest))
+    found = throttle_batch(events).orderBy("event_id").toPandas()
+    assert len(written) < 24
+    state, accepted = {}, np.zeros(len(made), bool)
+    for row in made.sort_values(["at", "event_id"]).itertuples():
+        opened, count = state.get(row.user_id, (None, 0))
+        if opened is None or row.at > opened + minute:
+            opened, count = row.at, 0
+        accepted[row.event_id] = count < throttle.QUOTA
+        state[row.user_id] = (opened, count + 1)
+    assert list(found.accepted) == list(accepted) and not accepted.all()
+
+
+def test_text_keys_and_addresses(spark):
+    rows = [("1.2.3.4, 9.9.9.9", "5.5.5.5"), (" 1.2.3.4", None), ("", "7.7.7.7"), (None, "7.7.7.7"), (None, None), (" ,x", "")]
+    events = spark.createDataFrame([(i, EPOCH, *r) for i, r in enumerate(rows)], "event_id long, ts timestamp_ntz, forwarded string, address string")
+    keyed = events.withColumn("client", throttle.client_key(F.col("forwarded"), F.col("address")))
+    assert [r.client for r in keyed.orderBy("event_id").collect()] == ["1.2.3.4"] * 2 + ["7.7.7.7"] * 2 + ["unknown"] * 2
+    out = {r.event_id: r for r in throttle_batch(keyed.withColumn("client", F.nullif("client", F.lit("unknown"))), WINDOW, 1, "client").collect()}
+    assert {e: r.accepted for e, r in out.items()} == {0: True, 1: False, 2: True, 3: False, 4: True, 5: False}
+    assert out[4].client == "unknown" and {r.accepted for r in throttle_batch(keyed, WINDOW, 0, "client").collect()} == {False}
+    assert throttle_batch(keyed.limit(0), WINDOW, 1, "client").count() == 0
+
+
 def test_zoned_and_missing_keys(spark):
     df = log_frame(spark, [(1, 7, 0), (2, 7, 5)]).selectExpr("event_id", "cast(ts as timestamp) ts", "user_id")
     nobody = df.selectExpr("event_id + 10 as event_id", "ts", "cast(null as long) as user_id")
