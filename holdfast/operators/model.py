@@ -1,4 +1,4 @@
-"""Churn model: dummy features, stratified split, standardising, logistic regression."""
+"""Churn model: sparse dummy features, stratified split, standardising, logistic regression."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,60 +27,49 @@ NUMERIC = (
     "num_devices",
 )
 CATEGORICAL = ("subscription_type", "favorite_genre", "country")
-MAX_LEVELS = 1000
 
 
-def dummy_columns(users: DataFrame) -> dict[str, Column]:
-    """An indicator per level of each categorical column, the first level left out.
+def indicators(users: DataFrame) -> list[Column]:
+    """For each categorical column the name of the user's level; NULL for its first level, which has no indicator.
 
-    One scan finds the levels of all three columns. Only their names reach the driver,
-    and their number is checked.
+    A level is the first one by name, so no list of levels is needed: three minima are.
     """
-    sets = [[F.col(c)] for c in CATEGORICAL]
-    found = users.groupingSets(sets, *CATEGORICAL).agg(count_rows().alias("users"))
-    bound = MAX_LEVELS * len(CATEGORICAL)
-    rows = found.limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"{', '.join(CATEGORICAL)} have more than {bound} levels")
-    dummies = {}
-    for column in CATEGORICAL:
-        levels = sorted({row[column] for row in rows if row[column] is not None})
-        for level in levels[1:]:
-            dummies[f"{column}_{level}"] = F.when(F.col(column) == level, 1.0).otherwise(0.0)
-    return dummies
+    first = users.agg(F.struct(*[F.min(c).alias(c) for c in CATEGORICAL])).scalar()
+    return [F.when(F.col(c) > first[c], F.concat(F.lit(f"{c}_"), F.col(c))) for c in CATEGORICAL]
 
 
 def feature_frame(users: DataFrame) -> DataFrame:
+    """user_id, churn, the numeric features, and the names of the indicators that are 1, in feature order."""
     numeric = [F.col(c).cast("double").alias(c) for c in NUMERIC]
-    dummies = [indicator.alias(name) for name, indicator in dummy_columns(users).items()]
-    return users.select("user_id", "churn", *numeric, *dummies)
+    return users.select("user_id", "churn", *numeric, F.array_compact(F.array(*indicators(users))).alias("indicators"))
 
 
 def feature_names(features: DataFrame) -> list[str]:
-    return [c for c in features.columns if c not in ("user_id", "churn", "is_train")]
+    """The numeric features, then the indicators by column and level; as long as the model's weights."""
+    found = features.select(F.explode("indicators").alias("name")).distinct().toLocalIterator()
+    by_column: dict[str, list[str]] = {c: [] for c in CATEGORICAL}
+    for row in found:
+        by_column[next(c for c in CATEGORICAL if row.name.startswith(f"{c}_"))].append(row.name)
+    return [*NUMERIC, *(name for names in by_column.values() for name in sorted(names))]
 
 
 def feature_totals(users: DataFrame) -> DataFrame:
     """(feature, total) over the whole feature frame."""
     features = feature_frame(users)
-    names = feature_names(features)
-    sums = features.agg(*[F.sum(f"`{c}`").alias(c) for c in names])
-    return sums.unpivot([], [f"`{c}`" for c in names], "feature", "total").select(
-        F.col("feature"), round_dp(F.col("total"), 2).alias("total")
-    )
+    sums = features.agg(*[F.sum(c).alias(c) for c in NUMERIC]).unpivot([], list(NUMERIC), "feature", "total")
+    levels = features.select(F.explode("indicators").alias("feature")).groupBy("feature").agg(count_rows().cast("double").alias("total"))
+    return sums.union(levels).select("feature", round_dp(F.col("total"), 2).alias("total"))
 
 
 def feature_rows(users: DataFrame) -> DataFrame:
     """Per user the numeric features, and the names of the indicators that are 1, in feature order."""
-    features = feature_frame(users)
-    marked = [F.when(F.col(f"`{c}`") == 1.0, F.lit(c)) for c in feature_names(features) if c not in NUMERIC]
-    return features.select("user_id", *NUMERIC, F.concat_ws("|", *marked).alias("indicators"))
+    return feature_frame(users).select("user_id", *NUMERIC, F.concat_ws("|", "indicators").alias("indicators"))
 
 
 def shuffle_key(user_id: Column) -> Column:
     """A fixed permutation of the ids modulo a prime, to order users without a seed."""
     prime = 2_147_483_647
-    return F.pmod(F.pmod(user_id, F.lit(prime)) * 48_271, F.lit(prime))
+    return F.pmod(F.pmod(user_id.cast("long"), F.lit(prime)) * 48_271, F.lit(prime))
 
 
 def with_split(df: DataFrame, users: DataFrame, test_share: float = 0.25) -> DataFrame:
@@ -153,12 +143,17 @@ def zscores(users: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class ChurnModel:
-    """A fitted model over ``features``: user_id, churn, is_train and a vector in training
-    sample deviations. ``shrink`` leads from these to population deviations."""
+    """A fitted model over ``features``: user_id, churn, is_train, the numeric features, the
+    indicators, and a sparse vector in training sample deviations that is not centred.
+
+    ``means`` are in the same deviations; ``shrink`` leads from these to population deviations.
+    """
 
     names: list[str]
     fitted: LogisticRegressionModel
     features: DataFrame
+    means: np.ndarray
+    scale: np.ndarray
     shrink: float
 
     @property
@@ -166,11 +161,21 @@ class ChurnModel:
         """Weight of each vector element."""
         return [float(w) for w in self.fitted.coefficients]
 
+    @property
+    def intercept(self) -> float:
+        """The intercept of centred features: what their means add stands in it."""
+        return float(self.fitted.intercept + self.fitted.coefficients.toArray() @ self.means)
+
     def coefficients(self) -> DataFrame:
         """Weight of each feature when it is measured in population deviations."""
         rows = [(name, weight * self.shrink) for name, weight in zip(self.names, self.weights)]
         return self.features.sparkSession.createDataFrame(rows, "feature string, coefficient double")
 
+    def parts(self) -> list[tuple[str, float, float]]:
+        """feature, slope (by unit of the feature) and base (what the feature adds at zero) of the centred score."""
+        weights = self.fitted.coefficients.toArray()
+        return list(zip(self.names, (weights * self.scale).tolist(), (-weights * self.means).tolist()))
+
     @cached_property
     def scores(self) -> DataFrame:
         """user_id, churn, is_train and the probability of churn, computed once."""
@@ -181,35 +186,54 @@ class ChurnModel:
         return publish(scored, "scores")
 
 
+def vectors(frame: DataFrame, names: list[str]) -> DataFrame:
+    """Adds ``raw``, a sparse vector of the numeric features and of the indicators by dictionary number."""
+    levels = names[len(NUMERIC) :]
+    columns = list(NUMERIC)
+    if levels:
+        numbered = CountVectorizerModel.from_vocabulary(levels, inputCol="indicators", outputCol="levels")
+        frame, columns = numbered.transform(frame), [*columns, "levels"]
+    return VectorAssembler(inputCols=columns, outputCol="raw").transform(frame).drop("levels")
+
+
 def _fit(frame: DataFrame, names: list[str]) -> ChurnModel:
-    """Standardise by the training rows and fit.
+    """Divide by the deviations of the training rows and fit.
 
-    A penalty of |w|^2 / 2 against the summed loss is 1 / rows against the mean loss.
-    The scaler divides by sample deviations; weights are penalised as if it were
-    population deviations, which only rescales the penalty.
+    Nothing is centred, so that vectors stay sparse: the intercept is free, takes up what the
+    means add, and the weights are those of centred features. A penalty of |w|^2 / 2 against
+    the summed loss is 1 / rows against the mean loss. The scaler divides by sample
+    deviations; weights are penalised as if it were population deviations, which only
+    rescales the penalty.
     """
-    plain = {name: f"f{i}" for i, name in enumerate(names)}
-    columns = [F.col(f"`{name}`").alias(column) for name, column in plain.items()]
-    assembler = VectorAssembler(inputCols=list(plain.values()), outputCol="raw")
-    assembled = assembler.transform(frame.select("user_id", "churn", "is_train", *columns))
-    vectors = publish(assembled.select("user_id", "churn", "is_train", "raw"), "features")
-    train = vectors.where("is_train")
+    kept = ("user_id", "churn", "is_train", *NUMERIC, "indicators", "raw")
+    assembled = publish(vectors(frame, names).select(*kept), "features")
+    train = assembled.where("is_train")
     rows = train.count()
     shrink = ((rows - 1) / rows) ** 0.5
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(train)
+    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=False, withStd=True).fit(train)
     learner = LogisticRegression(
         labelCol="churn",
         maxIter=1000,
+        tol=1e-9,
         regParam=shrink**2 / rows,
         elasticNetParam=0.0,
         standardization=False,
     )
-    return ChurnModel(names, learner.fit(scaler.transform(train)), scaler.transform(vectors).drop("raw"), shrink)
+    deviation = scaler.std.toArray()
+    scale = np.divide(1.0, deviation, out=np.zeros_like(deviation), where=deviation > 0)
+    return ChurnModel(
+        names,
+        learner.fit(scaler.transform(train)),
+        scaler.transform(assembled).drop("raw"),
+        scaler.mean.toArray() * scale,
+        scale,
+        shrink,
+    )
 
 
 def fit(users: DataFrame) -> ChurnModel:
     """Fit on 75 % of the users, stratified by churn."""
-    features = feature_frame(users)
+    features = publish(feature_frame(users), "indicators")
     return _fit(with_split(features, users), feature_names(features))
 
 
@@ -225,7 +249,7 @@ def coefficient_report(model: ChurnModel) -> DataFrame:
     weights = model.coefficients().select(
         "feature", round_dp(F.col("coefficient"), 6).alias("coefficient")
     )
-    intercept = F.lit(float(model.fitted.intercept))
+    intercept = F.lit(model.intercept)
     constant = weights.limit(1).select(
         F.lit("(intercept)").alias("feature"), round_dp(intercept, 6).alias("coefficient")
     )
@@ -252,21 +276,36 @@ def scored_deciles(model: ChurnModel) -> DataFrame:
 
 
 def reasons(model: ChurnModel, limit: int = 3) -> DataFrame:
-    """Per user the features that move the score most, with their signed contribution."""
-    weights = F.array(*[F.lit(w) for w in model.weights])
-    names = F.array(*[F.lit(name) for name in model.names])
-    moved = F.zip_with(vector_to_array("features"), weights, lambda x, w: x * w)
-    labelled = F.zip_with(
-        moved,
-        names,
-        lambda part, name: F.struct(
-            F.abs(part).alias("size"), name.alias("feature"), round_dp(part, 6).alias("contribution")
-        ),
+    """Per user the features that move the score most, with their signed contribution.
+
+    A user's candidates are the numeric features, the user's own indicators, and those of all
+    others that move a score most when they are 0. Of the last the user has as many as there
+    are categorical columns at most, so ``limit`` more than that are enough for everyone.
+    """
+
+    def reason(feature: Column, part: Column) -> Column:
+        return F.struct(F.abs(part).alias("size"), feature.alias("feature"), round_dp(part, 6).alias("contribution"))
+
+    # As long as the weights, which the driver holds as part of the fitted model.
+    rows = model.parts()
+    slopes = {feature: (slope, base) for feature, slope, base in rows[: len(NUMERIC)]}
+    numeric = [reason(F.lit(c), F.col(c) * slopes[c][0] + slopes[c][1]) for c in NUMERIC]
+    unset = sorted(rows[len(NUMERIC) :], key=lambda r: (abs(r[2]), r[0]), reverse=True)[: limit + len(CATEGORICAL)]
+    absent = [reason(F.lit(feature), F.lit(base)) for feature, _, base in unset]
+    parts = model.features.sparkSession.createDataFrame(rows, "feature string, slope double, base double")
+    own = (
+        model.features.select("user_id", F.explode("indicators").alias("feature"))
+        .join(parts, "feature")
+        .groupBy("user_id")
+        .agg(F.collect_list(reason(F.col("feature"), F.col("slope") + F.col("base"))).alias("own"))
     )
-    strongest = F.slice(F.sort_array(labelled, asc=False), 1, limit)
-    return model.features.select(
-        "user_id", F.posexplode(strongest).alias("place", "reason")
-    ).select(
+    met = model.features.select("user_id", "indicators", *NUMERIC).join(own, "user_id", "left")
+    others = [F.when(~F.array_contains("indicators", r[0]), part) for r, part in zip(unset, absent)]
+    unheld = F.array_compact(F.array(*others)) if others else F.array()
+    listed = F.concat(F.array(*numeric), unheld)
+    candidates = F.when(F.col("own").isNull(), listed).otherwise(F.concat(listed, "own"))
+    strongest = F.slice(F.sort_array(candidates, asc=False), 1, limit)
+    return met.select("user_id", F.posexplode(strongest).alias("place", "reason")).select(
         "user_id", (F.col("place") + 1).alias("place"), "reason.feature", "reason.contribution"
     )
 
@@ -282,6 +321,6 @@ def guarded_deciles(users: DataFrame, more_than: int = 200) -> DataFrame:
     facts = users.agg(count_rows().alias("n"), F.countDistinct("churn").alias("classes")).first()
     if facts.n <= more_than or facts.classes != 2:
         return users.sparkSession.createDataFrame([(None, None, None, None, TOO_LITTLE)], DECILE_SCHEMA)
-    features = feature_frame(users)
+    features = publish(feature_frame(users), "indicators")
     model = _fit(features.withColumn("is_train", F.lit(True)), feature_names(features))
     return scored_deciles(model).withColumn("message", F.lit(None).cast("string"))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
 import small
@@ -24,7 +25,7 @@ def test_split_is_stratified_and_exact(tables):
 
 def training_matrix(fitted):
     rows = fitted.features.where("is_train").select("churn", "features").toPandas()
-    x = np.stack([v.toArray() for v in rows["features"]]) / fitted.shrink
+    x = (np.stack([v.toArray() for v in rows["features"]]) - fitted.means) / fitted.shrink
     return x, rows["churn"].to_numpy(float)
 
 
@@ -39,8 +40,8 @@ def test_weights_minimise_the_penalised_loss(fitted):
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (p - y) + penalty @ w)
         w -= step
     found = {r.feature: r.coefficient for r in fitted.coefficients().collect()}
-    assert np.allclose(fitted.fitted.intercept, w[0], atol=2e-3)
-    assert np.allclose([found[n] for n in fitted.names], w[1:], atol=2e-3)
+    assert np.allclose(fitted.intercept, w[0], atol=2e-6)
+    assert np.allclose([found[n] for n in fitted.names], w[1:], atol=1e-6)
 
 
 def test_training_features_are_standardised(fitted):
@@ -68,7 +69,7 @@ def test_first_level_is_dropped(spark):
 
 def test_reasons_are_the_strongest_parts(fitted):
     user = fitted.features.orderBy("user_id").first()
-    parts = user.features.toArray() * np.array(fitted.weights)
+    parts = (user.features.toArray() - fitted.means) * np.array(fitted.weights)
     strongest = sorted(zip(np.abs(parts), fitted.names, parts), reverse=True)[:3]
     found = model.reasons(fitted).where(F.col("user_id") == user.user_id).orderBy("place").collect()
     assert [r.feature for r in found] == [name for _, name, _ in strongest]
@@ -87,3 +88,26 @@ def test_guarded_model_wants_enough_users_and_both_classes(spark):
     one_class = small.make(spark, users=[dict(user_id=i) for i in range(300)]).users
     for users in (few, one_class):
         assert [r.message for r in model.guarded_deciles(users).collect()] == [model.TOO_LITTLE]
+
+
+def test_a_hundred_thousand_levels_stay_sparse(spark):
+    base = small.make(spark).users.drop("user_id", "country", "age", "churn")
+    users = spark.range(150_000).selectExpr(
+        "CAST(id AS INT) AS user_id",
+        "concat('c', lpad(CAST(id % 100000 AS STRING), 6, '0')) AS country",
+        "CAST(20 + id % 41 AS INT) AS age",
+        "CAST(CASE WHEN id % 41 + id % 7 > 30 THEN 1 ELSE 0 END AS SMALLINT) AS churn",
+    ).crossJoin(base)
+    fitted = model.fit(users)
+    assert len(fitted.names) == len(model.NUMERIC) + 99_999
+    row = fitted.features.where("user_id = 77777").first()
+    assert isinstance(row.features, SparseVector) and len(row.features.indices) <= len(model.NUMERIC) + 1
+    assert row.indicators == ["country_c077777"]
+    assert model.evaluation(fitted).first().auc > 0.9
+    assert model.reasons(fitted).count() == 3 * 150_000
+
+
+def test_users_without_a_level(spark):
+    rows = [dict(user_id=i, churn=int(i % 4 == 0), age=20 + i % 30, country=None if i % 5 else "A", favorite_genre=None) for i in range(300)]
+    fitted = model.fit(small.make(spark, users=rows).users)
+    assert fitted.names == list(model.NUMERIC) and model.reasons(fitted).count() == 900
