@@ -196,7 +196,7 @@ def vectors(frame: DataFrame, names: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="raw").transform(frame).drop("levels")
 
 
-def _fit(frame: DataFrame, names: list[str]) -> ChurnModel:
+def _fit(frame: DataFrame, names: list[str], max_iter: int = 1000) -> ChurnModel:
     """Divide by the deviations of the training rows and fit.
 
     Nothing is centred, so that vectors stay sparse: the intercept is free, takes up what the
@@ -213,7 +213,7 @@ def _fit(frame: DataFrame, names: list[str]) -> ChurnModel:
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=False, withStd=True).fit(train)
     learner = LogisticRegression(
         labelCol="churn",
-        maxIter=1000,
+        maxIter=max_iter,
         tol=1e-9,
         regParam=shrink**2 / rows,
         elasticNetParam=0.0,
@@ -231,10 +231,10 @@ def _fit(frame: DataFrame, names: list[str]) -> ChurnModel:
     )
 
 
-def fit(users: DataFrame) -> ChurnModel:
+def fit(users: DataFrame, max_iter: int = 1000) -> ChurnModel:
     """Fit on 75 % of the users, stratified by churn."""
     features = publish(feature_frame(users), "indicators")
-    return _fit(with_split(features, users), feature_names(features))
+    return _fit(with_split(features, users), feature_names(features), max_iter)
 
 
 def evaluation(model: ChurnModel) -> DataFrame:

@@ -249,7 +249,7 @@ _REQUESTS: dict[str, Query] = {
     "throttle_batch": _on_events(lambda e: throttle.throttle_batch(e, *DAILY_QUOTA)),
     "throttle_text_keys": _on_events(lambda e: throttle.throttle_batch(e, throttle.DAY_US, throttle.QUOTA, "event_type")),
     "throttle_stream": lambda spark, sf_dir: streaming.replay(
-        streaming.open_log(spark, sf_dir, "events.parquet")
+        streaming.open_log(spark, sf_dir, "events.parquet"), *DAILY_QUOTA
     ),
     "ask_overall_churn": _on_tables(_overall_churn),
     "ask_top_churn_country": _on_tables(_top_churn_country),

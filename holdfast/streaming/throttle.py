@@ -7,9 +7,10 @@ from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from holdfast.operators.throttle import DAY_US, request_log, window_walk
+from holdfast.operators.throttle import MINUTE_US, QUOTA, request_log, window_walk
 from holdfast.sources.workspace import fresh_path
 
 HOUR_US = 3_600_000_000
@@ -18,20 +19,25 @@ _STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def quota_processor(window_us: int, quota: int, keep_ms: int | None) -> StatefulProcessor:
+def quota_processor(window_us: int, quota: int, timed: bool) -> StatefulProcessor:
     """The state machine, defined inside the call so that it travels to the workers whole."""
 
     walk = window_walk(window_us, quota)
 
+    def closing_ms(opened: int) -> int:
+        return (int(opened) + window_us) // 1000 + 1
+
     class QuotaProcessor(StatefulProcessor):
-        """Keeps (opened, seen) per key; the state of a key that goes quiet expires.
+        """Keeps (opened, seen) per key, and one timer at the close of its open window.
 
-        No request is dropped: one older than the open window counts in that window and
-        is flagged late.
+        When the watermark passes that time, no request of the window can come any more and
+        the key's state goes. A request older than the open window but within the slack
+        counts in that window and is flagged late.
         """
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.window = handle.getValueState("window", "opened long, seen long", keep_ms)
+            self.handle = handle
+            self.window = handle.getValueState("window", "opened long, seen long")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             before = self.window.get() if self.window.exists() else (None, 0)
@@ -40,6 +46,10 @@ def quota_processor(window_us: int, quota: int, keep_ms: int | None) -> Stateful
             at = batch["at"].to_numpy()
             opened_at, accepted, opened, seen = walk(at, *before)
             self.window.update((opened, seen))
+            if timed and opened != before[0]:
+                if before[0] is not None:
+                    self.handle.deleteTimer(closing_ms(before[0]))
+                self.handle.registerTimer(closing_ms(opened))
             wait = -((at - opened_at - window_us) // 1_000_000)
             yield pd.DataFrame(
                 {
@@ -51,6 +61,10 @@ def quota_processor(window_us: int, quota: int, keep_ms: int | None) -> Stateful
                 }
             )
 
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.window.clear()
+            return iter(())
+
         def close(self) -> None:
             pass
 
@@ -58,24 +72,25 @@ def quota_processor(window_us: int, quota: int, keep_ms: int | None) -> Stateful
 
 
 def throttle_stream(
-    events: DataFrame, window_us: int = DAY_US, quota: int = 2, slack_us: int | None = HOUR_US
+    events: DataFrame, window_us: int = MINUTE_US, quota: int = QUOTA, slack_us: int | None = HOUR_US
 ) -> DataFrame:
     """Streaming counterpart of ``throttle_batch``.
 
-    A window closes ``window_us`` after it opens, so an entry untouched for that long
-    plus the slack allowed between event and arrival time can no longer matter and
-    expires. A replay of an old log passes no slack: its clock is not the log's.
+    The watermark follows the requests' own time with ``slack_us`` between, so a replay of an
+    old log expires as a live one does. Spark admits no request older than the watermark;
+    without a slack there is no watermark, every request is admitted, and no state expires.
     """
-    keep_ms = None if slack_us is None else (window_us + slack_us) // 1000
-    return (
-        request_log(events)
-        .groupBy("user_id")
-        .transformWithStateInPandas(
-            statefulProcessor=quota_processor(window_us, quota, keep_ms),
-            outputStructType=_RESULT,
-            outputMode="Append",
-            timeMode="None" if keep_ms is None else "ProcessingTime",
-        )
+    log = request_log(events)
+    if slack_us is None:
+        timed, mode = log, "None"
+    else:
+        timed = log.withColumn("_at", F.timestamp_micros("at")).withWatermark("_at", f"{slack_us} microseconds")
+        mode = "EventTime"
+    return timed.groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=quota_processor(window_us, quota, slack_us is not None),
+        outputStructType=_RESULT,
+        outputMode="Append",
+        timeMode=mode,
     )
 
 
@@ -106,11 +121,16 @@ def _rocksdb_state(spark: SparkSession):
             spark.conf.set(_STATE_STORE, before)
 
 
-def replay(log: DataFrame, window_us: int = DAY_US, quota: int = 2) -> DataFrame:
-    """Run the stream over everything the log holds now and return the table it wrote."""
+def replay(
+    log: DataFrame, window_us: int = MINUTE_US, quota: int = QUOTA, slack_us: int | None = HOUR_US, progress_of: list | None = None
+) -> DataFrame:
+    """Run the stream over everything the log holds now and return the table it wrote.
+
+    ``progress_of`` takes the progress records of the micro-batches.
+    """
     spark = log.sparkSession
     out, progress = fresh_path(spark, "throttle-out"), fresh_path(spark, "throttle-progress")
-    decided = throttle_stream(log, window_us, quota, slack_us=None)
+    decided = throttle_stream(log, window_us, quota, slack_us)
     with _rocksdb_state(spark):
         query = (
             decided.writeStream.format("parquet")
@@ -120,4 +140,6 @@ def replay(log: DataFrame, window_us: int = DAY_US, quota: int = 2) -> DataFrame
             .start(out)
         )
         query.awaitTermination()
+        if progress_of is not None:
+            progress_of += query.recentProgress
     return spark.read.schema(decided.schema).parquet(out)

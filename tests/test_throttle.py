@@ -129,3 +129,17 @@ def test_late_rows_are_kept_and_flagged(spark, tmp_path):
     log_frame(spark, [(2, 1, 10)]).coalesce(1).write.mode("append").parquet(folder)
     rows = {r.event_id: r for r in replay(open_log(spark, folder, bytes_per_trigger=1), WINDOW, QUOTA).collect()}
     assert len(rows) == 2 and rows[1].late is False and rows[2].late is True and rows[2].accepted
+
+
+def test_state_goes_behind_the_watermark(spark, tmp_path):
+    # Forty keys, then one a hundred windows later: only that one's state is left.
+    folder = str(tmp_path / "log")
+    early = [(i, i % 40, 1000 * i) for i in range(200)]
+    for part in (early, [(500, 99, 100 * WINDOW)], [(501, 99, 100 * WINDOW + 5), (502, 7, 100 * WINDOW + 6)]):
+        log_frame(spark, part).coalesce(1).write.mode("append").parquet(folder)
+    progress: list = []
+    hits = [*early, (500, 99, 100 * WINDOW), (501, 99, 100 * WINDOW + 5), (502, 7, 100 * WINDOW + 6)]
+    found = replay(open_log(spark, folder, bytes_per_trigger=1), WINDOW, QUOTA, slack_us=WINDOW, progress_of=progress)
+    assert decided(found) == by_hand(hits)
+    held = [p.stateOperators[0].numRowsTotal for p in progress]
+    assert max(held) > 40 and held[-1] < 10
