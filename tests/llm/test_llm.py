@@ -371,3 +371,11 @@ def test_pipeline_matches_plain_python(spark, pairs, tmp_path):
         ids = [*encode(left[doc_id]), corpus_pipeline.END_ID]
         assert own.length.sum() == len(ids) and list(own.piece) == list(range(len(own)))
         assert [crc(ids[s : s + n]) for s, n in zip(own.start, own.length)] == list(own.ids_crc32)
+
+
+def test_surrogates_of_very_long_runs(spark):
+    runs = ["Mr " + "Anna " * 20_000, "a@b" + ".c" * 20_000]
+    made = spark.createDataFrame([(i, f"{run} stays") for i, run in enumerate(runs)], "doc_id long, text string")
+    out = {r.doc_id: r for r in surrogates.replaced(made, "key").collect()}
+    for i, gone in enumerate(["Anna Anna", "a@b.c"]):
+        assert out[i].n_entities >= 1 and out[i].text.endswith(" stays") and gone not in out[i].text
