@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from holdfast.sources.workspace import fresh_path
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+BLOCK_GROUP_BYTES = 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +30,42 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled_blocks(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Rows of some MB each, written as they come into buckets by ``key``: joins and groups by it move none of them.
+
+    Row groups hold a few rows, and their size is looked at after every row.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    sizes = {"parquet.block.size": BLOCK_GROUP_BYTES, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+    (
+        df.write.bucketBy(buckets, key)
+        .options(**sizes)
+        .option("parquet.enable.dictionary", False)
+        .option("compression", "zstd")
+        .option("path", fresh_path(spark, name))
+        .saveAsTable(table)
+    )
+    return spark.table(table)
+
+
+def block_ids() -> Iterator[int]:
+    """Numbers that no other task of the running job gives; a task that is run again gives the same ones."""
+    return count(TaskContext.get().partitionId() << 33)
+
+
+def folded(block: pa.RecordBatch) -> bytes:
+    """A block as one compressed value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(block)
+    return sink.getvalue().to_pybytes()
+
+
+def unfolded(value: pa.BinaryScalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(value.as_buffer()).read_next_batch()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
