@@ -4,8 +4,9 @@ Only the number of pieces of each length matters to a packing, and there are at
 ``capacity`` lengths. ``plan`` packs that histogram: a bin takes the longest pieces that
 fit, then its smallest piece gives way to two unpacked ones that fill the widened gap more
 tightly; as many bins as the counts allow are filled alike at once. Pieces then find their
-places by their number among the pieces of their length. Numbers are dealt within salted
-groups and shifted by the counts of the groups before, so no length meets in one task.
+places by their number among the pieces of their length. They are written in blocks, each
+one compressed value beside its counts by length; a block's pieces are numbered from the
+counts of the blocks before it. Only these counts are shuffled, no ids.
 
 Defined results: a null text is an empty one and holds only the end id; equal documents
 are packed separately; other columns are not read; an empty table gives no rows.
@@ -13,6 +14,7 @@ are packed separately; other columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +23,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.llm.encoding import BLOCK_BYTES, LibraryEncoder, encode, encoder_of, with_end
-from holdfast.llm.tables import partitions, settled, text_slices
+from holdfast.llm.tables import block_ids, folded, partitions, settled_blocks, text_slices, unfolded
 
 CAPACITY = 1024
-SALTS = 64
 
 
 def fill(counts: np.ndarray) -> dict[int, int]:
@@ -82,65 +83,87 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return table[np.lexsort((table[:, 1], table[:, 0]))]
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
+def pieces(texts: pa.RecordBatch, encoder: LibraryEncoder, end_id: int, capacity: int) -> pa.RecordBatch:
     """Ids of every document with the end id, longer ones cut so that only the first piece is shorter."""
+    ids, counts = with_end(*encode(encoder, texts.column(1)), end_id)
+    parts = -(-counts // capacity)
+    owner = np.repeat(np.arange(len(counts)), parts)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    head = counts - (parts - 1) * capacity
+    start = np.where(number > 0, head[owner] + (number - 1) * capacity, 0)
+    length = np.where(number > 0, capacity, head[owner])
+    ends = 4 * np.cumsum(length).astype(np.int64)
+    offsets = pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32))
+    data = pa.BinaryArray.from_buffers(pa.binary(), len(owner), [None, offsets, pa.py_buffer(ids.tobytes())])
+    crc = np.fromiter((zlib.crc32(value.as_buffer()) for value in data), np.int64, len(owner))
+    return pa.record_batch(
+        [texts.column(0).take(pa.array(owner)), *map(pa.array, (number.astype(np.int32), start, length)), data, pa.array(crc)],
+        names=["doc_id", "piece", "start", "length", "ids", "ids_crc32"],
+    )
+
+
+def packed_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, ids: bool = True) -> DataFrame:
+    """Blocks of pieces with their crc32 (and their ids), written once in buckets to the shared folder.
+
+    A row is a block: its number, its pieces as one compressed value, and its counts by length from 0.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(LibraryEncoder, vocabulary, False)
-        for block in text_slices(batches, BLOCK_BYTES):
-            ids, counts = with_end(*encode(encoder, block.column(1)), end_id)
-            parts = -(-counts // capacity)
-            owner = np.repeat(np.arange(len(counts)), parts)
-            number = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-            head = counts - (parts - 1) * capacity
-            start = np.where(number > 0, head[owner] + (number - 1) * capacity, 0)
-            length = np.where(number > 0, capacity, head[owner])
-            ends = 4 * np.cumsum(length).astype(np.int64)
-            offsets = pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32))
-            data = pa.BinaryArray.from_buffers(pa.binary(), len(owner), [None, offsets, pa.py_buffer(ids.tobytes())])
+        numbers = block_ids()
+        for texts in text_slices(batches, BLOCK_BYTES):
+            found = pieces(texts, encoder, end_id, capacity)
+            counts = np.bincount(found.column("length"), minlength=capacity + 1)
             yield pa.record_batch(
-                [block.column(0).take(pa.array(owner)), *map(pa.array, (number.astype(np.int32), start, length)), data],
-                names=["doc_id", "piece", "start", "length", "ids"],
+                [
+                    pa.array([next(numbers)], pa.int64()),
+                    pa.array([folded(found if ids else found.drop_columns(["ids"]))], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts.astype(np.int64))),
+                ],
+                names=["block", "rows", "counts"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        cut, "doc_id long, piece int, start long, length long, ids binary"
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    blocks = texts.mapInArrow(cut, "block long, rows binary, counts array<long>")
+    return settled_blocks(blocks, "pieces", "block", partitions(docs.sparkSession))
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to rows with doc_id, piece and length; ``cut`` is read three times."""
-    spark = cut.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(max(SALTS, partitions(spark))))
-    salted = cut.withColumn("_salt", salt)
-    groups = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = groups.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+def pack(blocks: DataFrame, capacity: int = CAPACITY, ids: bool = True) -> DataFrame:
+    """The pieces of ``packed_documents`` with sequence_id and offset; ``ids`` as there."""
+    spark = blocks.sparkSession
+    counted = blocks.select(F.col("block").alias("_block"), F.posexplode("counts").alias("length", "n")).where("n > 0")
     # One count a length: at most ``capacity`` rows on the driver, and a plan that grows with them alone.
-    counts = {row["length"]: row["n"] for row in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    places = spark.sparkContext.broadcast(plan(counts, capacity))
+    total = {row["length"]: row["n"] for row in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    places = spark.sparkContext.broadcast(plan(total, capacity))
+    # One narrow row a block and length meets here.
+    before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    shifted = counted.select("_block", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    shifts = shifted.groupBy("_block").agg(F.map_from_entries(F.collect_list(F.struct("length", "shift"))).alias("shifts"))
+    lengths = F.sequence(F.lit(0), F.lit(capacity))
+    first = F.transform(lengths, lambda x: F.coalesce(F.element_at("shifts", x), F.lit(0)))
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = places.value
         step = int(table[:, 2].max()) + 1 if len(table) else 1
         keys = table[:, 0] * step + table[:, 1]
         for batch in batches:
-            length, number = (batch.column(name).to_numpy() for name in ("length", "_number"))
-            row = table[np.searchsorted(keys, length * step + number, side="right") - 1]
-            index = number - row[:, 1]
-            sequence = row[:, 4] + index // row[:, 3]
-            offset = row[:, 5] + index % row[:, 3] * length
-            kept = batch.drop_columns(["_number"])
-            yield kept.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
-
-    own = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
-    numbered = (
-        salted.withColumn("_own", F.row_number().over(own))
-        .join(shifts, ["length", "_salt"])
-        .select(*cut.columns, (F.col("_shift") + F.col("_own") - 1).alias("_number"))
-    )
-    fields = ", ".join(f"{name} {kind}" for name, kind in cut.dtypes)
-    return numbered.mapInArrow(seat, f"{fields}, sequence_id long, offset long")
+            for rows, shift in zip(batch.column("rows"), batch.column("first")):
+                found = unfolded(rows)
+                length = found.column("length").to_numpy()
+                order = np.argsort(length, kind="stable")
+                counts = np.bincount(length, minlength=capacity + 1)
+                number = np.empty(len(length), np.int64)
+                number[order] = np.arange(len(length)) - np.repeat(np.cumsum(counts) - counts, counts)
+                number += shift.values.to_numpy()[length]
+                row = table[np.searchsorted(keys, length * step + number, side="right") - 1]
+                index = number - row[:, 1]
+                sequence = row[:, 4] + index // row[:, 3]
+                offset = row[:, 5] + index % row[:, 3] * length
+                yield found.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+
+    fields = f"doc_id long, piece int, start long, length long, {'ids binary, ' if ids else ''}ids_crc32 long"
+    joined = blocks.select("block", "rows").join(shifts, F.col("block") == F.col("_block"))
+    return joined.select("rows", first.alias("first")).mapInArrow(seat, f"{fields}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -149,9 +172,3 @@ def sequences(packed: DataFrame) -> DataFrame:
     parts = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     joined = F.aggregate("parts", F.lit(b""), lambda done, x: F.concat(done, x["ids"]))
     return parts.select("sequence_id", joined.alias("ids"), F.col("parts.length").alias("lengths"))
-
-
-def packed_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces with their ids, crc32 and place. Ids are computed once and kept in the shared folder."""
-    cut = pieces(docs, vocabulary, end_id, capacity).withColumn("ids_crc32", F.crc32("ids"))
-    return settled(cut, "pieces")

@@ -49,8 +49,8 @@ def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = packing.packed_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
-    return packing.pack(cut.drop("ids"))
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(packing.packed_documents(documents(spark, sf_dir), tokenizer, END_ID, ids=False), ids=False)
 
 
 def op8_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
