@@ -159,7 +159,7 @@ def binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with a binary column of ids, four bytes each, in the place of the text."""
-    kept = [c for c in docs.columns if c != text]
+    kept = [c for c in docs.columns if c not in (text, ids)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder_of(RankCoder, path, pattern)
@@ -174,6 +174,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: s
 
 def decoded(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
     """``tokens`` with a binary column of the bytes that its ids stand for."""
+    tokens = tokens.drop(data)
     names = tokens.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

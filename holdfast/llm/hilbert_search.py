@@ -5,8 +5,9 @@ inner product is the smallest distance. Every curve projects them to a few rando
 directions, shifts the grid and sorts by Hilbert key; Spark range-partitions the keys and
 numbers them along each curve. A curve is cut into blocks of as many places as a window
 reaches to either side; a query meets its own block and those beside it, in one matrix
-product a block. The best of all curves are merged and scored again in one fixed order of
-summation. Equal vectors are one class, with as many of its smallest ids as can be among
+product a block. Candidates that a rounding error could place among the best of a block are
+scored in one fixed order of summation before any is left out, so scores and ties don't
+depend on the block. Equal vectors are one class, with as many of its smallest ids as can be among
 the nearest.
 
 The directions' ranges come from at most ``SAMPLE_ROWS`` vectors, chosen by a hash of the
@@ -14,7 +15,8 @@ id; all vectors are indexed. ``WINDOW`` is a share of all rows because the given
 fill their 64 dimensions almost evenly: ``tests/llm`` measures a recall above 0.9.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take
-no part; neither do rows without an id; rows of equal id and vector count once; equal
+no part; neither do rows without an id, and vectors of another length than most distinct
+ones (of two lengths as frequent: the shorter); rows of equal id and vector count once; equal
 scores go to the smaller id; a query without candidates has no rows; other columns are not
 read; an empty table gives no rows.
 """
@@ -40,6 +42,8 @@ LEAST_WINDOW = 48
 MOST_BLOCK = 4096
 SAMPLE_ROWS = 4096
 SALTS = 64
+QUERIES_AT_ONCE = 256
+PAIRS_AT_ONCE = 1 << 15
 SEED = 11
 
 
@@ -166,6 +170,15 @@ def places(found: DataFrame, curves: Curves, norm: float) -> DataFrame:
     return numbered.join(shifts.drop("n"), ["curve", "part"]).select("curve", (F.col("shift") + F.col("own")).alias("place"), "id", "asks")
 
 
+def in_order(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows a of ``left`` with the rows b of ``right``, terms added one after another."""
+    found = np.zeros(len(a))
+    for at in range(0, len(a), PAIRS_AT_ONCE):
+        part = slice(at, at + PAIRS_AT_ONCE)
+        found[part] += np.cumsum(left[a[part]] * right[b[part]], axis=1)[:, -1]
+    return found
+
+
 def best_of_block(k: int):
     """The k best candidates of a block for each of its queries."""
 
@@ -175,10 +188,19 @@ def best_of_block(k: int):
         asked, ids = queries["id"].to_numpy(), candidates["id"].to_numpy()
         data, rows = _matrix(candidates["vector"]), []
         vectors = _matrix(queries["vector"])
-        for at in range(0, len(asked), 256):
-            scores = vectors[at : at + 256] @ data.T
-            top = np.argpartition(-scores, min(k, len(ids)) - 1, axis=1)[:, :k]
-            rows.append((np.repeat(asked[at : at + 256], top.shape[1]), ids[top].ravel(), np.take_along_axis(scores, top, 1).ravel()))
+        # Twice the largest difference between a product and its terms added in order.
+        longest = np.linalg.norm(data, axis=1).max()
+        slack = 4 * data.shape[1] * np.finfo(float).eps * longest * np.linalg.norm(vectors, axis=1)
+        for at in range(0, len(asked), QUERIES_AT_ONCE):
+            scores = vectors[at : at + QUERIES_AT_ONCE] @ data.T
+            last = max(0, len(ids) - k)
+            least = np.partition(scores, last, axis=1)[:, last] - slack[at : at + QUERIES_AT_ONCE]
+            query, found = np.nonzero(scores >= least[:, None])
+            exact = in_order(vectors[at : at + QUERIES_AT_ONCE], data, query, found)
+            order = np.lexsort((ids[found], -exact, query))
+            first = np.searchsorted(query, query, side="left")  # of each query, in either order
+            best = order[np.arange(len(order)) - first < k]
+            rows.append((asked[at + query[best]], ids[found[best]], exact[best]))
         query, found, score = (np.concatenate(x) for x in zip(*rows))
         return pa.table({"query": query, "id": found, "score": score})
 
@@ -189,10 +211,12 @@ def nearest(vectors: DataFrame, k: int, every: int) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id is divisible by ``every``."""
     found = settled(classes(vectors, k, every), "vector-classes")
     size = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    total, norm, width = found.agg(F.count("*"), F.max(size), F.max(F.size("vector"))).first()
+    widths = found.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n"), F.max(size).alias("norm"))
+    width, total, norm = widths.orderBy(F.desc("n"), "width").first() or (1, 0, None)
+    found = found.where(F.size("vector") == width)
     share = min(1.0, SAMPLE_ROWS / max(1, total))
     picked = found.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)).select("vector").limit(2 * SAMPLE_ROWS).toArrow()
-    sample = _matrix(picked["vector"]) if picked.num_rows else np.zeros((1, width or 1))
+    sample = _matrix(picked["vector"]) if picked.num_rows else np.zeros((1, width))
     lengths = np.linalg.norm(sample, axis=1)
     norm = norm or 1.0
     curves = curves_for(np.column_stack((sample / norm, np.sqrt(np.maximum(0, 1 - (lengths / norm) ** 2)))))
@@ -212,15 +236,9 @@ def nearest(vectors: DataFrame, k: int, every: int) -> DataFrame:
         matches.groupBy("query", "id").agg(F.max("score").alias("score"))
         .withColumn("place", F.row_number().over(by_query))
         .where(F.col("place") <= k + 1)
-        .select("query", "id")
-    )
-    # Scored again in one order of summation, so that equal vectors have equal scores.
-    product = F.aggregate(F.zip_with("q", "c", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = (
-        merged.join(found.select(F.col("id").alias("query"), F.col("vector").alias("q")), "query")
-        .join(found.select("id", F.col("vector").alias("c"), "ids"), "id")
-        .select("query", F.explode("ids").alias("vec_id"), product.alias("score"))
+        .select("query", "id", "score")
     )
+    scored = merged.join(found.select("id", "ids"), "id").select("query", F.explode("ids").alias("vec_id"), "score")
     # Every query row of a class has the class's answer without itself.
     own = settled(scored.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k + 1).alias("best")), "answers")
     members = vectors.select(F.col("vec_id").cast("long").alias("query_id"), "embedding").where(F.col("query_id") % every == 0).distinct()

@@ -25,7 +25,8 @@ Runs of words, titles, particles and domain parts are matched without going back
 so the length of a run costs no stack (20,000 words and domain parts are tested).
 
 Defined results: a null text stays null, a text without entities stays as it is; repeated
-rows are replaced alike; all other columns pass through; an empty table gives no rows.
+rows are replaced alike; all other columns pass through but for one named ``n_entities``,
+which gives way to the result; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -249,6 +250,7 @@ def spelled(kind: Column, name: Column, mention: Column, surrogate: Column) -> C
 def replaced(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with its entities replaced, and n_entities."""
     # A clash with the caller's own columns is ruled out by a prefix that none of them has.
+    docs = docs.drop("n_entities")
     own = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in docs.columns), default=0))
     text = F.col("text")
     found = (

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -149,6 +150,36 @@ def test_hilbert_search(spark):
     assert hits / total >= 0.9
 
 
+def test_search_orders_scores_and_ties(spark):
+    pick = np.random.default_rng(8)
+    made = [(i, [float(x) for x in pick.choice([-1, 1], 8)]) for i in range(45)]
+    made += [(100, [1.0, 2.0]), (120, [3.0] * 9)]  # another length than most
+    frame = spark.createDataFrame(made, "vec_id long, embedding array<float>")
+    found = [tuple(r) for r in hilbert_search.nearest(frame, 20, 20).orderBy("query_id", "rank").collect()]
+    expected = []
+    for q in (0, 20, 40):
+        scores = sorted((-float(np.dot(made[q][1], v)), i) for i, v in made[:45] if i != q)
+        expected += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scores[:20])]
+    assert found == expected
+
+
+def test_best_of_block_keeps_the_smaller_of_equal_candidates():
+    pick = np.random.default_rng(9)
+    data = pick.choice([-0.1, 0.1], (3000, 16)).astype(np.float32)
+    ids = pick.permutation(3000)
+    vectors = lambda x: pa.array(x.tolist(), pa.list_(pa.float32()))
+    table = hilbert_search.best_of_block(21)(
+        pa.table({"id": ids, "vector": vectors(data)}), pa.table({"id": ids[:300], "vector": vectors(data[:300])})
+    )
+    wide = data.astype(float)
+    got = table.to_pandas()
+    for row in range(0, 300, 37):
+        scores = [sum((a * b for a, b in zip(wide[row], other)), 0.0) for other in wide]
+        best = sorted(zip((-s for s in scores), ids))[:21]
+        own = got[got["query"] == ids[row]]
+        assert list(zip(-own["score"], own["id"])) == best
+
+
 def test_recall_on_given_vectors(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     found = hilbert_search.nearest(vectors, 20, 20).toPandas()
@@ -254,6 +285,25 @@ def test_pipeline_stages(spark, docs):
     assert packed.where("piece = 0").count() == left.count()
 
 
+def test_columns_named_like_results(spark):
+    names = ["score", "lang_pred", "cross_entropy", "n_bytes", "n_removed", "n_spans", "n_entities", "kept", "ids", "a.b"]
+    texts = ["", None, "Mrs. Anna Smith wrote to a.b@c.example twice", *(f"ran tin oak elm mole {i} " * 20 for i in range(8))]
+    made = [(i, t, "en", "s", len(t or ""), *[float(i)] * len(names)) for i, t in enumerate(texts)]
+    fields = ", ".join(f"`{n}` double" for n in names)
+    docs = spark.createDataFrame(made, f"doc_id long, text string, lang string, source string, n_chars long, {fields}")
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = corpus_pipeline.settled(stage(spark, left, ""), name)
+        assert left.schema.names == docs.schema.names and [f.dataType for f in left.schema] == [f.dataType for f in docs.schema], name
+    assert left.count() and all(r[n] == r.doc_id for r in left.collect() for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, left, "").count()
+    plain = docs.drop("a.b")
+    assert "kept" in language.identified(plain, language.fit(docs)).where("cross_entropy >= 0").columns
+    assert suffix_dedup.deduplicated(plain).where("n_bytes = 0").count() == 2
+    assert surrogates.replaced(plain, "key").where("n_entities > 0").count() == 1
+    assert byte_pairs.encoded(plain, RANKS, public_tokenizers.PATTERN).where("octet_length(ids) = 0").count() == 2
+
+
 def test_language_keeps_every_gram(spark):
     pick = random.Random(5)
     made = [(i, " ".join("".join(chr(pick.randrange(0x4E00, 0x9F00)) for _ in range(5)) for _ in range(1000)), "zh") for i in range(60)]
