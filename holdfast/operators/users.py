@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.functions.numbers import count_rows, round_dp
+from holdfast.functions.numbers import count_rows, ratio, round_dp
 from holdfast.operators.joins import join_dimension
 from holdfast.sources import tables
 from holdfast.sources.workspace import publish
@@ -26,15 +26,20 @@ WEIGHTS = {
 PLAN_EFFECT = {"Basic": 0.05, "Standard": -0.03, "Premium": -0.10}
 
 
-def _with_sessions(users: DataFrame, watch: DataFrame) -> DataFrame:
+def by_user(watch: DataFrame) -> DataFrame:
+    """Sessions folded by user, as far as the totals of ``sources.tables`` are not at hand."""
+    return tables.session_totals(watch, ("user_id",))
+
+
+def _with_sessions(users: DataFrame, totals: DataFrame) -> DataFrame:
     """Users with their session totals; one row per watching user enters the join."""
-    totals = watch.groupBy("user_id").agg(
-        (F.sum(F.col("session_duration").cast("decimal(18,1)")).cast("double") / F.lit(60.0)).alias("hours"),
-        F.avg("completion_rate").alias("completion"),
-        count_rows().alias("sessions"),
-        F.max("watch_date").alias("last_watch"),
+    watched = totals.groupBy("user_id").agg(
+        (F.sum("minutes").cast("double") / F.lit(60.0)).alias("hours"),
+        ratio(F.sum("completion_sum"), F.sum("completion_n")).alias("completion"),
+        F.sum("n").alias("sessions"),
+        F.max("last_watch").alias("last_watch"),
     )
-    return users.join(totals, "user_id", "left").select(
+    return users.join(watched, "user_id", "left").select(
         *[users[c] for c in users.columns],
         F.coalesce("hours", F.lit(0.0)).alias("total_hours"),
         F.coalesce("completion", F.lit(DEFAULT_COMPLETION)).alias("avg_completion"),
@@ -44,7 +49,11 @@ def _with_sessions(users: DataFrame, watch: DataFrame) -> DataFrame:
 
 
 def session_stats(users: DataFrame, watch: DataFrame) -> DataFrame:
-    return _with_sessions(users, watch).select(
+    return session_stats_of(users, by_user(watch))
+
+
+def session_stats_of(users: DataFrame, totals: DataFrame) -> DataFrame:
+    return _with_sessions(users, totals).select(
         "user_id",
         round_dp(F.col("total_hours"), 6).alias("total_hours"),
         round_dp(F.col("avg_completion"), 6).alias("avg_completion"),
@@ -52,16 +61,20 @@ def session_stats(users: DataFrame, watch: DataFrame) -> DataFrame:
     )
 
 
-def _with_recency(users: DataFrame, watch: DataFrame) -> DataFrame:
+def _with_recency(users: DataFrame, totals: DataFrame) -> DataFrame:
     """Idle days up to the snapshot; without sessions, the account's whole age."""
-    snapshot = watch.agg(F.max("watch_date")).scalar()
-    joined = _with_sessions(users, watch).withColumn("snapshot", snapshot)
+    snapshot = totals.agg(F.max("last_watch")).scalar()
+    joined = _with_sessions(users, totals).withColumn("snapshot", snapshot)
     idle = F.coalesce(F.datediff("snapshot", "last_watch"), F.col("tenure_days"))
     return joined.withColumn("idle_days", idle)
 
 
 def recency(users: DataFrame, watch: DataFrame) -> DataFrame:
-    return _with_recency(users, watch).select(
+    return recency_of(users, by_user(watch))
+
+
+def recency_of(users: DataFrame, totals: DataFrame) -> DataFrame:
+    return _with_recency(users, totals).select(
         "user_id",
         F.col("idle_days").alias("days_since_login"),
         F.date_sub("snapshot", F.col("idle_days")).alias("last_login"),
@@ -78,13 +91,13 @@ _Z_SOURCES = {
 }
 
 
-def _with_zscores(users: DataFrame, watch: DataFrame) -> DataFrame:
+def _with_zscores(users: DataFrame, totals: DataFrame) -> DataFrame:
     """Distance from the mean in sample standard deviations, as one scalar of moments.
 
     The joined columns are published first: the moments and the scores both read
-    them, and the sessions are scanned once.
+    them, and the totals are joined once.
     """
-    joined = _with_recency(users, watch).select("user_id", "subscription_type", *_Z_SOURCES.values())
+    joined = _with_recency(users, totals).select("user_id", "subscription_type", *_Z_SOURCES.values())
     base = publish(joined, "user-totals")
     moments = base.agg(
         F.struct(
@@ -103,13 +116,13 @@ def _with_zscores(users: DataFrame, watch: DataFrame) -> DataFrame:
     )
 
 
-def zscores(users: DataFrame, watch: DataFrame) -> DataFrame:
-    scored = _with_zscores(users, watch)
+def zscores_of(users: DataFrame, totals: DataFrame) -> DataFrame:
+    scored = _with_zscores(users, totals)
     return scored.select("user_id", *[round_dp(F.col(z), 6).alias(z) for z in _Z_SOURCES])
 
 
-def churn_score(
-    users: DataFrame, watch: DataFrame, plan_effect: Mapping[str, float] = PLAN_EFFECT
+def churn_score_of(
+    users: DataFrame, totals: DataFrame, plan_effect: Mapping[str, float] = PLAN_EFFECT
 ) -> DataFrame:
     """Weighted logit and its sigmoid, without any noise term; unknown plans add nothing."""
     plan = F
@@ -119,7 +132,7 @@ def churn_score(
     for name, weight in WEIGHTS.items():
         logit = logit + F.lit(weight) * F.col(name)
     return (
-        _with_zscores(users, watch)
+        _with_zscores(users, totals)
         .select("user_id", logit.alias("logit"))
         .select(
             "user_id",
@@ -134,8 +147,13 @@ def favourite_genre(users: DataFrame, watch: DataFrame, content: DataFrame) -> D
     counts = (
         join_dimension(watch.select("user_id", "content_id"), content.select("content_id", "genre"), "content_id")
         .groupBy("user_id", "genre")
-        .agg(count_rows().alias("n"))
+        .agg(count_rows().alias("of_titles"))
     )
+    return favourite_genre_of(users, counts, content)
+
+
+def favourite_genre_of(users: DataFrame, totals: DataFrame, content: DataFrame) -> DataFrame:
+    counts = totals.where("of_titles > 0").select("user_id", "genre", F.col("of_titles").alias("n"))
     fallback = content.agg(F.min("genre")).scalar()
     return (
         users.select("user_id")

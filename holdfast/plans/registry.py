@@ -182,11 +182,11 @@ _RISK: dict[str, Query] = {
 }
 
 _USERS: dict[str, Query] = {
-    "user_session_stats": _on_tables(lambda t: users.session_stats(t.users, t.watch_history)),
-    "user_recency": _on_tables(lambda t: users.recency(t.users, t.watch_history)),
-    "user_zscores": _on_tables(lambda t: users.zscores(t.users, t.watch_history)),
-    "user_churn_score": _on_tables(lambda t: users.churn_score(t.users, t.watch_history, PLAN_EFFECT)),
-    "user_favourite_genre": _on_tables(lambda t: users.favourite_genre(t.users, t.watch_history, t.content)),
+    "user_session_stats": _on_tables(lambda t: users.session_stats_of(t.users, t.user_totals)),
+    "user_recency": _on_tables(lambda t: users.recency_of(t.users, t.user_totals)),
+    "user_zscores": _on_tables(lambda t: users.zscores_of(t.users, t.user_totals)),
+    "user_churn_score": _on_tables(lambda t: users.churn_score_of(t.users, t.user_totals, PLAN_EFFECT)),
+    "user_favourite_genre": _on_tables(lambda t: users.favourite_genre_of(t.users, t.user_totals, t.content)),
     "session_minutes": _on_tables(lambda t: users.session_minutes(t.watch_history, t.content, t.watch_key)),
 }
 

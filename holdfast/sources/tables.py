@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.functions.numbers import round_dp, round_small
 from holdfast.sources import schemas
-from holdfast.sources.workspace import publish
+from holdfast.sources.workspace import publish, publish_bucketed
 
 
 @dataclass(frozen=True)
@@ -43,6 +43,13 @@ class Tables:
             "ratings": self.rating_key,
         }
 
+    @property
+    def user_totals(self) -> DataFrame:
+        """Sessions folded by user and genre, those of unknown titles under no genre."""
+        titles = self.content.select("content_id", "genre", F.lit(1).alias("_known"))
+        sessions = self.watch_history.join(titles, "content_id", "left")
+        return session_totals(sessions, ("user_id", "genre"), F.col("_known"))
+
 
 _WATCH_COLUMNS = (
     "order_key",
@@ -60,6 +67,18 @@ def session_minutes(duration_min, completion_rate):
     return round_small(duration_min * completion_rate / F.lit(100.0), 1)
 
 
+def session_totals(sessions: DataFrame, by: tuple[str, ...], known: Column | None = None) -> DataFrame:
+    """Sessions, those of a known title, minutes, completion and last day of each group."""
+    return sessions.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1) if known is None else known).alias("of_titles"),
+        F.sum(F.col("session_duration").cast("decimal(18,1)")).alias("minutes"),
+        F.sum("completion_rate").alias("completion_sum"),
+        F.count("completion_rate").alias("completion_n"),
+        F.max("watch_date").alias("last_watch"),
+    )
+
+
 def _content(part: DataFrame, *keep: str) -> DataFrame:
     return part.select(
         *keep,
@@ -116,23 +135,17 @@ def favourite_genre(counts: DataFrame) -> DataFrame:
 
 
 def _users(
-    customer: DataFrame, nation: DataFrame, orders: DataFrame, part: DataFrame, sessions: DataFrame
+    customer: DataFrame, nation: DataFrame, orders: DataFrame, part: DataFrame, totals: DataFrame
 ) -> DataFrame:
-    snapshot = sessions.agg(F.max("watch_date")).scalar()
+    snapshot = totals.agg(F.max("last_watch")).scalar()
     fallback_genre = part.agg(F.min("p_type")).scalar()
     ordered = orders.groupBy(F.col("o_custkey").alias("user_id")).agg(
         F.min(F.col("o_orderdate").cast("date")).alias("first_order"),
         F.count_if(F.col("o_orderpriority") == "1-URGENT").cast("int").alias("urgent"),
         F.countDistinct("o_orderpriority").cast("int").alias("priorities"),
     )
-    # One shuffle on (user, genre) feeds both the totals and the favourite genre.
-    by_genre = sessions.groupBy("user_id", "genre").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("session_duration").cast("decimal(18,1)")).alias("minutes"),
-        F.max("watch_date").alias("last_watch"),
-    )
     best = F.min(F.struct((-F.col("n")).alias("n"), "genre"))
-    watched = by_genre.groupBy("user_id").agg(
+    watched = totals.groupBy("user_id").agg(
         F.sum("minutes").alias("minutes"),
         F.max("last_watch").alias("last_watch"),
         best.getField("genre").alias("top_genre"),
@@ -188,12 +201,17 @@ class DerivedTables(Tables):
     def sessions(self) -> DataFrame:
         return publish(_sessions(self.base["lineitem"], self.base["orders"], self.base["part"]), "sessions")
 
+    @cached_property
+    def user_totals(self) -> DataFrame:
+        """In the buckets of the users; a user has one row a genre, whatever number of sessions."""
+        return publish_bucketed(session_totals(self.sessions, ("user_id", "genre")), "user-totals", "user_id")
+
     @cached_property
     def users(self) -> DataFrame:
         b = self.base
-        users = _users(b["customer"], b["nation"], b["orders"], b["part"], self.sessions)
-        # Users lie in id order, so the lookup of one user skips all other row groups.
-        return publish(users.repartitionByRange("user_id").sortWithinPartitions("user_id"), "users")
+        users = _users(b["customer"], b["nation"], b["orders"], b["part"], self.user_totals)
+        # The lookup of one user reads one bucket and skips its other row groups.
+        return publish_bucketed(users, "users", "user_id")
 
     @cached_property
     def content(self) -> DataFrame:

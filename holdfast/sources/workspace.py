@@ -33,6 +33,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/holdfast/{app}/{name}-{uuid.uuid4().hex}"
 
 
+def publish_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Published in one file a bucket of ``key``, sorted by it: joins and groups by the key move no rows.
+
+    For tables with few rows a key only. The table is external and stays in the session's catalog.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    (
+        df.repartition(buckets, key)
+        .write.bucketBy(buckets, key)
+        .sortBy(key)
+        .option("path", fresh_path(spark, name))
+        .saveAsTable(table)
+    )
+    return spark.table(table)
+
+
 def publish(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)

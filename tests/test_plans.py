@@ -54,6 +54,18 @@ def test_facts_fold_before_they_meet_titles(spark, sf_dir, capsys):
     assert "ReadSchema: struct<content_id:string,completion_rate:double>" in plan
 
 
+@pytest.mark.parametrize("key", ["user_session_stats", "user_favourite_genre"])
+def test_user_totals_meet_users_without_a_shuffle(spark, sf_dir, capsys, key):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(QUERIES[key](spark, sf_dir), capsys)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # A one-row subquery may gather its value in one place.
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_lookup_reaches_the_scan(spark, sf_dir, capsys):
     plan = QUERIES["risk_user_lookup"](spark, sf_dir)
     capsys.readouterr()

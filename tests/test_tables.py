@@ -83,6 +83,9 @@ def test_users_without_sessions_are_filled(spark):
     idle = {r.user_id: r.days_since_login for r in users.recency(t.users, t.watch_history).collect()}
     assert idle == {1: 0, 2: 40}
     genres = {r.user_id: r.favorite_genre for r in users.favourite_genre(t.users, t.watch_history, t.content).collect()}
+    assert stats == {r.user_id: tuple(r)[1:] for r in users.session_stats_of(t.users, t.user_totals).collect()}
+    assert idle == {r.user_id: r.days_since_login for r in users.recency_of(t.users, t.user_totals).collect()}
+    assert genres == {r.user_id: r.favorite_genre for r in users.favourite_genre_of(t.users, t.user_totals, t.content).collect()}
     assert genres == {1: "Drama", 2: "Action"}
 
 
