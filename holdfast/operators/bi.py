@@ -12,6 +12,7 @@ from holdfast.functions.numbers import count_rows, percent, ratio, round_dp
 from holdfast.operators.joins import join_dimension
 from holdfast.operators.segments import churn_by
 from holdfast.sources.tables import Tables
+from holdfast.sources.workspace import publish
 
 LADDERS = {
     "tenure_band": bands.TENURE,
@@ -150,10 +151,15 @@ def plan_share(users: DataFrame) -> DataFrame:
 def top_titles_with_ties(title_counts: DataFrame, limit: int = 10) -> DataFrame:
     """Top titles by views, keeping every title that ties with the last place.
 
-    Spark filters the rank inside each task before the final single-task ranking.
+    Titles fold to one row a number of views; the ``limit`` highest numbers reach that many
+    titles, and titles join their places. No task ranks tied titles.
     """
-    rank = F.rank().over(Window.orderBy(F.desc("views")))
-    return title_counts.withColumn("position", rank).where(F.col("position") <= limit)
+    counts = publish(title_counts, "title-counts")
+    highest = counts.groupBy("views").agg(count_rows().alias("_titles")).orderBy(F.desc("views")).limit(limit)
+    above = Window.orderBy(F.desc("views")).rowsBetween(Window.unboundedPreceding, -1)
+    places = highest.select("views", (F.coalesce(F.sum("_titles").over(above), F.lit(0)) + 1).cast("int").alias("position"))
+    # At most ``limit`` rows, whatever the data.
+    return counts.join(F.broadcast(places.where(F.col("position") <= limit)), "views").select(*counts.columns, "position")
 
 
 def old_recency_bands(users: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.sources.tables import Tables
+from holdfast.sources.workspace import publish
 
 # White space, rejected words in reporting order, readable tables, caps, messages.
 WHITE_SPACE = " \t\n\v\f\r\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(
@@ -124,6 +125,25 @@ def guarded_summary(spark: SparkSession, t: Tables, text: str) -> DataFrame:
     return result.agg(F.count("*").alias("row_count")).select(F.lit(statement).alias("executed_sql"), "row_count")
 
 
+def guarded_answer(spark: SparkSession, t: Tables, text: str) -> DataFrame:
+    """The kept rows of a statement that runs once, beside the text that was run, the number
+    of its rows under its cap, and whether rows were cut.
+
+    The result is written once; its rows and their number are read from there. A statement
+    without rows gives none.
+    """
+    statement, result = _guarded(spark, t, text)
+    names = result.columns
+    written = publish(result.toDF(*[f"c{i}" for i in range(len(names))]), "guarded")
+    rows = written.agg(F.count("*")).scalar()
+    return written.limit(KEPT_ROWS).select(
+        F.lit(statement).alias("executed_sql"),
+        rows.alias("row_count"),
+        (rows > KEPT_ROWS).alias("rows_cut"),
+        *[F.col(f"c{i}").alias(name) for i, name in enumerate(names)],
+    )
+
+
 @contextmanager
 def _views(spark: SparkSession, t: Tables) -> Iterator[None]:
     """The four views while a statement is analysed, then the caller's again."""

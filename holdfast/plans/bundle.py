@@ -230,9 +230,11 @@ def month_labels(watch: DataFrame) -> DataFrame:
     return months.select("month", month_label(F.col("month")).alias("label"))
 
 
-def kpi_cards(t: Tables) -> DataFrame:
-    """Six formatted figures. The capture card shows the top two deciles of the proxy score."""
-    caught = risk.capture(risk.proxy_deciles(t.users)).select("capture_pct").scalar()
+def kpi_cards(t: Tables, churn_model: ChurnModel | None = None) -> DataFrame:
+    """Six formatted figures. The capture card shows the top two deciles of the model's
+    probability, or of the proxy score where no model is given."""
+    deciled = model.model_deciles(churn_model) if churn_model else risk.proxy_deciles(t.users)
+    caught = risk.capture(deciled).select("capture_pct").scalar()
     row = headline(t).withColumn("captured", caught)
 
     def thousands(column: str) -> Column:

@@ -242,6 +242,7 @@ _REQUESTS: dict[str, Query] = {
     "guarded_summary": lambda spark, sf_dir: guard.guarded_summary(
         spark, load(spark, sf_dir), SAMPLE_STATEMENT
     ),
+    "guarded_answer": lambda spark, sf_dir: guard.guarded_answer(spark, load(spark, sf_dir), SAMPLE_STATEMENT),
     "guarded_query": lambda spark, sf_dir: guard.guarded_query(spark, load(spark, sf_dir), SAMPLE_STATEMENT),
     "user_fact_sheets": _on_tables(lambda t: profiles.fact_sheets(t.users)),
     "winback_requests": _on_tables(lambda t: profiles.winback_requests(t.users)),
@@ -264,6 +265,7 @@ _BUNDLE: dict[str, Query] = {
     "bundle_growth_rows": _on_tables(lambda t: bundle.growth_rows(t.watch_history)),
     "bundle_month_label": _on_tables(lambda t: bundle.month_labels(t.watch_history)),
     "bundle_kpi_cards": _on_tables(bundle.kpi_cards),
+    "bundle_model_cards": lambda spark, sf_dir: bundle.kpi_cards(load(spark, sf_dir), churn_model(spark, sf_dir)),
     "bundle_full": _document,
 }
 

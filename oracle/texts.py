@@ -713,6 +713,10 @@ REQUESTS = {
     "guarded_summary": over_tables(
         f"SELECT {_quoted(_SAMPLE)} || chr(10) || 'LIMIT 500' AS executed_sql, count(*) AS row_count FROM ({_SAMPLE})"
     ),
+    "guarded_answer": over_tables(
+        f"SELECT {_quoted(_SAMPLE)} || chr(10) || 'LIMIT 500' AS executed_sql, count(*) OVER () AS row_count, "
+        f"count(*) OVER () > 200 AS rows_cut, * FROM ({_SAMPLE})"
+    ),
     "user_fact_sheets": over_tables(f"SELECT user_id, {SHEET} AS fact_sheet FROM users"),
     "winback_requests": over_tables(
         f"""

@@ -75,6 +75,17 @@ def test_guarded_query_keeps_at_most_200_rows(spark, many):
     assert guard.guarded_query(spark, many, "SELECT count(*) AS n FROM users;").first().n == 700
 
 
+def test_guarded_answer_counts_what_one_run_gives(spark, many):
+    rows = guard.guarded_answer(spark, many, "SELECT u.user_id, w.user_id FROM users u, users w WHERE u.user_id = w.user_id").collect()
+    assert len(rows) == 200 and {tuple(r)[1:3] for r in rows} == {(500, True)}
+    assert all(r[3] == r[4] for r in rows) and rows[0].executed_sql.endswith("LIMIT 500")
+    few = guard.guarded_answer(spark, many, "SELECT name FROM users LIMIT 3").collect()
+    assert [tuple(r)[1:3] for r in few] == [(3, False)] * 3
+    assert guard.guarded_answer(spark, many, "SELECT name FROM users WHERE user_id < 0").count() == 0
+    drawn = [guard.guarded_answer(spark, many, "SELECT rand() AS x FROM users") for _ in range(2)]
+    assert drawn[0].collect() == drawn[0].collect()
+
+
 def test_guarded_query_rejects(spark, many, tmp_path):
     with pytest.raises(guard.RejectedStatement, match="unknown table: invoices"):
         guard.guarded_query(spark, many, "SELECT * FROM invoices")

@@ -38,11 +38,23 @@ def test_no_cross_or_loop_join(spark, sf_dir, capsys, key):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-@pytest.mark.parametrize("key", ["sql_a2_top_user_per_country", "sql_a5_top3_titles_per_genre", "bi_top_titles"])
+@pytest.mark.parametrize("key", ["sql_a2_top_user_per_country", "sql_a5_top3_titles_per_genre"])
 def test_ranks_are_limited_before_the_shuffle(spark, sf_dir, capsys, key):
     assert plan_of(QUERIES[key](spark, sf_dir), capsys).count("WindowGroupLimit") == 2
 
 
+def test_tied_titles_are_ranked_by_their_number_of_views(spark, sf_dir, capsys):
+    plan = plan_of(QUERIES["bi_top_titles"](spark, sf_dir), capsys)
+    ranked = plan[plan.index("Window") :]
+    assert plan.count("Window") == ranked.count("Window") and "title#" not in ranked[: ranked.index("TakeOrderedAndProject")]
+
+
+def test_model_card_equals_the_document(spark, sf_dir):
+    cards = {r.label: r.value for r in QUERIES["bundle_model_cards"](spark, sf_dir).collect()}
+    caught = QUERIES["bundle_full"](spark, sf_dir).select("top2decile_capture_pct").first()[0]
+    assert cards["Top-Decile Capture"] == f"{caught:.1f}%"
+
+
 @pytest.mark.parametrize("key", ["risk_top_users", "sql_i2_top_titles", "an_most_watched", "an_top_content"])
 def test_top_k_does_not_sort_everything(spark, sf_dir, capsys, key):
     assert "TakeOrderedAndProject" in plan_of(QUERIES[key](spark, sf_dir), capsys)
