@@ -1,6 +1,7 @@
 """Token ids as Arrow files of equal-length sequences.
 
-Documents are dealt to shards by ranges of ``doc_id``. A shard is two Arrow files:
+Documents are dealt to shards by ranges of ``doc_id``, those of one id by a hash of their
+text, equal rows by chance: many rows without an id fill as many shards as other rows. A shard is two Arrow files:
 ``tokens-<shard>.arrow`` holds the ids of its documents one after another, cut into
 sequences of ``length`` ids, each a row of a fixed-size list beside a fixed-size list of
 mask bits (false on the padding behind the shard's last id); ``index-<shard>.arrow`` holds
@@ -8,8 +9,9 @@ mask bits (false on the padding behind the shard's last id); ``index-<shard>.arr
 the last have ``BATCH_ROWS`` rows, so sequence r is row r % BATCH_ROWS of batch
 r // BATCH_ROWS, a view into the mapped file.
 
-Defined results: a null text is an empty one; documents of equal id stand in text order;
-documents without an id stand first; other columns are not read; an empty table gives no
+Defined results: a null text is an empty one; documents of equal id stand in the
+order of their texts' hashes; documents without an id stand first; an id that has no room in
+narrow files ends the write with an OverflowError; other columns are not read; an empty table gives no
 shard. A text is held whole by one task; a shard is written block by block.
 """
 
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,20 +27,25 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from holdfast.llm.encoding import BLOCK_BYTES, LibraryEncoder, encode, encoder_of, with_end
 from holdfast.llm.tables import partitions, settled, text_slices
 from holdfast.sources.workspace import fresh_path
 
 BATCH_ROWS = 256
+SEED = 3
 
 
 @dataclass(frozen=True)
 class Layout:
-    """``wide`` ids take four bytes, others two."""
+    """``wide`` ids take four bytes, others two; None: as the vocabulary needs."""
 
     length: int = 1024
-    wide: bool = False
+    wide: bool | None = None
+
+    def for_ids(self, largest: int) -> Layout:
+        return self if self.wide is not None else replace(self, wide=largest > np.iinfo(np.uint16).max)
 
     @property
     def schema(self) -> pa.Schema:
@@ -74,6 +81,8 @@ class ShardWriter:
         self.index.write(pa.record_batch([doc_ids, pa.array(starts), pa.array(counts)], schema=INDEX))
         self.n_tokens += len(ids)
         self.n_docs += len(counts)
+        if len(ids) and ids.max() > np.iinfo(self.layout.dtype).max:
+            raise OverflowError(f"id {ids.max()} needs a wide layout")
         ids = np.concatenate((self.rest, ids.astype(self.layout.dtype)))
         full = self.layout.length * BATCH_ROWS
         end = len(ids) // full * full
@@ -110,6 +119,7 @@ class Shard:
         mapped = pa.memory_map if isinstance(files, fs.LocalFileSystem) else files.open_input_file
         self.tokens, self.index = (pa.ipc.open_file(mapped(name)) for name in names)
         self.length = self.tokens.schema.field("ids").type.list_size
+        self._held: tuple[int, np.ndarray] = (-1, np.zeros(0))
 
     def sequence(self, row: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of a sequence; the ids are a view."""
@@ -117,11 +127,17 @@ class Shard:
         ids, mask = (batch.column(i)[row % BATCH_ROWS].values for i in (0, 1))
         return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
 
+    def _ids(self, batch: int) -> np.ndarray:
+        """All ids of a batch; the last batch is kept, as spans one after another lie in it."""
+        if self._held[0] != batch:
+            self._held = batch, self.tokens.get_batch(batch).column(0).flatten().to_numpy()
+        return self._held[1]
+
     def span(self, start: int, count: int) -> np.ndarray:
         """Ids start .. start + count - 1 of the shard, as uint32."""
         full, parts = self.length * BATCH_ROWS, []
         while count:
-            ids = self.tokens.get_batch(start // full).column(0).flatten().to_numpy()
+            ids = self._ids(start // full)
             part = ids[start % full : start % full + count]
             parts.append(part)
             start, count = start + len(part), count - len(part)
@@ -132,6 +148,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, layout: Layout = Layout
     """Writes the shards into the shared folder; their list: shard, folder, n_docs, n_tokens, start."""
     spark = docs.sparkSession
     folder = fresh_path(spark, "token-files")
+    layout = layout.for_ids(max(end_id, *Tokenizer.from_file(vocabulary).get_vocab().values()))
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer = encoder_of(LibraryEncoder, vocabulary, lowered), None
@@ -146,9 +163,10 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, layout: Layout = Layout
             )
 
     ranged = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(2 * partitions(spark), "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.rand(SEED).alias("deal"))
+        .repartitionByRange(2 * partitions(spark), "doc_id", "hash", "deal")
+        .sortWithinPartitions("doc_id", "hash", "text")
+        .select("doc_id", "text")
     )
     # One row a shard: the running total below is over as many rows as there are files.
     shards = settled(ranged.mapInArrow(shard, "shard long, folder string, n_docs long, n_tokens long"), "shards")

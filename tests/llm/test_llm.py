@@ -111,6 +111,34 @@ def test_token_files(docs, pairs):
     assert len(ids) == len(mask) == 16
 
 
+def test_token_files_split_rows_of_one_id(spark):
+    made = [(None, "the same text")] * 600 + [(None, f"text {i}") for i in range(600)] + [(i // 300, f"other {i}") for i in range(600)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    shards = token_files.write(docs, WORD_LEVEL, 2, token_files.Layout(length=16))
+    assert max(r.n_docs for r in shards.collect()) < 600
+    rows = sorted(token_files.read(shards).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None] * 1200 + [0] * 300 + [1] * 300
+    ends = np.cumsum([r.n_tokens for r in rows])
+    assert [r.start for r in rows] == [0, *ends[:-1]]
+    encode = library(WORD_LEVEL)
+    expected = Counter((i, np.array([*encode(t), 2], "<u4").tobytes()) for i, t in made)
+    assert Counter((r.doc_id, bytes(r.ids)) for r in rows) == expected
+
+
+def test_token_files_of_wide_ids(tmp_path):
+    assert not token_files.Layout().for_ids(65_535).wide and token_files.Layout().for_ids(65_536).wide
+    ids, counts = np.array([70_000, 4, 9], np.uint32), np.array([2, 1])
+    for wide in (True, False):
+        writer = token_files.ShardWriter(tmp_path.as_uri(), int(wide), token_files.Layout(4, wide))
+        if wide:
+            writer.add(pa.array([5, 6]), ids, counts)
+            writer.close()
+            assert list(token_files.Shard(tmp_path.as_uri(), 1).span(0, 3)) == [70_000, 4, 9]
+        else:
+            with pytest.raises(OverflowError):
+                writer.add(pa.array([5, 6]), ids, counts)
+
+
 def test_suffix_dedup(spark, pairs):
     made = [(i, t) for i, t in pairs.items() if len(t or "") < 5000] + [(900, "a" * 300), (901, "a" * 200), (902, "a" * 49)]
     expected = fixtures.removed_bytes(made, suffix_dedup.LENGTH)
