@@ -11,7 +11,9 @@ two characters are joined before that; what all tasks get is by single character
 A text gets the language of
 the lowest cross-entropy by character. Its score is the softmax of the languages' mean log
 probabilities over ``SPAN`` characters, lowered when the cross-entropy is above the
-language's calibrated limit; a text below ``REJECT`` is rejected.
+language's calibrated limit; a text below ``REJECT`` is rejected. The limit is the exact
+quantile of the cross-entropies of all learning texts that get their own language. Texts
+that learn and are identified are compared with the models once (``self_identified``).
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and
 rejected; equal cross-entropies go to the language first by name; with no learning text
@@ -30,20 +32,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.tables import block_ids, folded, partitions, settled, settled_blocks, text_slices, unfolded
 from holdfast.llm.words import sums_by_text, word_codes
+from holdfast.operators.ordered import running_totals
 
 BLOCK_BYTES = 4 << 20
 # Texts that ask the models together; larger blocks ask less often for the same n-grams.
 ASKING_BYTES = 16 << 20
 BLOCK, ASKING = "_llm_block", "_llm_asking"
+OWN, SHARE = "_llm_own", "_llm_share"
 RESULTS = ("lang_pred", "score", "cross_entropy")
 BUCKET_GRAMS = 1 << 20
 ORDER = 4
-CALIBRATION_ROWS = 20_000
 CALIBRATION_SHARE = 0.999
 SPAN = 20
 REJECT = 0.25
@@ -217,17 +220,16 @@ class Identifier:
         return -sums[:, :-1] / np.maximum(count, 1)[:, None], count
 
     def identify(self, text: pa.Array, asked: np.ndarray, log_p: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        """Language, score and cross-entropy."""
+        """Language, its share in the softmax and the cross-entropy."""
         if not self.names:
             return pa.array([UNKNOWN] * len(text)), np.zeros(len(text)), np.zeros(len(text))
         entropy, count = self.entropies(text, asked, log_p)
         best = np.argmin(entropy, axis=1)
         lowest = entropy[np.arange(len(best)), best]
         share = 1 / np.exp(-SPAN * (entropy - lowest[:, None])).sum(axis=1)
-        fit = np.exp(np.minimum(0, self.limits[best] - lowest))
         known = count > 0
         names = np.where(known, np.array(self.names, dtype=object)[best], UNKNOWN)
-        return pa.array(names.tolist(), pa.string()), np.where(known, share * fit, 0.0), np.where(known, lowest, 0.0)
+        return pa.array(names.tolist(), pa.string()), np.where(known, share, 0.0), np.where(known, lowest, 0.0)
 
 
 def shorter(grams: DataFrame, size: int) -> DataFrame:
@@ -269,24 +271,47 @@ def models_of(counts: DataFrame) -> Identifier:
     return Identifier(names, models, np.full(len(names), np.inf), four, pairs)
 
 
+def learning_texts(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+
+
+def limits(rows: DataFrame, names: list[str]) -> np.ndarray:
+    """Of each language the cross-entropy that ``CALIBRATION_SHARE`` of all its texts in ``OWN`` do not exceed."""
+    folded = rows.where(F.col("lang_pred") == F.col(OWN)).groupBy("lang_pred", "cross_entropy").agg(F.count("*").alias("n"))
+    upto = running_totals(folded, ["lang_pred", "cross_entropy"], {"upto": "n"})
+    # One row for each language.
+    sums = upto.groupBy("lang_pred").agg(F.sum("n").alias("all"), F.min(F.col("upto") - F.col("n")).alias("before"))
+    reached = F.col("upto") - F.col("before") >= F.ceil(F.col("all") * F.lit(CALIBRATION_SHARE))
+    found = upto.join(F.broadcast(sums), "lang_pred").where(reached).groupBy("lang_pred").agg(F.min("cross_entropy"))
+    by_name = dict(found.collect())
+    return np.array([by_name.get(name, np.inf) for name in names])
+
+
 def fit(learning: DataFrame) -> Identifier:
-    """A model of each non-null ``lang`` of the learning rows (text, lang)."""
-    learning = learning.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    """A model of each non-null ``lang`` of the learning rows (text, lang), with a limit from all of them."""
+    learning = learning_texts(learning)
     found = models_of(gram_counts(learning))
     if found.names:
-        share = min(1.0, CALIBRATION_ROWS / max(1, learning.count()))
-        sample = learning.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
-        scored = identified(sample.select("text", F.col("lang").alias("_lang")), found)
-        limits = dict(
-            scored.where("lang_pred = _lang")
-            .groupBy("_lang")
-            .agg(F.percentile_approx("cross_entropy", CALIBRATION_SHARE))
-            .collect()
-        )
-        found.limits = np.array([limits.get(name, np.inf) for name in found.names])
+        rows = compared(learning.select("text", F.col("lang").alias(OWN)), found, [OWN])
+        found.limits = limits(settled(rows, "calibration"), found.names)
     return found
 
 
+def self_identified(docs: DataFrame, learning: Column, columns: list[str]) -> DataFrame:
+    """``columns`` of ``docs`` with lang_pred, score and cross_entropy by models of the rows of ``learning``.
+
+    What ``identified`` gives with ``fit`` on these rows, but each text is compared once.
+    """
+    found = models_of(gram_counts(learning_texts(docs.where(learning))))
+    kept = docs.drop(*RESULTS, *[name for name in docs.columns if name not in columns])
+    if not found.names:
+        return identified(kept, found)
+    marked = docs.withColumn(OWN, F.when(learning & F.col("text").isNotNull(), F.col("lang")))
+    rows = settled(compared(marked, found, [*kept.columns, OWN]), "compared")
+    found.limits = limits(rows, found.names)
+    return scored(rows, found).drop(OWN)
+
+
 def blocked(docs: DataFrame) -> DataFrame:
     """Blocks of about ``ASKING_BYTES`` of text as read, each a compressed value beside its distinct n-grams."""
 
@@ -311,10 +336,24 @@ def blocked(docs: DataFrame) -> DataFrame:
 def identified(docs: DataFrame, identifier: Identifier) -> DataFrame:
     """``docs`` with lang_pred, score and cross_entropy."""
     docs = docs.drop(*RESULTS)
-    names = docs.columns
-    fields = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
     if not identifier.names:
         return docs.select("*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cross_entropy"))
+    return scored(compared(docs, identifier, docs.columns), identifier)
+
+
+def scored(rows: DataFrame, identifier: Identifier) -> DataFrame:
+    """The score: the share, lowered by what the cross-entropy is above the language's limit."""
+    by_name = [part for pair in zip(identifier.names, identifier.limits.tolist()) for part in map(F.lit, pair)]
+    left = F.coalesce(F.create_map(*by_name)[F.col("lang_pred")], F.lit(np.inf)) - F.col("cross_entropy")
+    score = F.col(SHARE) * F.exp(F.least(F.lit(0.0), left))
+    return rows.withColumn(SHARE, score).withColumnRenamed(SHARE, "score")
+
+
+def compared(docs: DataFrame, identifier: Identifier, names: list[str]) -> DataFrame:
+    """``names`` of ``docs`` with lang_pred, its share in the softmax and cross_entropy."""
+    docs = docs.drop(*[name for name in docs.columns if name not in (*names, "text")])
+    fields = "".join(f"`{name}` {kind}, " for name, kind in docs.dtypes if name in names)
+    names = [name for name in docs.columns if name in names]
     table = blocked(docs)
     asked = table.select(F.col(BLOCK).alias(ASKING), F.explode("grams").alias("gram"))
     answers = asked.join(identifier.probabilities(asked), "gram")
@@ -327,11 +366,11 @@ def identified(docs: DataFrame, identifier: Identifier) -> DataFrame:
         log_p = np.log(p.reshape(len(keys), len(plain.names))[order])
         found = []
         for block in text_slices(iter([unfolded(rows["rows"][0])]), BLOCK_BYTES):
-            lang, score, entropy = plain.identify(block.column("text"), keys[order], log_p)
+            lang, share, entropy = plain.identify(block.column("text"), keys[order], log_p)
             found.append(
                 pa.record_batch(
-                    [*(block.column(name) for name in names), lang, pa.array(score), pa.array(entropy)],
-                    names=[*names, "lang_pred", "score", "cross_entropy"],
+                    [*(block.column(name) for name in names), lang, pa.array(share), pa.array(entropy)],
+                    names=[*names, "lang_pred", SHARE, "cross_entropy"],
                 )
             )
         return pa.Table.from_batches(found)
@@ -340,5 +379,5 @@ def identified(docs: DataFrame, identifier: Identifier) -> DataFrame:
         table.select(BLOCK, "rows")
         .groupBy(BLOCK)
         .cogroup(answers.groupBy(ASKING))
-        .applyInArrow(run, f"{fields}, lang_pred string, score double, cross_entropy double")
+        .applyInArrow(run, f"{fields}lang_pred string, {SHARE} double, cross_entropy double")
     )

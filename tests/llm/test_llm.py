@@ -457,3 +457,19 @@ def test_surrogates_of_very_long_runs(spark):
     out = {r.doc_id: r for r in surrogates.replaced(made, "key").collect()}
     for i, gone in enumerate(["Anna Anna", "a@b.c"]):
         assert out[i].n_entities >= 1 and out[i].text.endswith(" stays") and gone not in out[i].text
+
+
+def test_language_limits_come_from_all_learning_texts(spark):
+    pick = random.Random(7)
+    words = {"en": ["ran", "tin", "oak", "elm", "mole"], "fr": ["été", "vin", "eau", "lune", "mer"]}
+    made = [(i, " ".join([*pick.choices(words[lang], k=3), *pick.sample("bcdgh", 3)]) + pick.choice("jkpqs") * (i % 9), lang) for i, lang in enumerate(["en", "fr"] * 12_000)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(8)
+    identifier = language.fit(frame)
+    found = language.identified(frame, identifier).orderBy("doc_id").collect()
+    for name, limit in zip(identifier.names, identifier.limits):
+        own = sorted(r.cross_entropy for r in found if r.lang_pred == r.lang == name)
+        assert len(own) > 11_000
+        assert abs(limit - own[-(-len(own) * 999 // 1000) - 1]) < 1e-9
+    at_once = language.self_identified(frame, F.col("lang").isNotNull(), ["doc_id"]).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.lang_pred) for r in at_once] == [(r.doc_id, r.lang_pred) for r in found]
+    assert max(abs(a.score - b.score) for a, b in zip(at_once, found)) < 1e-9
