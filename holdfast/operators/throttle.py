@@ -30,6 +30,8 @@ MINUTE_US = 60_000_000
 DAY_US = 86_400_000_000
 # The quota of a window of a minute, and the key of a request without one.
 QUOTA = 15
+# Rows of points and ends in a range, which one task sorts.
+RANGE_ROWS = 1 << 18
 NOBODY = "unknown"
 
 
@@ -95,38 +97,35 @@ def first_hops(log: DataFrame, window_us: int) -> DataFrame:
     rows = points.select("user_id", F.col("at").alias("t"), F.lit(0).alias("kind")).union(
         points.select("user_id", F.col("at") + window_us, F.lit(1))
     )
+    ranges = max(log.sparkSession.sparkContext.defaultParallelism, -(-2 * log.count() // RANGE_ROWS))
     ranged = publish(
-        rows.repartitionByRange("user_id", "t", "kind").withColumn("_range", F.spark_partition_id()), "throttle-ranges"
+        rows.repartitionByRange(ranges, "user_id", "t", "kind").withColumn("_range", F.spark_partition_id()), "throttle-ranges"
     )
     point = F.when(F.col("kind") == 0, F.struct("user_id", "t"))
     ends = ranged.groupBy("_range").agg(F.min(point).alias("first"), F.max(point).alias("last"))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     later = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per shuffle partition, so this side stays small at any data size.
+    # One row per range, so this side stays small at any data size.
     around = ends.select(
         "_range", F.last("last", True).over(earlier).alias("_before"), F.last("first", True).over(later).alias("_after")
     )
-    up = Window.partitionBy("_range").orderBy("user_id", "t", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    down = (
-        Window.partitionBy("_range")
-        .orderBy(F.desc("user_id"), F.desc("t"), F.desc("kind"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    near = ranged.join(F.broadcast(around), "_range").select(
+    # Both neighbours in one order; the number is given so that ranges are not put together again by their bytes.
+    place = "OVER (PARTITION BY _range ORDER BY user_id, t, kind)"
+    dealt = ranged.withColumn("_point", point).repartition(ranges, "_range").join(F.broadcast(around), "_range")
+    near = dealt.select(
         "user_id",
         "t",
         "kind",
-        F.coalesce(F.last(point, True).over(up), "_before").alias("before"),
-        F.coalesce(F.last(point, True).over(down), "_after").alias("after"),
+        F.coalesce(F.expr(f"lag(_point) IGNORE NULLS {place}"), "_before").alias("before"),
+        F.coalesce(F.expr(f"lead(_point) IGNORE NULLS {place}"), "_after").alias("after"),
     )
     before, after = (F.when(F.col(f"{side}.user_id") == F.col("user_id"), F.col(f"{side}.t")) for side in ("before", "after"))
     told = near.select("user_id", "t", "kind", before.alias("before"), after.alias("after"))
-    certain = told.where("kind = 0").where(F.col("before").isNull() | (F.col("t") - F.col("before") > window_us))
-    hops = told.where("kind = 1").where(F.col("after") - F.col("before") <= window_us)
-    nothing = F.lit(None).cast("long")
-    return certain.select("user_id", F.col("t").alias("at"), nothing.alias("next")).union(
-        hops.select("user_id", F.col("t") - window_us, "after")
-    )
+    point_row = F.col("kind") == 0
+    certain = point_row & (F.col("before").isNull() | (F.col("t") - F.col("before") > window_us))
+    hop = ~point_row & (F.col("after") - F.col("before") <= window_us)
+    at = F.when(point_row, F.col("t")).otherwise(F.col("t") - window_us)
+    return told.where(certain | hop).select("user_id", at.alias("at"), F.when(~point_row, F.col("after")).alias("next"))
 
 
 def openings(log: DataFrame, window_us: int) -> DataFrame:

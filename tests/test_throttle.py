@@ -143,3 +143,17 @@ def test_state_goes_behind_the_watermark(spark, tmp_path):
     assert decided(found) == by_hand(hits)
     held = [p.stateOperators[0].numRowsTotal for p in progress]
     assert max(held) > 40 and held[-1] < 10
+
+
+def test_a_range_has_no_more_rows_when_the_log_grows(spark, monkeypatch):
+    hits, written = random_hits(12_000), {}
+
+    def publish(df, name, own=throttle.publish):
+        written.setdefault(name, own(df, name))
+        return own(df, name) if name != "throttle-ranges" else written[name]
+
+    monkeypatch.setattr(throttle, "publish", publish)
+    monkeypatch.setattr(throttle, "RANGE_ROWS", 500, raising=False)
+    found = decided(throttle_batch(log_frame(spark, hits).repartition(7), WINDOW, QUOTA))
+    assert found == by_hand(hits)
+    assert written["throttle-ranges"].groupBy("_range").count().agg(F.max("count")).first()[0] < 1_500
