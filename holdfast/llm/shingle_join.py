@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.components import components
-from holdfast.llm.tables import settled, text_slices
+from holdfast.llm.tables import settled, sifted, text_slices
 from holdfast.llm.words import word_codes
 
 BLOCK_BYTES = 4 << 20
@@ -265,7 +265,8 @@ def block_pairs(members: DataFrame, labels: DataFrame, bits: DataFrame, rule: Ru
 def joined(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links) of every row."""
     profile = profiles(docs, rule)
-    classes = profile.where("doc_id IS NOT NULL AND n > 0").groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "typical", "prefix", "bits"), "doc_id").alias("first"))
+    by_key = profile.where("doc_id IS NOT NULL AND n > 0").groupBy("key")
+    classes = by_key.agg(F.min_by(F.struct("doc_id", "n", "typical", "prefix"), "doc_id").alias("first"))
     rows = classes.select("first.*", F.posexplode("first.prefix").alias("place", "shingle"))
     members = rows.select("shingle", "typical", F.struct(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), "place").alias("doc"))
     columns = rows.groupBy("shingle").agg(F.count("*").alias("members")).where("members > 1")
@@ -277,17 +278,18 @@ def joined(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     crowded = settled(large.select("doc.id").distinct(), "crowded")
     pairs = settled(overlaps(small.union(first), rule, crowded), "pairs")
     wanted = pairs.select("a.id").union(pairs.select("b.id")).union(crowded).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted.hint("merge"), "id", "left_semi")
+    texts = sifted(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", wanted, "may_be").where("may_be").drop("may_be")
+    texts = texts.join(wanted.hint("merge"), "id", "left_semi")
     sets = settled(full_sets(texts, rule), "sets")
     links = settled(linked(pairs, sets, rule), "links")
     labels = components(links)
     if not crowded.isEmpty():
-        bits = classes.select(F.col("first.doc_id").alias("bits_id"), "first.bits")
+        bits = by_key.agg(F.min_by(F.struct(F.col("doc_id").alias("bits_id"), "bits"), "doc_id").alias("first")).select("first.*")
         later = settled(overlaps(block_pairs(large.select("shingle", "doc"), labels, bits, rule), rule), "later-pairs")
         if not later.isEmpty():
             links = links.union(linked(later, sets, rule))
             labels = components(links)
-    of_class = classes.select("key", F.col("first.doc_id").alias("_first"))
+    of_class = by_key.agg(F.min("doc_id").alias("_first"))
     named = of_class.join(labels, F.col("_first") == F.col("id"), "left").select(
         F.col("key").alias("_key"), F.coalesce("component", "_first").alias("_component")
     )
