@@ -30,7 +30,7 @@ MINUTE_US = 60_000_000
 DAY_US = 86_400_000_000
 # The quota of a window of a minute, and the key of a request without one.
 QUOTA = 15
-# Rows of points and ends in a range, which one task sorts.
+# Rows of points and ends in a range, or of hops in a part of a join, which one task sorts.
 RANGE_ROWS = 1 << 18
 NOBODY = "unknown"
 
@@ -129,14 +129,21 @@ def first_hops(log: DataFrame, window_us: int) -> DataFrame:
 
 
 def openings(log: DataFrame, window_us: int) -> DataFrame:
-    """(user_id, opened) of every window."""
+    """(user_id, opened) of every window.
+
+    Parts of the joins follow the number of rows: adaptive execution would put them together
+    by their compressed bytes, which say little of what a task sorts.
+    """
     start = publish(first_hops(log, window_us), "throttle-hops")
     parts = [start.where("next IS NULL").select("user_id", "at")]
     hops = start.where("next IS NOT NULL")
-    while not hops.isEmpty():
-        ahead = hops.select("user_id", F.col("at").alias("next"), F.col("next").alias("over"))
-        doubled = hops.join(ahead, ["user_id", "next"]).select("user_id", "at", F.col("over").alias("next"))
-        reached = reduce(DataFrame.union, parts).join(hops, ["user_id", "at"]).select("user_id", F.col("next").alias("at"))
+    while rows := hops.count():
+        tasks = -(-rows // RANGE_ROWS)
+        ahead = hops.select("user_id", F.col("at").alias("next"), F.col("next").alias("over")).repartition(tasks, "user_id", "next")
+        dealt = hops.repartition(tasks, "user_id", "next")
+        doubled = dealt.join(ahead, ["user_id", "next"]).select("user_id", "at", F.col("over").alias("next"))
+        known = reduce(DataFrame.union, parts).repartition(tasks, "user_id", "at")
+        reached = known.join(hops.repartition(tasks, "user_id", "at"), ["user_id", "at"]).select("user_id", F.col("next").alias("at"))
         marked = reached.select("user_id", "at", F.lit(None).cast("long").alias("next"))
         both = publish(doubled.union(marked), "throttle-hops")
         parts.append(both.where("next IS NULL").select("user_id", "at"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 
 import numpy as np
 import pandas as pd
@@ -157,3 +158,24 @@ def test_a_range_has_no_more_rows_when_the_log_grows(spark, monkeypatch):
     found = decided(throttle_batch(log_frame(spark, hits).repartition(7), WINDOW, QUOTA))
     assert found == by_hand(hits)
     assert written["throttle-ranges"].groupBy("_range").count().agg(F.max("count")).first()[0] < 1_500
+
+
+def test_parts_of_the_hops_follow_their_number(spark, monkeypatch):
+    # Adaptive execution would put parts together by their compressed bytes; parts of a given number stay.
+    hits = random_hits()
+    monkeypatch.setattr(throttle, "RANGE_ROWS", 100)
+    rounds = []
+
+    def publish(df, name, own=throttle.publish):
+        written = own(df, name)
+        if name == "throttle-hops":
+            given = re.findall(r"RepartitionByExpression \[.*\], (\d+)", df._jdf.queryExecution().optimizedPlan().toString())
+            rounds.append((written.where("next IS NOT NULL").count(), [int(n) for n in given]))
+        return written
+
+    monkeypatch.setattr(throttle, "publish", publish)
+    found = decided(throttle_batch(log_frame(spark, hits), WINDOW, QUOTA))
+    assert found == by_hand(hits)
+    assert len(rounds) > 2
+    for (hops, _), (_, given) in zip(rounds, rounds[1:]):
+        assert given and all(n == -(-hops // 100) for n in given)
