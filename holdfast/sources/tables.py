@@ -91,41 +91,42 @@ def _content(part: DataFrame, *keep: str) -> DataFrame:
 
 
 def _sessions(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
-    """One row per order line, with the user and the title's genre.
+    """One row per order line, with the user, the title's genre and the rating, if it has one.
 
-    Both joins are left to Catalyst: order keys shuffle, titles are broadcast only
+    Values are derived before the joins, which move fewer bytes then. Both joins are left to Catalyst: order keys shuffle, titles are broadcast only
     while they are under the session's threshold, and AQE splits hot keys.
     """
     buyers = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id"))
     titles = _content(part.withColumn("l_partkey", F.col("p_partkey")), "l_partkey")
-    completion = F.lit(2.0) * F.col("l_quantity")
+    steps = F.floor(F.round(F.col("l_discount") * 100) / 2.0).cast("int")
+    lines = lineitem.select(
+        "l_orderkey",
+        "l_partkey",
+        F.col("l_linenumber").alias("line_no"),
+        F.col("l_shipdate").cast("date").alias("watch_date"),
+        (F.lit(2.0) * F.col("l_quantity")).alias("completion_rate"),
+        # Never null where the flag is R: the least of two numbers passes over a null.
+        F.when(F.col("l_returnflag") == "R", F.least(F.lit(5), F.lit(1) + steps)).alias("rating"),
+    )
     return (
-        lineitem.join(buyers, "l_orderkey")
+        lines.join(buyers, "l_orderkey")
         .join(titles, "l_partkey")
         .select(
             F.col("l_orderkey").alias("order_key"),
-            F.col("l_linenumber").alias("line_no"),
+            "line_no",
             "user_id",
             "content_id",
-            F.col("l_shipdate").cast("date").alias("watch_date"),
-            session_minutes(F.col("duration_min"), completion).alias("session_duration"),
-            completion.alias("completion_rate"),
+            "watch_date",
+            session_minutes(F.col("duration_min"), F.col("completion_rate")).alias("session_duration"),
+            "completion_rate",
             "genre",
-            F.col("l_returnflag").alias("return_flag"),
-            F.col("l_discount").alias("discount"),
+            "rating",
         )
     )
 
 
 def _ratings(sessions: DataFrame) -> DataFrame:
-    steps = F.floor(F.round(F.col("discount") * 100) / 2.0).cast("int")
-    return sessions.where(F.col("return_flag") == "R").select(
-        "order_key",
-        "line_no",
-        "user_id",
-        "content_id",
-        F.least(F.lit(5), F.lit(1) + steps).alias("rating"),
-    )
+    return sessions.where("rating IS NOT NULL").select("order_key", "line_no", "user_id", "content_id", "rating")
 
 
 def favourite_genre(counts: DataFrame) -> DataFrame:

@@ -184,3 +184,20 @@ def test_filter_restricts_facts(tables):
     assert 0 < picked.watch_history.count() < tables.watch_history.count()
     assert picked.ratings.join(picked.users, "user_id", "left_anti").count() == 0
     assert content.genre_views(picked.watch_history, picked.content).agg(F.sum("views")).first()[0] == picked.watch_history.count()
+
+
+def test_sessions_carry_derived_values_through_the_joins(spark):
+    from holdfast.sources import tables
+
+    lines = spark.createDataFrame(
+        [(1, 1, 7, 3.0, 0.04, "R"), (1, 2, 7, 4.0, None, "R"), (1, 3, 7, 5.0, 0.04, "N"), (1, 4, 7, 5.0, 0.1, None), (1, 5, 7, None, 0.1, "R")],
+        "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_discount double, l_returnflag string",
+    ).selectExpr("*", "TIMESTAMP '2024-02-01 00:00:00' AS l_shipdate")
+    orders = spark.createDataFrame([(1, 9)], "o_orderkey long, o_custkey long")
+    part = spark.createDataFrame([(7, "One", "Drama", 5)], "p_partkey long, p_name string, p_type string, p_size int")
+    sessions = tables._sessions(lines, orders, part)
+    plan = sessions._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(name in plan.split("Join")[1].split("\n")[0] for name in ("l_discount", "l_returnflag"))
+    assert not {"discount", "return_flag"} & set(sessions.columns)
+    assert sorted((r.line_no, r.rating) for r in tables._ratings(sessions).collect()) == [(1, 3), (2, 5), (5, 5)]
+    assert [r.completion_rate for r in sessions.orderBy("line_no").collect()] == [6.0, 8.0, 10.0, 10.0, None]
