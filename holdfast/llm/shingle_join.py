@@ -262,15 +262,34 @@ def block_pairs(members: DataFrame, labels: DataFrame, bits: DataFrame, rule: Ru
     return two.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
 
 
+def first_of_classes(profile: DataFrame) -> DataFrame:
+    """doc_id, n, typical, prefix of the smallest id of each key.
+
+    Rows whose key surely stands once are told by a broadcast set and stay where they lie.
+    """
+    own = F.xxhash64("key").alias("own")
+    repeated = settled(profile.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select(own), "repeated-keys")
+    apart = sifted(profile.select("doc_id", "n", "typical", "prefix", "key", own), "own", repeated, "may_be")
+    met = apart.where("may_be").groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "typical", "prefix"), "doc_id").alias("first"))
+    return apart.where("NOT may_be").select("doc_id", "n", "typical", "prefix").union(met.select("first.*"))
+
+
 def joined(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links) of every row."""
     profile = profiles(docs, rule)
-    by_key = profile.where("doc_id IS NOT NULL AND n > 0").groupBy("key")
-    classes = by_key.agg(F.min_by(F.struct("doc_id", "n", "typical", "prefix"), "doc_id").alias("first"))
-    rows = classes.select("first.*", F.posexplode("first.prefix").alias("place", "shingle"))
-    members = rows.select("shingle", "typical", F.struct(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), "place").alias("doc"))
+    with_set = profile.where("doc_id IS NOT NULL AND n > 0")
+    by_key = with_set.groupBy("key")
+    # A row of the product is three longs and a byte; few rows are left after the join with the shared columns.
+    of_doc = F.shiftleft("n", 32).alias("n_high"), F.round(100 * F.col("typical")).cast("byte").alias("typical")
+    rows = first_of_classes(with_set).select("doc_id", *of_doc, F.posexplode("prefix").alias("place", "shingle"))
+    members = rows.select("shingle", "doc_id", F.col("n_high").bitwiseOR(F.col("place")).alias("n_place"), "typical")
     columns = rows.groupBy("shingle").agg(F.count("*").alias("members")).where("members > 1")
-    shared = settled(members.join(columns, "shingle"), "shared-columns")
+    doc = F.struct(
+        F.col("doc_id").alias("id"),
+        F.shiftright("n_place", 32).cast("int").alias("n"),
+        F.col("n_place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"),
+    )
+    shared = settled(members.join(columns, "shingle").select("shingle", "typical", doc.alias("doc"), "members"), "shared-columns")
     large = shared.where(F.col("members") > BLOCK)
     centres = large.groupBy("shingle").agg(F.max_by("doc", F.struct("typical", -F.col("doc.id"))).alias("b"))
     first = large.join(centres, "shingle").select(F.col("doc").alias("a"), "b")
@@ -287,7 +306,9 @@ def joined(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         bits = by_key.agg(F.min_by(F.struct(F.col("doc_id").alias("bits_id"), "bits"), "doc_id").alias("first")).select("first.*")
         later = settled(overlaps(block_pairs(large.select("shingle", "doc"), labels, bits, rule), rule), "later-pairs")
         if not later.isEmpty():
-            links = links.union(linked(later, sets, rule))
+            ids = settled(later.select("a.id").union(later.select("b.id")).distinct(), "later-ids")
+            met = sifted(sets, "id", ids, "may_be").where("may_be").drop("may_be")
+            links = links.union(linked(later, met, rule))
             labels = components(links)
     of_class = by_key.agg(F.min("doc_id").alias("_first"))
     named = of_class.join(labels, F.col("_first") == F.col("id"), "left").select(
