@@ -91,7 +91,8 @@ class LibraryEncoder:
         self.findall = regex.compile(words.replace(r"[^\s", f"[^{space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", space)).findall
 
     def _merge(self, pre_token: str) -> bytes:
-        mapped = pre_token.encode("utf-8").decode("latin-1").translate(STAND_INS)
+        plain = pre_token.isascii() and pre_token.isalnum()  # each byte is its own stand-in
+        mapped = pre_token if plain else pre_token.encode("utf-8").decode("latin-1").translate(STAND_INS)
         return as_ids([t.id for t in self.model.tokenize(mapped)])
 
     def whole(self, text: str) -> bytes:
@@ -99,7 +100,7 @@ class LibraryEncoder:
 
     def piece(self, lead: str, piece: str) -> bytes:
         if self.lowered:
-            piece = piece.lower() if is_latin(piece) else self.tokenizer.normalizer.normalize_str(piece)
+            piece = piece.lower() if piece.isascii() or is_latin(piece) else self.tokenizer.normalizer.normalize_str(piece)
         memo = self.memo
         word = piece.rstrip(MARKS)
         if word.isalpha():
@@ -120,10 +121,11 @@ def encode(encoder, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     codes = pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     first = bounds[:-1]
     lead = "" if encoder.lowered else " "
-    tables = [encoder.piece(lead, p) for p in pieces.dictionary.to_pylist()]
+    # numpy makes strings of a whole array at once, to_pylist a scalar for each.
+    tables = [encoder.piece(lead, p) for p in pieces.dictionary.to_numpy(zero_copy_only=False)]
     n_tables = len(tables)
     # The first piece of a text has no space before it; an unsafe text is one piece of its own.
-    heads = pieces.dictionary.take(pa.array(codes[first])).to_pylist()
+    heads = pieces.dictionary.take(pa.array(codes[first])).to_numpy(zero_copy_only=False)
     if not encoder.lowered:
         own = {}
         for i, head in enumerate(heads):
